@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference has no stream, watermark, window or state: its only recurrence
+is a once-a-day batch run. Each job here is a batch DataFrame job; a daily
+schedule simply runs it again with a new ``as_of``.
+"""
