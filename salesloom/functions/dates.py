@@ -7,8 +7,6 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DateLike = "str | dt.date | Column | None"
-
 
 def date_value(value: str | dt.date | Column | None) -> Column:
     """A date Column from an ISO string, a ``date``, a Column or None (today).

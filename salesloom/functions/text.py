@@ -6,10 +6,16 @@ codegen next to the query that produces the numbers.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _half() -> Column:
+    return F.lit(Decimal("0.5"))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -37,8 +43,10 @@ def thousands(c: Column | str, digits: int = 0) -> Column:
 
 
 def round_half_up(c: Column | str) -> Column:
-    """Round half toward +infinity (``floor(x + 0.5)``), as a dashboard does."""
-    return F.floor(_col(c) + F.lit(0.5))
+    """Round half toward +infinity (``floor(x + 0.5)``), as a dashboard does.
+
+    Exact on decimals (the 0.5 is a decimal literal)."""
+    return F.floor(_col(c) + _half())
 
 
 def plain_number(c: Column | str, max_digits: int = 3) -> Column:
@@ -52,10 +60,11 @@ def plain_number(c: Column | str, max_digits: int = 3) -> Column:
 def compact_money(c: Column | str, prefix: str = "$") -> Column:
     """``$10.13M`` from a million up, ``$596K`` from a thousand up, else ``$812``.
 
-    Rounding is half-up on the exact decimal value.
+    Rounding is half-up on the exact decimal value (taken as decimal(24,6),
+    so products below stay exact and are rounded once).
     """
-    v = _col(c)
-    millions = F.round(v * F.lit(0.000001).cast("decimal(7,6)"), 2).cast("string")
+    v = _col(c).cast("decimal(24,6)")
+    millions = F.round(v * F.lit(0.000001).cast("decimal(7,6)"), 2).cast("decimal(38,2)").cast("string")
     thousands_ = F.format_number(round_half_up(v * F.lit(0.001).cast("decimal(4,3)")), 0)
     units = F.format_number(round_half_up(v), 0)
     return (
@@ -67,10 +76,10 @@ def compact_money(c: Column | str, prefix: str = "$") -> Column:
 
 def axis_label(c: Column | str, metric: str = "amt") -> Column:
     """Chart axis text: amounts ``$1.2M`` / ``$350K``, quantities ``12K`` / ``850``."""
-    v = _col(c)
+    v = _col(c).cast("decimal(24,6)")
     k = F.format_number(F.round(v * F.lit(0.001).cast("decimal(4,3)"), 0), 0)
     if metric == "amt":
-        m = F.round(v * F.lit(0.000001).cast("decimal(7,6)"), 1).cast("string")
+        m = F.round(v * F.lit(0.000001).cast("decimal(7,6)"), 1).cast("decimal(38,1)").cast("string")
         return F.when(v >= 1_000_000, F.concat(F.lit("$"), m, F.lit("M"))).otherwise(
             F.concat(F.lit("$"), k, F.lit("K"))
         )

@@ -205,3 +205,536 @@ def _k3(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 )
 def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k3(spark, sf_dir, 20)
+
+
+# ---------------------------------------------------------------------------
+# K5 the digest as text lines (no SQL oracle: formatting; rows-only check)
+# ---------------------------------------------------------------------------
+@register("k5_digest_lines")
+def k5_digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .digest import digest_lines
+
+    return digest_lines(
+        _k2(spark, sf_dir), _k3(spark, sf_dir, 20), as_of=REPORT_AS_OF, n=20, not_delivered="O"
+    )
+
+
+# ---------------------------------------------------------------------------
+# K6-K9 keyword rules over product descriptions
+# ---------------------------------------------------------------------------
+from ..operators import keywords as kw  # noqa: E402
+
+SQL_DOC_PRODUCTS = "SELECT doc_id AS MATNR, source AS MATKL FROM documents"
+SQL_DOC_TEXTS = "SELECT doc_id AS MATNR, lang AS SPRAS, text AS MAKTX FROM documents"
+SQL_PART_BY_TYPE = "SELECT p_partkey AS MATNR, p_type AS MATKL FROM part"
+SQL_PART_BY_BRAND = "SELECT p_partkey AS MATNR, p_brand AS MATKL FROM part"
+SQL_PART_TEXTS = "SELECT p_partkey AS MATNR, p_name AS MAKTX FROM part"
+
+
+def _like(*terms: str) -> str:
+    """SQL for 'upper(text) contains any of terms'."""
+    return "(" + " OR ".join(f"UPPER(t.MAKTX) LIKE '%{w}%'" for w in terms) + ")"
+
+
+# Stand-in keyword rules (terms that occur in the test documents / part names).
+RULE_LICENSE = (
+    kw.clause("LICENSE", ("MIT", "APACHE"))
+    | kw.clause("WORTHLESS")
+    | kw.clause("@", ("COM", "ORG", "NET"))
+    | kw.clause("RELEASED", "UNDER")
+)
+SQL_RULE_LICENSE = (
+    f"(({_like('LICENSE')} AND {_like('MIT', 'APACHE')}) OR {_like('WORTHLESS')}"
+    f" OR ({_like('@')} AND {_like('COM', 'ORG', 'NET')})"
+    f" OR ({_like('RELEASED')} AND {_like('UNDER')}))"
+)
+RULE_FR = kw.any_of("QUE", "POUR") & kw.any_of("MENT", "TION")
+SQL_RULE_FR = f"({_like('QUE', 'POUR')} AND {_like('MENT', 'TION')})"
+RULE_THE = kw.clause("THE", ("TION", "ING"))
+SQL_RULE_THE = f"({_like('THE')} AND {_like('TION', 'ING')})"
+EXCLUDED_SOURCES = ("src0", "src1", "src2", "src3", "src4")
+RULE_RING_GEAR = kw.any_of("RING", "GEAR")
+SQL_RULE_RING_GEAR = _like("RING", "GEAR")
+RULE_HOT_COLD = kw.clause(("HOT", "COLD"), ("GEAR", "ROD"))
+SQL_RULE_HOT_COLD = f"({_like('HOT', 'COLD')} AND {_like('GEAR', 'ROD')})"
+PROFILE_BRANDS = ("Brand#12", "Brand#21", "Brand#3", "Brand#7")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = _t(spark, sf_dir, "documents")
+    return standins.document_products(documents), standins.document_texts(documents)
+
+
+def _parts(spark: SparkSession, sf_dir: str, group: str = "p_type") -> tuple[DataFrame, DataFrame]:
+    part = _t(spark, sf_dir, "part")
+    return standins.products(part, group), standins.product_texts(part)
+
+
+@register(
+    "k6_keyword_groups",
+    oracle=f"""
+WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
+SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE t.SPRAS = 'en' AND {SQL_RULE_LICENSE}
+GROUP BY a.MATKL
+""",
+)
+def k6_keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_groups(products, texts, RULE_LICENSE, lang="en")
+
+
+@register(
+    "k6_keyword_groups_family",
+    oracle=f"""
+WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
+SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1, MAX(t.MAKTX) AS SAMPLE2
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE t.SPRAS = 'fr' AND UPPER(a.MATKL) LIKE '%1%' AND {SQL_RULE_FR}
+GROUP BY a.MATKL
+""",
+)
+def k6_keyword_groups_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_groups(
+        products, texts, RULE_FR, lang="fr", group_contains="1", with_max=True
+    )
+
+
+@register(
+    "k6_keyword_groups_excluding",
+    oracle=f"""
+WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
+SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE t.SPRAS = 'en' AND a.MATKL NOT IN ({", ".join(f"'{s}'" for s in EXCLUDED_SOURCES)})
+  AND {SQL_RULE_THE}
+GROUP BY a.MATKL
+ORDER BY CNT DESC, a.MATKL
+LIMIT 10
+""",
+)
+def k6_keyword_groups_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_groups(
+        products, texts, RULE_THE, lang="en", exclude=EXCLUDED_SOURCES, n=10
+    )
+
+
+@register(
+    "k7_group_profile",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_BRAND}), t AS ({SQL_PART_TEXTS})
+SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1, MAX(t.MAKTX) AS SAMPLE2
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE a.MATKL IN ({", ".join(f"'{b}'" for b in PROFILE_BRANDS)})
+GROUP BY a.MATKL
+""",
+)
+def k7_group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _parts(spark, sf_dir, "p_brand")
+    return kw.group_profile(products, texts, lang=None, groups=PROFILE_BRANDS)
+
+
+@register(
+    "k7_group_prefix",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_BRAND}), t AS ({SQL_PART_TEXTS})
+SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE a.MATKL LIKE 'Brand#1%'
+GROUP BY a.MATKL
+""",
+)
+def k7_group_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _parts(spark, sf_dir, "p_brand")
+    return kw.group_profile(products, texts, lang=None, prefix="Brand#1", with_max=False)
+
+
+@register(
+    "k8_keyword_samples",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
+SELECT t.MAKTX, a.MATKL, a.MATNR
+FROM t JOIN a ON a.MATNR = t.MATNR
+WHERE a.MATKL = 'PROMO' AND {SQL_RULE_RING_GEAR}
+ORDER BY t.MAKTX, a.MATNR
+LIMIT 30
+""",
+)
+def k8_keyword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _parts(spark, sf_dir)
+    return kw.keyword_samples(products, texts, RULE_RING_GEAR, lang=None, group="PROMO", n=30)
+
+
+@register(
+    "k8_keyword_samples_by_group",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
+SELECT t.MAKTX, a.MATKL, a.MATNR
+FROM t JOIN a ON a.MATNR = t.MATNR
+WHERE {SQL_RULE_HOT_COLD}
+ORDER BY a.MATKL, t.MAKTX, a.MATNR
+LIMIT 50
+""",
+)
+def k8_keyword_samples_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _parts(spark, sf_dir)
+    return kw.keyword_samples(
+        products, texts, RULE_HOT_COLD, lang=None, n=50, order=("MATKL", "MAKTX")
+    )
+
+
+@register(
+    "k9_keyword_split",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
+SELECT CASE WHEN {SQL_RULE_RING_GEAR} THEN 'Match' ELSE 'Other' END AS TYPE,
+       COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE a.MATKL = 'PROMO'
+GROUP BY 1
+""",
+)
+def k9_keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _parts(spark, sf_dir)
+    return kw.keyword_split(products, texts, RULE_RING_GEAR, lang=None, group="PROMO")
+
+
+@register(
+    "k9_keyword_split_documents",
+    oracle=f"""
+WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
+SELECT CASE WHEN {SQL_RULE_LICENSE} THEN 'Match' ELSE 'Other' END AS TYPE,
+       COUNT(DISTINCT a.MATNR) AS CNT
+FROM a JOIN t ON a.MATNR = t.MATNR
+WHERE t.SPRAS = 'en' AND a.MATKL = 'src7'
+GROUP BY 1
+""",
+)
+def k9_keyword_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_split(
+        products, texts, RULE_LICENSE, lang="en", group="src7", with_sample=False
+    )
+
+
+# ---------------------------------------------------------------------------
+# K10 monthly invoiced sales, K11 load-date distribution, K12 duplicate keys
+# ---------------------------------------------------------------------------
+from ..operators import dashboard as dash  # noqa: E402
+from ..operators import sales  # noqa: E402
+from ..operators.catalog import dictionary, distinct_values  # noqa: E402
+from ..sources.tables import preview  # noqa: E402
+
+SALES_GRAIN = "year"            # yearly loads: ship year / order year
+EXCLUDED_TYPES = ("1-URGENT", "2-HIGH")
+SALES_CURRENCY = "F"
+SALES_SINCE = "1996-01-01"
+SALES_GROUPS = ("PROMO", "SMALL")
+EXTRACT_MIN_NET = 90000         # thins the extract so its month grid is sparse
+SLICE_LO, SLICE_HI = "1996-03", "1997-02"
+SLICE_CATS = ("Promo", "Small")
+SERIES_CATS = ("Promo", "Small", "Nonexistent")
+
+
+def _quoted(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _sql_invoice(grain: str) -> str:
+    load_line = (
+        "CAST(l_shipdate AS DATE)" if grain == "day"
+        else f"CAST(DATE_TRUNC('{grain}', l_shipdate) AS DATE)"
+    )
+    load_head = (
+        "CAST(o_orderdate AS DATE)" if grain == "day"
+        else f"CAST(DATE_TRUNC('{grain}', o_orderdate) AS DATE)"
+    )
+    return f"""
+p AS (SELECT l_orderkey AS VBELN, l_linenumber AS POSNR, l_partkey AS MATNR,
+             CAST(l_quantity AS DECIMAL(18,3)) AS FKIMG,
+             CAST(l_extendedprice AS DECIMAL(18,2)) AS NETWR,
+             {load_line} AS FILE_DATE FROM lineitem),
+h AS (SELECT o_orderkey AS VBELN, o_orderpriority AS FKART, o_orderstatus AS WAERK,
+             CAST(o_orderdate AS DATE) AS FKDAT, {load_head} AS FILE_DATE FROM orders),
+a AS ({SQL_PART_BY_TYPE})"""
+
+
+def _sql_monthly(by_group: bool, groups, snapshot: str, min_net) -> str:
+    group_sel = "a.MATKL, " if by_group else ""
+    group_by = "a.MATKL, " if by_group else ""
+    latest = " AND p.FILE_DATE = (SELECT MAX(FILE_DATE) FROM p)" if snapshot == "global_latest" else ""
+    group_filter = f" AND a.MATKL IN ({_quoted(groups)})" if groups else ""
+    return f"""
+SELECT {group_sel}strftime(h.FKDAT, '%Y-%m') AS YEARMONTH,
+       CAST(SUM(p.FKIMG) AS DECIMAL(38,3)) AS QTY, CAST(SUM(p.NETWR) AS DECIMAL(38,2)) AS NET_USD
+FROM p JOIN h ON p.VBELN = h.VBELN AND p.FILE_DATE = h.FILE_DATE
+JOIN a ON p.MATNR = a.MATNR
+WHERE h.FKART NOT IN ({_quoted(EXCLUDED_TYPES)}) AND p.NETWR > {min_net}
+  AND h.WAERK = '{SALES_CURRENCY}' AND h.FKDAT >= DATE '{SALES_SINCE}'{group_filter}{latest}
+GROUP BY {group_by}strftime(h.FKDAT, '%Y-%m')"""
+
+
+def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN) -> DataFrame:
+    return sales.monthly_sales(
+        standins.invoice_lines(_t(spark, sf_dir, "lineitem"), grain),
+        standins.invoice_headers(_t(spark, sf_dir, "orders"), grain),
+        standins.products(_t(spark, sf_dir, "part")),
+        by_group=by_group,
+        groups=groups,
+        snapshot=snapshot,
+        exclude_types=EXCLUDED_TYPES,
+        currency=SALES_CURRENCY,
+        since=SALES_SINCE,
+        min_net=min_net,
+    )
+
+
+@register(
+    "k10_monthly_sales_paired",
+    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "paired", 0),
+)
+def k10_monthly_sales_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired")
+
+
+@register(
+    "k10_monthly_sales_latest",
+    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "global_latest", 0),
+)
+def k10_monthly_sales_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "global_latest")
+
+
+@register(
+    "k10_monthly_sales_one_group",
+    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(False, ("PROMO",), "global_latest", 0),
+)
+def k10_monthly_sales_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _monthly(spark, sf_dir, False, ("PROMO",), "global_latest")
+
+
+@register(
+    "k11_version_distribution",
+    oracle=f"""
+WITH {_sql_invoice("day")}
+SELECT p.FILE_DATE, COUNT(*) AS ROW_CNT, CAST(SUM(p.NETWR) AS DECIMAL(38,2)) AS NET_USD
+FROM p JOIN a ON p.MATNR = a.MATNR
+WHERE a.MATKL = 'PROMO'
+GROUP BY p.FILE_DATE
+""",
+)
+def k11_version_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
+    products = standins.products(_t(spark, sf_dir, "part"))
+    return versions.version_distribution(lines, products, "PROMO")
+
+
+@register(
+    "k12_duplicate_keys",
+    oracle=f"""
+WITH {_sql_invoice("day")}
+SELECT p.VBELN, p.POSNR, COUNT(*) AS DUP_CNT, MIN(p.FILE_DATE) AS FIRST_DATE,
+       MAX(p.FILE_DATE) AS LAST_DATE
+FROM p JOIN a ON p.MATNR = a.MATNR
+WHERE a.MATKL = 'PROMO'
+GROUP BY p.VBELN, p.POSNR
+HAVING COUNT(*) > 1
+ORDER BY DUP_CNT DESC, p.VBELN, p.POSNR
+LIMIT 10
+""",
+)
+def k12_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
+    products = standins.products(_t(spark, sf_dir, "part"))
+    return versions.duplicate_keys(lines, ("VBELN", "POSNR"), products=products, group="PROMO", n=10)
+
+
+@register(
+    "k12_duplicate_keys_all",
+    oracle=f"""
+WITH {_sql_invoice("day")}
+SELECT VBELN, POSNR, COUNT(*) AS DUP_CNT, MIN(FILE_DATE) AS FIRST_DATE, MAX(FILE_DATE) AS LAST_DATE
+FROM p GROUP BY VBELN, POSNR HAVING COUNT(*) > 1
+""",
+)
+def k12_duplicate_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
+    return versions.duplicate_keys(lines, ("VBELN", "POSNR"), n=None)
+
+
+# ---------------------------------------------------------------------------
+# K13 the month x category extract and K14-K17 dashboard slices over it
+# ---------------------------------------------------------------------------
+SQL_EXTRACT_CTES = f"""WITH {_sql_invoice(SALES_GRAIN)},
+mg AS ({_sql_monthly(True, None, "paired", EXTRACT_MIN_NET)}),
+m AS (SELECT DISTINCT p_type AS MATKL,
+             UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) AS CATEGORY FROM part),
+extract AS (
+  SELECT mg.YEARMONTH, m.CATEGORY, CAST(SUM(mg.QTY) AS DECIMAL(38,3)) AS QTY,
+         CAST(SUM(mg.NET_USD) AS DECIMAL(38,2)) AS NET_USD
+  FROM mg JOIN m ON mg.MATKL = m.MATKL GROUP BY mg.YEARMONTH, m.CATEGORY)"""
+
+SQL_RANGE = f"r AS (SELECT * FROM extract WHERE YEARMONTH BETWEEN '{SLICE_LO}' AND '{SLICE_HI}')"
+
+
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = _monthly(spark, sf_dir, True, None, "paired", EXTRACT_MIN_NET)
+    return sales.category_extract(monthly, standins.category_map(_t(spark, sf_dir, "part")))
+
+
+def _sql_money(e: str) -> str:
+    v = f"CAST({e} AS DECIMAL(24,6))"
+    return (
+        f"CASE WHEN {v} >= 1000000 THEN '$' || CAST(CAST(ROUND({v} * CAST(0.000001 AS DECIMAL(7,6)), 2)"
+        f" AS DECIMAL(38,2)) AS VARCHAR) || 'M'"
+        f" WHEN {v} >= 1000 THEN '$' || format('{{:,}}', CAST(FLOOR({v} * CAST(0.001 AS DECIMAL(4,3))"
+        f" + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT)) || 'K'"
+        f" ELSE '$' || format('{{:,}}', CAST(FLOOR({v} + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT)) END"
+    )
+
+
+@register("k13_category_extract", oracle=SQL_EXTRACT_CTES + "\nSELECT * FROM extract")
+def k13_category_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extract(spark, sf_dir)
+
+
+@register(
+    "k14_slice_kpis",
+    oracle=SQL_EXTRACT_CTES + f""",
+{SQL_RANGE},
+k AS (
+  SELECT CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(SLICE_CATS)}) THEN QTY END), 0) AS DECIMAL(38,3)) AS TOTAL_QTY,
+         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(SLICE_CATS)}) THEN NET_USD END), 0) AS DECIMAL(38,2)) AS TOTAL_AMOUNT,
+         COUNT(DISTINCT YEARMONTH) AS N_MONTHS
+  FROM r),
+kp AS (
+  SELECT *, CASE WHEN N_MONTHS > 0
+      THEN CAST(CAST((CAST(TOTAL_AMOUNT * 100 AS HUGEINT) * 20000 + N_MONTHS) // (2 * N_MONTHS)
+                     AS DECIMAL(30,0)) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(38,6))
+      ELSE CAST(0 AS DECIMAL(38,6)) END AS AVG_AMOUNT
+  FROM k)
+SELECT TOTAL_QTY, TOTAL_AMOUNT, N_MONTHS, AVG_AMOUNT,
+       regexp_replace(regexp_replace(format('{{:,.3f}}', CAST(TOTAL_QTY AS DOUBLE)), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS QTY_TEXT,
+       {_sql_money("TOTAL_AMOUNT")} AS AMOUNT_TEXT,
+       {_sql_money("AVG_AMOUNT")} AS AVG_TEXT
+FROM kp""",
+)
+def k14_slice_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.slice_kpis(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SLICE_CATS)
+
+
+def _sql_series(metric: str) -> str:
+    col = "NET_USD" if metric == "amt" else "QTY"
+    raw = f"COALESCE(SUM(r.{col}), 0)"
+    plotted = f"FLOOR({raw} + CAST(0.5 AS DECIMAL(2,1)))" if metric == "amt" else raw
+    cats = ", ".join(f"('{c}', {i})" for i, c in enumerate(SERIES_CATS))
+    return SQL_EXTRACT_CTES + f""",
+{SQL_RANGE},
+months AS (SELECT DISTINCT YEARMONTH FROM r),
+cats(CATEGORY, POS) AS (VALUES {cats}),
+cells AS (
+  SELECT m.YEARMONTH, c.CATEGORY, CAST(c.POS AS INTEGER) AS POS,
+         CAST({plotted} AS DECIMAL(38,3)) AS VALUE
+  FROM months m CROSS JOIN cats c
+  LEFT JOIN r ON r.YEARMONTH = m.YEARMONTH AND r.CATEGORY = c.CATEGORY
+  GROUP BY m.YEARMONTH, c.CATEGORY, c.POS)
+SELECT YEARMONTH, CATEGORY, POS, VALUE,
+       CAST(SUM(VALUE) OVER (PARTITION BY YEARMONTH) AS DECIMAL(38,3)) AS MONTH_TOTAL
+FROM cells"""
+
+
+@register("k15_dense_series", oracle=_sql_series("amt"))
+def k15_dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.dense_series(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SERIES_CATS, "amt")
+
+
+@register("k15_dense_series_qty", oracle=_sql_series("qty"))
+def k15_dense_series_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.dense_series(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SERIES_CATS, "qty")
+
+
+def _sql_pivot_body(col: str, dec: str) -> str:
+    cells = ",\n         ".join(
+        f"CAST(COALESCE(SUM(CASE WHEN CATEGORY = '{c}' THEN {col} END), 0) AS {dec}) AS \"{c}\""
+        for c in SLICE_CATS
+    )
+    return SQL_EXTRACT_CTES + f""",
+{SQL_RANGE},
+body AS (
+  SELECT YEARMONTH,
+         {cells},
+         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(SLICE_CATS)}) THEN {col} END), 0) AS {dec}) AS TOTAL
+  FROM r GROUP BY YEARMONTH),
+piv AS (
+  SELECT * FROM body
+  UNION ALL
+  SELECT 'TOTAL', {", ".join(f'CAST(COALESCE(SUM("{c}"), 0) AS {dec})' for c in SLICE_CATS)},
+         CAST(COALESCE(SUM(TOTAL), 0) AS {dec}) FROM body)"""
+
+
+@register("k16_pivot_totals", oracle=_sql_pivot_body("NET_USD", "DECIMAL(38,2)") + "\nSELECT * FROM piv")
+def k16_pivot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SLICE_CATS, "amt")
+
+
+@register(
+    "k16_pivot_totals_qty",
+    oracle=_sql_pivot_body("QTY", "DECIMAL(38,3)") + "\nSELECT * FROM piv",
+)
+def k16_pivot_totals_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SLICE_CATS, "qty")
+
+
+def _sql_shown(e: str) -> str:
+    return f"'$' || format('{{:,}}', CAST(FLOOR({e} + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT))"
+
+
+@register(
+    "k16_pivot_display",
+    oracle=_sql_pivot_body("NET_USD", "DECIMAL(38,2)")
+    + "\nSELECT YEARMONTH, "
+    + ", ".join(
+        f"CASE WHEN YEARMONTH = 'TOTAL' OR \"{c}\" > 0 THEN {_sql_shown(chr(34) + c + chr(34))} ELSE '-' END AS \"{c}\""
+        for c in SLICE_CATS
+    )
+    + f", {_sql_shown('TOTAL')} AS TOTAL FROM piv",
+)
+def k16_pivot_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivot = dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SLICE_CATS, "amt")
+    return dash.pivot_display(pivot, SLICE_CATS, "amt")
+
+
+@register(
+    "k17_default_range",
+    oracle=SQL_EXTRACT_CTES + """,
+months AS (SELECT DISTINCT YEARMONTH FROM extract)
+SELECT (SELECT MIN(YEARMONTH) FROM months) AS LO,
+       (SELECT YEARMONTH FROM months ORDER BY YEARMONTH DESC LIMIT 1 OFFSET 1) AS HI""",
+)
+def k17_default_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dash.default_range(_extract(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# K18 catalog lookups
+# ---------------------------------------------------------------------------
+@register("k18_distinct_values", oracle="SELECT DISTINCT lang FROM documents LIMIT 20")
+def k18_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_values(_t(spark, sf_dir, "documents"), "lang", 20)
+
+
+@register(
+    "k18_dictionary",
+    oracle="SELECT * FROM nation WHERE n_regionkey = 1 ORDER BY n_name",
+)
+def k18_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(_t(spark, sf_dir, "nation"), 1, table_col="n_regionkey", order_col="n_name")
+
+
+@register("k18_preview")
+def k18_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unordered preview: any 3 rows, so only the row count is checked."""
+    return preview(_t(spark, sf_dir, "documents"), 3)

@@ -23,12 +23,12 @@ def _day(name: str) -> Column:
 
 
 def _load_date(name: str, grain: str) -> Column:
-    """Load (version) date at daily or monthly grain."""
+    """Load (version) date at daily, monthly or yearly grain."""
     if grain == "day":
         return _day(name)
-    if grain == "month":
-        return F.trunc(F.col(name), "month")
-    raise ValueError(f"grain must be 'day' or 'month', not {grain!r}")
+    if grain in ("month", "year"):
+        return F.trunc(F.col(name), grain)
+    raise ValueError(f"grain must be 'day', 'month' or 'year', not {grain!r}")
 
 
 def order_header(orders: DataFrame, key: str = "o_custkey") -> DataFrame:
@@ -68,7 +68,7 @@ def schedule_lines(lineitem: DataFrame) -> DataFrame:
 
 
 def invoice_lines(lineitem: DataFrame, grain: str = "day") -> DataFrame:
-    """VBRP from ``lineitem``; the load date is the ship date (or its month)."""
+    """VBRP from ``lineitem``; the load date is the ship date (or its month/year)."""
     return lineitem.select(
         F.col("l_orderkey").alias("VBELN"),
         F.col("l_linenumber").alias("POSNR"),
