@@ -84,7 +84,7 @@ def axis_label(c: Column | str, metric: str = "amt") -> Column:
             F.concat(F.lit("$"), k, F.lit("K"))
         )
     if metric == "qty":
-        return F.when(v >= 1_000, F.concat(k, F.lit("K"))).otherwise(v.cast("string"))
+        return F.when(v >= 1_000, F.concat(k, F.lit("K"))).otherwise(F.regexp_replace(plain_number(c), ",", ""))
     raise ValueError(f"metric must be 'amt' or 'qty', not {metric!r}")
 
 

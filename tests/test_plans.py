@@ -1,0 +1,54 @@
+"""Plan checks: no Python in any job, top-n as TakeOrderedAndProject,
+filters pushed to the scans, scalar subquery pushed to the line scan."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.01"
+JOBS = entry.queries()
+
+
+def _plan(df) -> str:
+    """The formatted explain text (what ``df.explain("formatted")`` prints)."""
+    jvm = df.sparkSession._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.mark.parametrize("name", sorted(JOBS))
+def test_no_python_udf(spark, name):
+    plan = _plan(JOBS[name](spark, SF))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas"):
+        assert node not in plan, f"{name} runs Python: {node}"
+
+
+def test_top_n_is_take_ordered(spark):
+    for name in ("k2_open_orders", "k3_delayed_lines", "k12_duplicate_keys", "k8_keyword_samples"):
+        assert "TakeOrderedAndProject" in _plan(JOBS[name](spark, SF)), name
+
+
+def test_version_floor_and_status_pushed_to_scan(spark):
+    plan = _plan(JOBS["k2_open_orders"](spark, SF))
+    assert "PushedFilters: [IsNotNull(o_orderdate), IsNotNull(o_orderpriority), GreaterThanOrEqual(o_orderdate" in plan
+    assert "In(o_orderstatus, [O,P])" in plan
+
+
+def test_latest_snapshot_is_scalar_subquery(spark):
+    plan = _plan(JOBS["k10_monthly_sales_latest"](spark, SF))
+    assert "ScalarSubquery" in plan or "Subquery subquery" in plan
+
+
+def test_keyword_filter_below_join(spark):
+    df = JOBS["k6_keyword_groups"](spark, SF)
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    join_at = optimized.index("Join Inner")
+    assert optimized.index("Contains(upper(text") > join_at  # the rule sits under the join, on the text side
+
+
+def test_pivot_shares_one_shuffle(spark):
+    df = JOBS["k16_pivot_totals"](spark, SF)
+    df.collect()
+    final = _plan(df)
+    assert "ReusedExchange" in final or "Reused" in final

@@ -1,0 +1,106 @@
+"""K1 newest version per key, K11 distribution, K12 duplicate keys."""
+
+from __future__ import annotations
+
+import random
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from salesloom.operators import versions
+from tests.conftest import HEADER_SCHEMA, d, money
+
+
+def _header(spark, rows):
+    return spark.createDataFrame(rows, HEADER_SCHEMA)
+
+
+def _row(key, load, status="A", overall="B", amount=100, cur="USD", audat="2026-01-05"):
+    return (key, d(load), d(audat), "ZOR", "C1", status, overall, money(amount), cur)
+
+
+def test_ties_are_kept(spark):
+    df = _header(spark, [
+        _row("1", "2026-01-01"), _row("1", "2026-02-01", amount=1), _row("1", "2026-02-01", amount=2),
+        _row("2", "2026-01-01"),
+    ])
+    out = versions.latest_version(df).orderBy("VBELN", "NETWR").collect()
+    assert [(r.VBELN, r.FILE_DATE, r.NETWR) for r in out] == [
+        ("1", d("2026-02-01"), money(1)), ("1", d("2026-02-01"), money(2)),
+        ("2", d("2026-01-01"), money(100)),
+    ]
+
+
+def test_floor_hides_old_keys(spark):
+    df = _header(spark, [_row("1", "2025-12-01"), _row("2", "2025-12-01"), _row("2", "2026-01-02")])
+    out = versions.latest_version(df, since="2026-01-01").collect()
+    assert [(r.VBELN, r.FILE_DATE) for r in out] == [("2", d("2026-01-02"))]
+
+
+def test_null_key_or_version_never_matches(spark):
+    df = _header(spark, [
+        (None, d("2026-01-01"), None, None, None, "A", "B", money(1), "USD"),
+        ("1", None, None, None, None, "A", "B", money(1), "USD"),
+        ("1", d("2026-01-01"), None, None, None, "A", "B", money(1), "USD"),
+    ])
+    out = versions.latest_version(df).collect()
+    assert [(r.VBELN, r.FILE_DATE) for r in out] == [("1", d("2026-01-01"))]
+
+
+def test_idempotent(spark):
+    df = _header(spark, [_row(str(k % 5), f"2026-01-0{1 + k % 3}") for k in range(30)])
+    once = versions.latest_version(df)
+    twice = versions.latest_version(once)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+
+
+def test_equals_max_join_brute_force(spark):
+    rng = random.Random(7)
+    rows = [
+        (str(rng.randrange(20)), str(rng.randrange(3)), d(f"2026-0{rng.randrange(1, 4)}-0{rng.randrange(1, 3)}"),
+         rng.randrange(1000))
+        for _ in range(400)
+    ]
+    df = spark.createDataFrame(rows, "K1 string, K2 string, V date, X int")
+    got = sorted(map(tuple, versions.latest_version(df, ["K1", "K2"], "V").collect()))
+    pdf = pd.DataFrame(rows, columns=["K1", "K2", "V", "X"])
+    newest = pdf.groupby(["K1", "K2"])["V"].transform("max")
+    want = sorted(map(tuple, pdf[pdf["V"] == newest].itertuples(index=False)))
+    assert got == want
+
+
+def test_plan_is_semi_join_not_window(spark):
+    df = _header(spark, [_row("1", "2026-01-01")])
+    plan = versions.latest_version(df)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    assert "Window" not in plan
+
+
+def test_duplicate_keys(spark):
+    rows = [("A", "10", d("2026-01-01")), ("A", "10", d("2026-01-03")), ("A", "10", d("2026-01-02")),
+            ("B", "10", d("2026-01-01")), ("B", "20", d("2026-01-01")), ("B", "20", d("2026-01-05"))]
+    df = spark.createDataFrame(rows, "VBELN string, POSNR string, FILE_DATE date")
+    out = versions.duplicate_keys(df).collect()
+    assert [(r.VBELN, r.POSNR, r.DUP_CNT, r.FIRST_DATE, r.LAST_DATE) for r in out] == [
+        ("A", "10", 3, d("2026-01-01"), d("2026-01-03")),
+        ("B", "20", 2, d("2026-01-01"), d("2026-01-05")),
+    ]
+    assert versions.duplicate_key_count(df, ["VBELN", "POSNR"]) == 2
+    unique = df.dropDuplicates(["VBELN", "POSNR"])
+    assert versions.duplicate_keys(unique).count() == 0
+    assert versions.duplicate_key_count(unique, ["VBELN", "POSNR"]) == 0
+
+
+def test_version_distribution_with_group(spark):
+    lines = spark.createDataFrame(
+        [("1", "M1", d("2026-01-01"), money(5)), ("2", "M1", d("2026-01-01"), money(7)),
+         ("3", "M2", d("2026-01-01"), money(100)), ("4", "M1", d("2026-01-02"), money(1))],
+        "VBELN string, MATNR string, FILE_DATE date, NETWR decimal(18,2)",
+    )
+    products = spark.createDataFrame([("M1", "G1"), ("M2", "G2")], "MATNR string, MATKL string")
+    out = versions.version_distribution(lines, products, "G1").collect()
+    assert [(r.FILE_DATE, r.ROW_CNT, r.NET_USD) for r in out] == [
+        (d("2026-01-01"), 2, money(12)), (d("2026-01-02"), 1, money(1)),
+    ]
+    everything = versions.version_distribution(lines).agg(F.sum("ROW_CNT")).first()[0]
+    assert everything == 4
