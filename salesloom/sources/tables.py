@@ -56,3 +56,25 @@ def column_names(df: DataFrame) -> list[str]:
 def preview(df: DataFrame, n: int = 3) -> DataFrame:
     """Any ``n`` rows, in no particular order."""
     return df.limit(n)
+
+
+def write_versioned(
+    df: DataFrame,
+    path: str,
+    version: str = "FILE_DATE",
+    mode: str = "append",
+) -> None:
+    """Store a versioned snapshot table as parquet partitioned by load date.
+
+    One folder per load date: a version floor (``since``) or the newest-load
+    cut of ``monthly_sales(snapshot="global_latest")`` then reads only the
+    matching folders (partition pruning; the newest-load subquery is applied
+    at run time). Rows are clustered by load date before the write so each
+    task writes few files.
+    """
+    (
+        df.repartition(version)
+        .write.mode(mode)
+        .partitionBy(version)
+        .parquet(path)
+    )
