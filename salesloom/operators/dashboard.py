@@ -203,3 +203,20 @@ def default_range(extract: DataFrame) -> DataFrame:
         F.min(MONTH).alias("LO"),
         F.max(F.when(F.col(MONTH) < newest, F.col(MONTH))).alias("HI"),
     )
+
+
+def label_categories(
+    df: DataFrame,
+    labels: DataFrame,
+    key: str = CATEGORY,
+    label: str = "LABEL",
+) -> DataFrame:
+    """Add the display label of each category code.
+
+    ``labels`` is a ``key -> label`` dimension (unique key); a code without a
+    label shows as itself. A left join: AQE broadcasts the dimension when its
+    run-time size is under the broadcast threshold.
+    """
+    return df.join(labels.select(key, F.col(label).alias("_label")), on=key, how="left").select(
+        *df.columns, F.coalesce(F.col("_label"), F.col(key)).alias(label)
+    )

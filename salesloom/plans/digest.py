@@ -2,21 +2,25 @@
 of text lines.
 
 Result: ``SECTION`` (0 open orders, 1 overdue lines), ``POS`` (line number
-within the section) and ``LINE``. Sending the text anywhere is the caller's
-business. Both reports are top-n frames, so every frame here has at most
-``n`` rows; they are checkpointed once to the shared checkpoint folder so the
-count, the subtotals and the row lines do not each re-run the report.
+within the section, from 1) and ``LINE``. Sending the text anywhere is the
+caller's business.
+
+Each report is a top-n frame (at most ``n`` rows, a proven bound), so each
+section is built by one global aggregation over it: the rows are gathered in
+report order, subtotals are computed over that bounded array with
+higher-order functions, and the lines are exploded with their position. Each
+report is therefore read exactly once - no re-run, no checkpoint, no window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_stamp, date_value
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
-from ..operators.orders import row_count, subtotals
-from ..session import cut_lineage
 
 # Display labels (English; the texts are presentation, not data).
 OPEN_TITLE = "[Open sales orders] as of "
@@ -24,102 +28,134 @@ DELAY_TITLE = "[Overdue schedule lines] as of "
 NO_DELAY = "No overdue lines"
 FENCE = "```"
 RULE = "-" * 65
+OPEN_HEAD = " ".join(
+    [f"{'Order':<12}", f"{'Date':<12}", f"{'Type':<6}", f"{'Status':<8}",
+     f"{'Amount':>12}", f"{'Cur':<5}", f"{'Age':>5}"]
+)
+DELAY_HEAD = " ".join(
+    [f"{'Order':<12}", f"{'Item':<6}", f"{'Date':<12}", f"{'Requested':<12}",
+     f"{'Open qty':>8}", f"{'Late':>5}"]
+)
 
 
-def _lines(frame: DataFrame, section: int, block: int, line: Column, order: list[Column]) -> DataFrame:
-    """Number the rows of a small (at most n rows) frame in ``order``."""
-    pos = F.row_number().over(Window.orderBy(*order))
-    return frame.select(
-        F.lit(section).alias("SECTION"), F.lit(block).alias("BLOCK"), pos.alias("ROWNO"), line.alias("LINE")
-    )
+def _texts(*lines: str) -> Column:
+    return F.array(*[F.lit(s) for s in lines])
 
 
-def _fixed(count: DataFrame, section: int, block: int, texts: list[Column], when: Column) -> DataFrame:
-    """Fixed lines, emitted from the one-row count frame when ``when`` holds."""
-    arr = F.array(*[F.struct(F.lit(i + 1).alias("ROWNO"), t.alias("LINE")) for i, t in enumerate(texts)])
-    return count.filter(when).select(
-        F.lit(section).alias("SECTION"), F.lit(block).alias("BLOCK"), F.inline(arr)
-    )
+def _concat_arrays(*arrays: Column) -> Column:
+    return reduce(lambda a, b: F.concat(a, b), arrays)
 
 
-def digest_lines(
-    open_report: DataFrame,
-    delayed_report: DataFrame,
-    as_of=None,
-    n: int = 20,
-    not_delivered: str = "A",
-) -> DataFrame:
-    """K5: both report sections as ordered text lines.
+def _ordered_lines(rows: Column) -> Column:
+    """Line texts of the gathered rows, in report order (the sort keys lead
+    the struct, so ascending struct order is report order)."""
+    return F.transform(F.sort_array(rows), lambda r: r["LINE"])
 
-    ``not_delivered`` is the delivery-status code shown as "Not delivered";
-    every other code shows as "Partly delivered"."""
-    open_top = cut_lineage(open_report)
-    late_top = cut_lineage(delayed_report)
-    day = date_stamp(date_value(as_of))
 
-    # Section 0: open orders.
-    n_open = row_count(open_top)
-    head0 = _fixed(
-        n_open, 0, 0,
-        [F.concat(F.lit("*" + OPEN_TITLE), day, F.lit("*")),
-         F.concat(F.lit("Total "), F.col("ROWS").cast("string"), F.lit(f" (top {n} by amount)"))],
-        F.lit(True),
-    )
-    sums = subtotals(open_top)
-    sum_lines = _lines(
-        sums, 0, 1,
-        F.concat(F.lit("  Total("), F.col("WAERK").cast("string"), F.lit("): "), thousands("NET_TOTAL")),
-        [F.col("WAERK")],
-    )
-    table0 = _fixed(
-        n_open, 0, 2,
-        [F.lit(""), F.lit(FENCE),
-         F.lit(" ".join([f"{'Order':<12}", f"{'Date':<12}", f"{'Type':<6}", f"{'Status':<8}",
-                         f"{'Amount':>12}", f"{'Cur':<5}", f"{'Age':>5}"])),
-         F.lit(RULE)],
-        F.lit(True),
-    )
-    open_row = F.concat_ws(
+def _section(df: DataFrame, section: int) -> DataFrame:
+    return df.select(
+        F.lit(section).alias("SECTION"),
+        F.posexplode("LINES").alias("POS", "LINE"),
+    ).select("SECTION", (F.col("POS") + 1).alias("POS"), "LINE")
+
+
+def open_section(open_report: DataFrame, day: Column, n: int, not_delivered: str) -> DataFrame:
+    """Section 0: title, count, per-currency totals, the table of orders."""
+    line = F.concat_ws(
         " ",
         pad_right("VBELN", 12), pad_right(F.col("AUDAT").cast("string"), 12), pad_right("AUART", 6),
         pad_right(status_label("LFSTK", not_delivered, "Not delivered", "Partly delivered"), 8),
         pad_left(thousands("NETWR"), 12), pad_right("WAERK", 5),
         F.concat(pad_left(F.col("ORDER_AGE_DAYS").cast("string"), 3), F.lit("d")),
     )
-    rows0 = _lines(open_top, 0, 3, open_row, [F.col("NETWR").desc_nulls_first(), F.col("VBELN")])
-    foot0 = _fixed(n_open, 0, 4, [F.lit(FENCE)], F.lit(True))
-
-    # Section 1: overdue lines; an empty report has its own message.
-    n_late = row_count(late_top)
-    title1 = F.concat(F.lit("*" + DELAY_TITLE), day, F.lit("*"))
-    empty1 = _fixed(n_late, 1, 0, [title1, F.lit(NO_DELAY)], F.col("ROWS") == 0)
-    head1 = _fixed(
-        n_late, 1, 0,
-        [title1,
-         F.concat(F.lit("Total "), F.col("ROWS").cast("string"), F.lit(" (by days late)")),
-         F.lit(""), F.lit(FENCE),
-         F.lit(" ".join([f"{'Order':<12}", f"{'Item':<6}", f"{'Date':<12}", f"{'Requested':<12}",
-                         f"{'Open qty':>8}", f"{'Late':>5}"])),
-         F.lit(RULE)],
-        F.col("ROWS") > 0,
+    row = F.struct(
+        F.col("NETWR").isNotNull().cast("int").alias("K0"),  # NULL amount first
+        (-F.col("NETWR")).alias("K1"),                       # then amount descending
+        F.col("VBELN").alias("K2"),
+        F.col("AUART").alias("K3"),
+        F.col("WAERK").alias("CUR"),
+        F.col("NETWR").alias("AMT"),
+        line.alias("LINE"),
+    )
+    gathered = open_report.agg(F.count(F.lit(1)).alias("ROWS"), F.collect_list(row).alias("ROWS_"))
+    currencies = F.array_sort(
+        F.array_distinct(F.filter(F.transform("ROWS_", lambda r: r["CUR"]), lambda c: c.isNotNull()))
     )
-    late_row = F.concat_ws(
+    zero = F.lit(0).cast("decimal(38,2)")
+    subtotal_lines = F.transform(
+        currencies,
+        lambda c: F.concat(
+            F.lit("  Total("), c.cast("string"), F.lit("): "),
+            F.format_number(
+                F.aggregate(
+                    F.filter("ROWS_", lambda r: r["CUR"] == c),
+                    zero,
+                    lambda acc, r: acc + F.coalesce(r["AMT"], zero),
+                ),
+                0,
+            ),
+        ),
+    )
+    lines = _concat_arrays(
+        F.array(
+            F.concat(F.lit("*" + OPEN_TITLE), day, F.lit("*")),
+            F.concat(F.lit("Total "), F.col("ROWS").cast("string"), F.lit(f" (top {n} by amount)")),
+        ),
+        subtotal_lines,
+        _texts("", FENCE, OPEN_HEAD, RULE),
+        _ordered_lines(F.col("ROWS_")),
+        _texts(FENCE),
+    )
+    return _section(gathered.select(lines.alias("LINES")), 0)
+
+
+def delay_section(delayed_report: DataFrame, day: Column) -> DataFrame:
+    """Section 1: title and either the table of overdue lines or one line
+    saying there are none."""
+    line = F.concat_ws(
         " ",
         pad_right("VBELN", 12), pad_right(zero_fill("POSNR", 5), 6),
         pad_right(F.col("AUDAT").cast("string"), 12), pad_right(F.col("EDATU").cast("string"), 12),
         pad_left(thousands("REMAIN_QTY"), 8),
         F.concat(pad_left(F.col("DELAY_DAYS").cast("string"), 3), F.lit("d")),
     )
-    rows1 = _lines(late_top, 1, 3, late_row, [F.col("DELAY_DAYS").desc_nulls_first(), F.col("VBELN"), F.col("POSNR")])
-    foot1 = _fixed(n_late, 1, 4, [F.lit(FENCE)], F.col("ROWS") > 0)
-
-    parts = [head0, sum_lines, table0, rows0, foot0, empty1, head1, rows1, foot1]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    numbered = out.select(
-        "SECTION",
-        F.row_number().over(Window.partitionBy("SECTION").orderBy("BLOCK", "ROWNO")).alias("POS"),
-        "LINE",
+    row = F.struct(
+        F.col("DELAY_DAYS").isNotNull().cast("int").alias("K0"),
+        (-F.col("DELAY_DAYS")).alias("K1"),
+        F.col("VBELN").alias("K2"),
+        F.col("POSNR").alias("K3"),
+        line.alias("LINE"),
+    )
+    gathered = delayed_report.agg(F.count(F.lit(1)).alias("ROWS"), F.collect_list(row).alias("ROWS_"))
+    title = F.concat(F.lit("*" + DELAY_TITLE), day, F.lit("*"))
+    table = _concat_arrays(
+        F.array(title, F.concat(F.lit("Total "), F.col("ROWS").cast("string"), F.lit(" (by days late)"))),
+        _texts("", FENCE, DELAY_HEAD, RULE),
+        _ordered_lines(F.col("ROWS_")),
+        _texts(FENCE),
+    )
+    lines = F.when(F.col("ROWS") == 0, F.array(title, F.lit(NO_DELAY))).otherwise(table)
+    return _section(gathered.select(lines.alias("LINES")), 1)
+
+
+def digest_lines(
+    open_report: DataFrame,
+    delayed_report: DataFrame,
+    as_of=None,
+    n: int = 20,
+    not_delivered: str = "A",
+) -> DataFrame:
+    """K5: both report sections as ordered text lines.
+
+    ``open_report`` is ``open_orders`` output, ``delayed_report`` is
+    ``delayed_lines`` output; ``not_delivered`` is the delivery-status code
+    shown as "Not delivered" (every other code is "Partly delivered").
+    Subtotals follow a grouped sum over the report rows: currencies in
+    order, a NULL currency left out.
+    """
+    day = date_stamp(date_value(as_of))
+    return (
+        open_section(open_report, day, n, not_delivered)
+        .unionByName(delay_section(delayed_report, day))
+        .orderBy("SECTION", "POS")
     )
-    return numbered.orderBy("SECTION", "POS")

@@ -738,3 +738,17 @@ def k18_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k18_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered preview: any 3 rows, so only the row count is checked."""
     return preview(_t(spark, sf_dir, "documents"), 3)
+
+
+@register(
+    "i14_category_labels",
+    oracle=SQL_EXTRACT_CTES + """,
+lab AS (SELECT DISTINCT UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) AS CATEGORY,
+               UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) || ' (' || p_type || ')' AS LABEL
+        FROM part WHERE p_type NOT LIKE '%L')
+SELECT e.YEARMONTH, e.CATEGORY, e.QTY, e.NET_USD, COALESCE(lab.LABEL, e.CATEGORY) AS LABEL
+FROM extract e LEFT JOIN lab ON e.CATEGORY = lab.CATEGORY""",
+)
+def i14_category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = standins.category_labels(_t(spark, sf_dir, "part"))
+    return dash.label_categories(_extract(spark, sf_dir), labels)

@@ -1,5 +1,4 @@
-"""Spark session settings the jobs are written against, and the shared
-checkpoint folder.
+"""Spark session settings the jobs are written against.
 
 The jobs never hard-code a partition count: on a cluster the caller's
 ``spark.sql.shuffle.partitions`` holds and AQE coalesces small stages and
@@ -8,9 +7,7 @@ splits skewed join partitions at run time.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job assumes. AQE re-plans joins from run-time sizes: a join
 # side is broadcast only when its measured size is under the threshold, and a
@@ -45,29 +42,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without the setting gets a folder of its own;
-    a cluster session without it is a configuration error, because a
-    machine-local folder does not survive the loss of an executor.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="salesloom-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, not local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
