@@ -210,7 +210,73 @@ def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K5 the digest as text lines (no SQL oracle: formatting; rows-only check)
 # ---------------------------------------------------------------------------
-@register("k5_digest_lines")
+def _rp(expr: str, width: int, fill: str = " ") -> str:
+    """SQL: right-pad to ``width`` without truncating."""
+    return f"rpad({expr}, CAST(greatest({width}, length({expr})) AS INTEGER), '{fill}')"
+
+
+def _lp(expr: str, width: int, fill: str = " ") -> str:
+    """SQL: left-pad to ``width`` without truncating."""
+    return f"lpad({expr}, CAST(greatest({width}, length({expr})) AS INTEGER), '{fill}')"
+
+
+def _sql_digest() -> str:
+    from . import digest as dg
+
+    def q(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    fmt = "format('{{:,.0f}}', {})".format
+    open_line = "concat_ws(' ', " + ", ".join([
+        _rp("CAST(VBELN AS VARCHAR)", 12), _rp("CAST(AUDAT AS VARCHAR)", 12), _rp("AUART", 6),
+        _rp("CASE WHEN LFSTK = 'O' THEN 'Not delivered' ELSE 'Partly delivered' END", 8),
+        _lp(fmt("NETWR"), 12), _rp("WAERK", 5),
+        _lp("CAST(ORDER_AGE_DAYS AS VARCHAR)", 3) + " || 'd'",
+    ]) + ")"
+    late_line = "concat_ws(' ', " + ", ".join([
+        _rp("CAST(VBELN AS VARCHAR)", 12), _rp(_lp("CAST(POSNR AS VARCHAR)", 5, "0"), 6),
+        _rp("CAST(AUDAT AS VARCHAR)", 12), _rp("CAST(EDATU AS VARCHAR)", 12),
+        _lp(fmt("REMAIN_QTY"), 8), _lp("CAST(DELAY_DAYS AS VARCHAR)", 3) + " || 'd'",
+    ]) + ")"
+    return f"""
+WITH top AS ({SQL_K2}),
+late AS ({SQL_K3_BODY}
+  ORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR LIMIT 20),
+n0 AS (SELECT COUNT(*) AS ROWS FROM top),
+cur AS (SELECT WAERK, SUM(NETWR) AS AMT, ROW_NUMBER() OVER (ORDER BY WAERK) AS R
+        FROM top WHERE WAERK IS NOT NULL GROUP BY WAERK),
+nc AS (SELECT COUNT(*) AS C FROM cur),
+rows0 AS (SELECT ROW_NUMBER() OVER (ORDER BY NETWR DESC NULLS FIRST, VBELN, AUART) AS R,
+                 {open_line} AS LINE FROM top),
+sec0 AS (
+  SELECT 1 AS POS, {q("*" + dg.OPEN_TITLE + REPORT_AS_OF + "*")} AS LINE
+  UNION ALL SELECT 2, 'Total ' || ROWS || ' (top 20 by amount)' FROM n0
+  UNION ALL SELECT 2 + R, '  Total(' || WAERK || '): ' || {fmt("AMT")} FROM cur
+  UNION ALL SELECT 3 + C, '' FROM nc
+  UNION ALL SELECT 4 + C, {q(dg.FENCE)} FROM nc
+  UNION ALL SELECT 5 + C, {q(dg.OPEN_HEAD)} FROM nc
+  UNION ALL SELECT 6 + C, {q(dg.RULE)} FROM nc
+  UNION ALL SELECT 6 + C + R, LINE FROM rows0, nc
+  UNION ALL SELECT 7 + C + ROWS, {q(dg.FENCE)} FROM nc, n0),
+n1 AS (SELECT COUNT(*) AS ROWS FROM late),
+rows1 AS (SELECT ROW_NUMBER() OVER (ORDER BY DELAY_DAYS DESC NULLS FIRST, VBELN, POSNR) AS R,
+                 {late_line} AS LINE FROM late),
+sec1 AS (
+  SELECT 1 AS POS, {q("*" + dg.DELAY_TITLE + REPORT_AS_OF + "*")} AS LINE
+  UNION ALL SELECT 2, {q(dg.NO_DELAY)} FROM n1 WHERE ROWS = 0
+  UNION ALL SELECT 2, 'Total ' || ROWS || ' (by days late)' FROM n1 WHERE ROWS > 0
+  UNION ALL SELECT 3, '' FROM n1 WHERE ROWS > 0
+  UNION ALL SELECT 4, {q(dg.FENCE)} FROM n1 WHERE ROWS > 0
+  UNION ALL SELECT 5, {q(dg.DELAY_HEAD)} FROM n1 WHERE ROWS > 0
+  UNION ALL SELECT 6, {q(dg.RULE)} FROM n1 WHERE ROWS > 0
+  UNION ALL SELECT 6 + R, LINE FROM rows1
+  UNION ALL SELECT 7 + ROWS, {q(dg.FENCE)} FROM n1 WHERE ROWS > 0)
+SELECT 0 AS SECTION, CAST(POS AS INTEGER) AS POS, LINE FROM sec0
+UNION ALL
+SELECT 1 AS SECTION, CAST(POS AS INTEGER) AS POS, LINE FROM sec1"""
+
+
+@register("k5_digest_lines", oracle=_sql_digest())
 def k5_digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest import digest_lines
 
