@@ -7,6 +7,8 @@ stand-in projection as a CTE over the raw tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import orders as ord_ops
@@ -16,7 +18,11 @@ from ..sources.tables import load_table
 from .registry import register
 
 
+@functools.lru_cache(maxsize=256)
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table, opened once per session (like a catalog entry): the
+    file listing and footer read happen once, later jobs reuse the lazy
+    scan. Nothing is cached in memory."""
     return load_table(spark, name, base=sf_dir)
 
 
