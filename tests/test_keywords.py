@@ -85,3 +85,12 @@ def test_keyword_split_adds_up(spark, frames):
     assert out == {"Match": (1, "vehicle mount"), "Other": (1, None)}  # NULL text -> ELSE
     total = kw.group_profile(products, texts, lang="E", groups=["G2"]).first().CNT
     assert sum(c for c, _ in out.values()) == total
+
+
+def test_whole_text_is_searched(spark):
+    long_text = " ".join(["filler"] * 20_000) + " Dashcam"
+    products = spark.createDataFrame([("P9", "G9")], "MATNR string, MATKL string")
+    texts = spark.createDataFrame([("P9", "E", long_text)], "MATNR string, SPRAS string, MAKTX string")
+    out = kw.keyword_groups(products, texts, kw.any_of("DASHCAM"), lang="E").collect()
+    assert [(r.MATKL, r.CNT) for r in out] == [("G9", 1)]
+    assert len(out[0].SAMPLE1) == len(long_text)
