@@ -1,0 +1,36 @@
+"""K18 catalog lookups, S3 default schema, I14 category labels."""
+
+from __future__ import annotations
+
+from salesloom.operators import catalog, dashboard
+from salesloom.sources.tables import use_schema
+
+
+def test_dictionary_rows_of_one_table(spark):
+    defs = spark.createDataFrame(
+        [("CE11000", "VV010", "x"), ("CE11000", "ERLOS", "y"), ("SKAT", "TXT20", "z"), (None, "A", "n")],
+        "TABLE_NAME string, COLUMN_NAME string, NOTE string",
+    )
+    out = catalog.dictionary(defs, "CE11000").collect()
+    assert [r.COLUMN_NAME for r in out] == ["ERLOS", "VV010"]
+    assert list(out[0].asDict()) == ["TABLE_NAME", "COLUMN_NAME", "NOTE"]
+
+
+def test_distinct_values_and_preview(spark):
+    df = spark.createDataFrame([("E",), ("K",), ("E",), (None,)], "SPRAS string")
+    assert sorted(r.SPRAS or "" for r in catalog.distinct_values(df, "SPRAS").collect()) == ["", "E", "K"]
+    assert catalog.distinct_values(df, "SPRAS", n=2).count() == 2
+    assert catalog.preview(df, 3).count() == 3
+    assert catalog.column_names(df) == ["SPRAS"]
+
+
+def test_use_schema(spark):
+    use_schema(spark, "default")
+    assert spark.catalog.currentDatabase() == "default"
+
+
+def test_label_categories_falls_back_to_code(spark):
+    extract = spark.createDataFrame([("2025-01", "CarMat"), ("2025-01", "CarX")], "YEARMONTH string, CATEGORY string")
+    labels = spark.createDataFrame([("CarMat", "Car mats (CarMat)")], "CATEGORY string, LABEL string")
+    out = {r.CATEGORY: r.LABEL for r in dashboard.label_categories(extract, labels).collect()}
+    assert out == {"CarMat": "Car mats (CarMat)", "CarX": "CarX"}
