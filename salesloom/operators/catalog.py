@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ascending
 from ..sources.tables import column_names, preview  # noqa: F401  (S4, S5 re-exported)
 
 
@@ -16,7 +17,7 @@ def dictionary(
     order_col: str = "COLUMN_NAME",
 ) -> DataFrame:
     """The definition rows of one table, ordered by column name."""
-    return defs.filter(F.col(table_col) == F.lit(table)).orderBy(order_col)
+    return defs.filter(F.col(table_col) == F.lit(table)).orderBy(*ascending(order_col))
 
 
 def distinct_values(df: DataFrame, column: str, n: int | None = 20) -> DataFrame:

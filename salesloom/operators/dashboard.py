@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ascending
 from ..functions.text import compact_money, dash_unless_positive, plain_number, round_half_up
 
 METRICS = {"amt": "NET_USD", "qty": "QTY"}
@@ -162,7 +163,7 @@ def pivot_with_totals(
     return (
         body.select(F.lit(0).alias("_last"), "*")
         .unionByName(totals.select(F.lit(1).alias("_last"), "*"))
-        .orderBy("_last", MONTH)
+        .orderBy(*ascending("_last", MONTH))
         .drop("_last")
     )
 

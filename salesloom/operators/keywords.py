@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ascending, descending
+
 
 @dataclass(frozen=True)
 class Clause:
@@ -157,7 +159,7 @@ def keyword_groups(
     aggs = [F.count_distinct(material).alias("CNT"), F.min(text_col).alias("SAMPLE1")]
     if with_max:
         aggs.append(F.max(text_col).alias("SAMPLE2"))
-    out = df.groupBy(group_col).agg(*aggs).orderBy(F.desc("CNT"), F.asc(group_col))
+    out = df.groupBy(group_col).agg(*aggs).orderBy(*descending("CNT"), *ascending(group_col))
     return out if n is None else out.limit(n)
 
 
@@ -180,7 +182,7 @@ def group_profile(
     aggs = [F.count_distinct(material).alias("CNT"), F.min(text_col).alias("SAMPLE1")]
     if with_max:
         aggs.append(F.max(text_col).alias("SAMPLE2"))
-    return df.groupBy(group_col).agg(*aggs).orderBy(group_col)
+    return df.groupBy(group_col).agg(*aggs).orderBy(*ascending(group_col))
 
 
 def keyword_samples(
@@ -207,7 +209,7 @@ def keyword_samples(
     if rule is not None:
         df = df.filter(rule.column(text_col))
     sort = list(order) + ([material] if material not in order else [])
-    return df.select(text_col, group_col, material).orderBy(*sort).limit(n)
+    return df.select(text_col, group_col, material).orderBy(*ascending(*sort)).limit(n)
 
 
 def keyword_split(

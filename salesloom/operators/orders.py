@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_value, day_diff
+from ..functions.ordering import ascending, descending
 from .versions import latest_version
 
 HEADER_COLUMNS = ("VBELN", "AUDAT", "AUART", "KUNNR", "LFSTK", "GBSTK", "NETWR", "WAERK")
@@ -75,7 +76,7 @@ def open_orders(
             *columns,
             day_diff(F.col(order_date), date_value(as_of)).alias("ORDER_AGE_DAYS"),
         )
-        .orderBy(F.col(amount).desc_nulls_first(), *[F.asc(c) for c in ties])
+        .orderBy(*descending(amount), *ascending(*ties))
         .limit(n)
     )
 
@@ -117,7 +118,7 @@ def delayed_lines(
     return (
         overdue.join(orders, on="VBELN", how="inner")
         .select(*DELAY_COLUMNS)
-        .orderBy(F.col("DELAY_DAYS").desc_nulls_first(), *[F.asc(c) for c in tie_break])
+        .orderBy(*descending("DELAY_DAYS"), *ascending(*tie_break))
         .limit(n)
     )
 
@@ -132,7 +133,7 @@ def subtotals(report: DataFrame, key: str = "WAERK", amount: str = "NETWR") -> D
         report.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.sum(amount).cast("decimal(38,2)").alias("NET_TOTAL"))
-        .orderBy(key)
+        .orderBy(*ascending(key))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_value, month_key
+from ..functions.ordering import ascending
 
 SNAPSHOT_MODES = ("paired", "global_latest")
 
@@ -72,7 +73,7 @@ def monthly_sales(
             F.sum("FKIMG").cast("decimal(38,3)").alias("QTY"),
             F.sum("NETWR").cast("decimal(38,2)").alias("NET_USD"),
         )
-        .orderBy("YEARMONTH", *(["MATKL"] if by_group else []))
+        .orderBy(*ascending("YEARMONTH", *(["MATKL"] if by_group else [])))
     )
 
 
@@ -91,5 +92,5 @@ def category_extract(monthly_by_group: DataFrame, mapping: DataFrame) -> DataFra
             F.sum("QTY").cast("decimal(38,3)").alias("QTY"),
             F.sum("NET_USD").cast("decimal(38,2)").alias("NET_USD"),
         )
-        .orderBy("YEARMONTH", "CATEGORY")
+        .orderBy(*ascending("YEARMONTH", "CATEGORY"))
     )

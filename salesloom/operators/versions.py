@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_value
+from ..functions.ordering import ascending, descending
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -71,7 +72,7 @@ def version_distribution(
             F.count(F.lit(1)).alias("ROW_CNT"),
             F.sum(amount).cast("decimal(38,2)").alias("NET_USD"),
         )
-        .orderBy(version)
+        .orderBy(*ascending(version))
     )
 
 
@@ -103,7 +104,7 @@ def duplicate_keys(
             F.max(version).alias("LAST_DATE"),
         )
         .filter(F.col("DUP_CNT") > 1)
-        .orderBy(F.desc("DUP_CNT"), *[F.asc(k) for k in key_cols])
+        .orderBy(*descending("DUP_CNT"), *ascending(*key_cols))
     )
     return dups if n is None else dups.limit(n)
 

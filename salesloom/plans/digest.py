@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_stamp, date_value
+from ..functions.ordering import ascending
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
 
 # Display labels (English; the texts are presentation, not data).
@@ -71,7 +72,9 @@ def open_section(open_report: DataFrame, day: Column, n: int, not_delivered: str
     row = F.struct(
         F.col("NETWR").isNotNull().cast("int").alias("K0"),  # NULL amount first
         (-F.col("NETWR")).alias("K1"),                       # then amount descending
+        F.col("VBELN").isNull().alias("K2N"),                # then keys ascending, NULL last
         F.col("VBELN").alias("K2"),
+        F.col("AUART").isNull().alias("K3N"),
         F.col("AUART").alias("K3"),
         F.col("WAERK").alias("CUR"),
         F.col("NETWR").alias("AMT"),
@@ -122,7 +125,9 @@ def delay_section(delayed_report: DataFrame, day: Column) -> DataFrame:
     row = F.struct(
         F.col("DELAY_DAYS").isNotNull().cast("int").alias("K0"),
         (-F.col("DELAY_DAYS")).alias("K1"),
+        F.col("VBELN").isNull().alias("K2N"),
         F.col("VBELN").alias("K2"),
+        F.col("POSNR").isNull().alias("K3N"),
         F.col("POSNR").alias("K3"),
         line.alias("LINE"),
     )
@@ -157,5 +162,5 @@ def digest_lines(
     return (
         open_section(open_report, day, n, not_delivered)
         .unionByName(delay_section(delayed_report, day))
-        .orderBy("SECTION", "POS")
+        .orderBy(*ascending("SECTION", "POS"))
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.ordering import ascending
+
 EXTRACT_SCHEMA = T.StructType(
     [
         T.StructField("YEARMONTH", T.StringType()),
@@ -39,7 +41,7 @@ def write_extract(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     the whole extract.
     """
     (
-        df.orderBy("YEARMONTH", "CATEGORY")
+        df.orderBy(*ascending("YEARMONTH", "CATEGORY"))
         .write.mode(mode)
         .option("header", True)
         .option("lineSep", "\r\n")

@@ -45,9 +45,10 @@ def test_rule_semantics(spark):
 def test_keyword_groups(spark, frames):
     products, texts = frames
     out = kw.keyword_groups(products, texts, kw.clause("CAR", ("FILM", "GLASS")), lang="E").collect()
-    # P5 has a NULL group: it forms its own group, as GROUP BY does.
+    # P5 has a NULL group: it forms its own group, as GROUP BY does, and a
+    # NULL sorts as the largest value (last among equal counts).
     assert [(r.MATKL, r.CNT, r.SAMPLE1) for r in out] == [
-        ("G1", 2, "Car glass protector"), (None, 1, "car film"), ("m01b", 1, "car screen film")]
+        ("G1", 2, "Car glass protector"), ("m01b", 1, "car screen film"), (None, 1, "car film")]
     fam = kw.keyword_groups(products, texts, None, lang="E", group_contains="m01", with_max=True).collect()
     assert [(r.MATKL, r.CNT, r.SAMPLE1, r.SAMPLE2) for r in fam] == [
         ("M01A", 1, "dashcam", "dashcam"), ("m01b", 1, "car screen film", "car screen film")]
@@ -73,6 +74,8 @@ def test_keyword_samples(spark, frames):
     out = kw.keyword_samples(products, texts, kw.any_of("FILM"), lang="E", n=2).collect()
     assert [(r.MAKTX, r.MATKL, r.MATNR) for r in out] == [
         ("car film", None, "P5"), ("car screen film", "m01b", "P7")]
+    by_group = kw.keyword_samples(products, texts, kw.any_of("FILM"), lang="E", n=3, order=("MATKL", "MAKTX"))
+    assert [r.MATNR for r in by_group.collect()] == ["P2", "P7", "P5"]  # NULL group last
     g = kw.keyword_samples(products, texts, None, lang="E", group="G1", n=10).collect()
     assert [r.MATNR for r in g] == ["P1", "P2"]
 
