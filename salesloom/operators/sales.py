@@ -24,6 +24,7 @@ def monthly_sales(
     currency: str | None = "USD",
     since=None,
     min_net=0,
+    group_col: str = "MATKL",
 ) -> DataFrame:
     """Invoiced quantity and net amount per billing month.
 
@@ -40,7 +41,9 @@ def monthly_sales(
         load gets no rows. It runs as a scalar subquery, which Spark pushes to
         the line scan (and prunes load-date partitions with).
 
-    Result: ``[MATKL,] YEARMONTH, QTY, NET_USD`` ordered by month, then group.
+    Result: ``[group_col,] YEARMONTH, QTY, NET_USD`` ordered by month, then
+    group; ``groups`` always filters ``MATKL``, ``group_col`` (default
+    ``MATKL``) is the product column the sums are grouped by.
     The product side is joined by key; AQE broadcasts it only when its
     run-time size is under the broadcast threshold.
     """
@@ -61,19 +64,19 @@ def monthly_sales(
     headers = headers.select("VBELN", "FILE_DATE", month_key("FKDAT").alias("YEARMONTH"))
     if groups is not None:
         products = products.filter(F.col("MATKL").isin(list(groups)))
-    products = products.select("MATNR", "MATKL")
+    products = products.select("MATNR", group_col)
 
     joined = lines.join(headers, on=["VBELN", "FILE_DATE"], how="inner").join(
         products, on="MATNR", how="inner"
     )
-    keys = ["MATKL", "YEARMONTH"] if by_group else ["YEARMONTH"]
+    keys = [group_col, "YEARMONTH"] if by_group else ["YEARMONTH"]
     return (
         joined.groupBy(*keys)
         .agg(
             F.sum("FKIMG").cast("decimal(38,3)").alias("QTY"),
             F.sum("NETWR").cast("decimal(38,2)").alias("NET_USD"),
         )
-        .orderBy(*ascending("YEARMONTH", *(["MATKL"] if by_group else [])))
+        .orderBy(*ascending("YEARMONTH", *([group_col] if by_group else [])))
     )
 
 
@@ -94,3 +97,24 @@ def category_extract(monthly_by_group: DataFrame, mapping: DataFrame) -> DataFra
         )
         .orderBy(*ascending("YEARMONTH", "CATEGORY"))
     )
+
+
+def category_sales(
+    lines: DataFrame,
+    headers: DataFrame,
+    products: DataFrame,
+    mapping: DataFrame,
+    **filters,
+) -> DataFrame:
+    """K13 in one pass: the same extract as ``category_extract(monthly_sales(
+    ..., by_group=True), mapping)``, with products mapped to their category
+    before the single aggregation (sums are exact, the mapping is many-to-one).
+
+    The mapping join is dimension x dimension (products x groups), so the
+    fact rows see one more column and the plan one aggregation fewer.
+    ``filters`` are ``monthly_sales`` keyword arguments.
+    """
+    mapped = products.join(mapping.select("MATKL", "CATEGORY"), on="MATKL", how="inner")
+    return monthly_sales(
+        lines, headers, mapped, by_group=True, group_col="CATEGORY", **filters
+    ).select("YEARMONTH", "CATEGORY", "QTY", "NET_USD")

@@ -60,3 +60,13 @@ def test_category_extract(spark, tables):
         ("2026-04", "CarA", qty(4), money(20)),
         ("2026-05", "CarA", qty(6), money(57)),
     ]
+
+
+def test_one_pass_category_sales_equals_two_steps(spark, tables):
+    mapping = spark.createDataFrame([("G1", "CarA"), ("G2", "CarB")], "MATKL string, CATEGORY string")
+    two = sales.category_extract(sales.monthly_sales(*tables, by_group=True, exclude_types=None), mapping)
+    one = sales.category_sales(*tables, mapping, exclude_types=None)
+    assert one.columns == two.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    only_g2 = sales.category_sales(*tables, mapping, exclude_types=None, groups=["G2"]).collect()
+    assert [(r.CATEGORY, r.QTY) for r in only_g2] == [("CarB", qty(5))]
