@@ -9,7 +9,6 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,4 +87,3 @@ def test_delayed_lines_hot_order_is_split_and_exact(spark, skewed):
     live = pdf[(pdf["FILE_DATE"] == newest) & (pdf["EDATU"] < dt.date(2026, 1, 10))
                & (pdf["WMENG"] > pdf["LMENG"]) & (pdf["WMENG"] > 0)]
     assert report.count() == len(live)
-    assert isinstance(live, pd.DataFrame)
