@@ -87,3 +87,30 @@ def test_delayed_lines_hot_order_is_split_and_exact(spark, skewed):
     live = pdf[(pdf["FILE_DATE"] == newest) & (pdf["EDATU"] < dt.date(2026, 1, 10))
                & (pdf["WMENG"] > pdf["LMENG"]) & (pdf["WMENG"] > 0)]
     assert report.count() == len(live)
+
+
+def test_monthly_sales_hot_invoice_is_split_and_exact(spark, skewed):
+    from salesloom.operators import sales
+
+    lines = spark.range(N).select(
+        F.when(F.col("id") % 5 < 2, F.lit(HOT)).otherwise((F.col("id") % 991).cast("string")).alias("VBELN"),
+        (F.col("id") % 13).cast("string").alias("POSNR"),
+        (F.col("id") % 50).cast("string").alias("MATNR"),
+        (F.col("id") % 4 + 1).cast("decimal(18,3)").alias("FKIMG"),
+        (F.col("id") % 100 + 1).cast("decimal(18,2)").alias("NETWR"),
+        F.lit(dt.date(2026, 6, 1)).alias("FILE_DATE"),
+    )
+    keys = [HOT] + [str(k) for k in range(991)]
+    headers = spark.createDataFrame(
+        [(k, "F2", "USD", dt.date(2026, 1 + i % 5, 3), dt.date(2026, 6, 1)) for i, k in enumerate(keys)],
+        "VBELN string, FKART string, WAERK string, FKDAT date, FILE_DATE date",
+    )
+    products = spark.createDataFrame([(str(m), f"G{m % 3}") for m in range(50)], "MATNR string, MATKL string")
+    out = sales.monthly_sales(lines, headers, products, by_group=True)
+    assert "skew=true" in _plan(out)
+    lp, hp, pp = lines.toPandas(), headers.toPandas(), products.toPandas()
+    j = lp.merge(hp, on=["VBELN", "FILE_DATE"]).merge(pp, on="MATNR")
+    j["YEARMONTH"] = j["FKDAT"].map(lambda x: x.strftime("%Y-%m"))
+    want = j.groupby(["MATKL", "YEARMONTH"]).agg(QTY=("FKIMG", "sum"), NET_USD=("NETWR", "sum")).reset_index()
+    got = {(r.MATKL, r.YEARMONTH): (r.QTY, r.NET_USD) for r in out.collect()}
+    assert got == {(r.MATKL, r.YEARMONTH): (r.QTY, r.NET_USD) for r in want.itertuples()}
