@@ -589,6 +589,14 @@ def k10_monthly_sales_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, False, ("PROMO",), "global_latest")
 
 
+@register(
+    "k10_monthly_sales_paired_one_group",
+    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(False, ("PROMO",), "paired", 0),
+)
+def k10_monthly_sales_paired_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _monthly(spark, sf_dir, False, ("PROMO",), "paired")
+
+
 @register(
     "k11_version_distribution",
     oracle=f"""
