@@ -458,6 +458,23 @@ def k8_keyword_samples_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "k8_group_samples",
+    oracle=f"""
+WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
+SELECT t.MAKTX, a.MATKL, a.MATNR
+FROM t JOIN a ON a.MATNR = t.MATNR
+WHERE a.MATKL = 'SMALL'
+ORDER BY t.MAKTX, a.MATNR
+LIMIT 50
+""",
+)
+def k8_group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every description of one group (no rule), first 50 by text."""
+    products, texts = _parts(spark, sf_dir)
+    return kw.keyword_samples(products, texts, None, lang=None, group="SMALL", n=50)
+
+
 @register(
     "k9_keyword_split",
     oracle=f"""
