@@ -10,11 +10,16 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import dashboard as dash
+from ..operators import keywords as kw
 from ..operators import orders as ord_ops
-from ..operators import versions
+from ..operators import sales, versions
+from ..operators.catalog import dictionary, distinct_values
 from ..sources import standins
-from ..sources.tables import load_table
+from ..sources.tables import load_table, preview
+from . import digest as dg
 from .registry import register
 
 
@@ -144,8 +149,6 @@ def k2_open_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 over the whole open population (a separate, named result; the
     report's own subtotal covers only its top rows)."""
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_custkey")
-    from pyspark.sql import functions as F
-
     population = ord_ops.open_headers(
         header, HEADER_SINCE, OPEN_STATUSES, CLOSED_STATUS
     ).filter(F.col("AUDAT") >= F.lit(CREATED_SINCE).cast("date"))
@@ -227,8 +230,6 @@ def _lp(expr: str, width: int, fill: str = " ") -> str:
 
 
 def _sql_digest() -> str:
-    from . import digest as dg
-
     def q(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
@@ -284,9 +285,7 @@ SELECT 1 AS SECTION, CAST(POS AS INTEGER) AS POS, LINE FROM sec1"""
 
 @register("k5_digest_lines", oracle=_sql_digest())
 def k5_digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .digest import digest_lines
-
-    return digest_lines(
+    return dg.digest_lines(
         _k2(spark, sf_dir), _k3(spark, sf_dir, 20), as_of=REPORT_AS_OF, n=20, not_delivered="O"
     )
 
@@ -294,8 +293,6 @@ def k5_digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K6-K9 keyword rules over product descriptions
 # ---------------------------------------------------------------------------
-from ..operators import keywords as kw  # noqa: E402
-
 SQL_DOC_PRODUCTS = "SELECT doc_id AS MATNR, source AS MATKL FROM documents"
 SQL_DOC_TEXTS = "SELECT doc_id AS MATNR, lang AS SPRAS, text AS MAKTX FROM documents"
 SQL_PART_BY_TYPE = "SELECT p_partkey AS MATNR, p_type AS MATKL FROM part"
@@ -512,11 +509,6 @@ def k9_keyword_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K10 monthly invoiced sales, K11 load-date distribution, K12 duplicate keys
 # ---------------------------------------------------------------------------
-from ..operators import dashboard as dash  # noqa: E402
-from ..operators import sales  # noqa: E402
-from ..operators.catalog import dictionary, distinct_values  # noqa: E402
-from ..sources.tables import preview  # noqa: E402
-
 SALES_GRAIN = "year"            # yearly loads: ship year / order year
 EXCLUDED_TYPES = ("1-URGENT", "2-HIGH")
 SALES_CURRENCY = "F"
