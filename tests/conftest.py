@@ -32,6 +32,7 @@ def qty(x) -> Decimal:
     return Decimal(str(x)).quantize(Decimal("0.001"))
 
 
+# Column order of the hand-made rows in the tests (types from the model).
 HEADER_SCHEMA = (
     "VBELN string, FILE_DATE date, AUDAT date, AUART string, KUNNR string, "
     "LFSTK string, GBSTK string, NETWR decimal(18,2), WAERK string"

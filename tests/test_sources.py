@@ -48,3 +48,23 @@ def test_partitioned_snapshots_prune(spark):
     a = sales.monthly_sales(stored, heads, products, snapshot="global_latest", exclude_types=None, currency=None)
     b = sales.monthly_sales(lines, heads, products, snapshot="global_latest", exclude_types=None, currency=None)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_conform_casts_an_all_text_extract(spark):
+    from decimal import Decimal
+
+    import pytest
+
+    from salesloom.sources import model
+
+    raw = spark.createDataFrame(
+        [("0000001", "2026-01-05", "ZOR", "C1", "A", "B", "1234.50", "USD", "2026-01-06", "extra")],
+        "VBELN string, AUDAT string, AUART string, KUNNR string, LFSTK string, GBSTK string, "
+        "NETWR string, WAERK string, FILE_DATE string, JUNK string",
+    )
+    vbak = model.conform(raw, "VBAK")
+    assert vbak.schema == model.schema("VBAK")
+    row = vbak.first()
+    assert (row.VBELN, row.NETWR, str(row.FILE_DATE)) == ("0000001", Decimal("1234.50"), "2026-01-06")
+    with pytest.raises(ValueError):
+        model.conform(raw.drop("NETWR"), "VBAK")
