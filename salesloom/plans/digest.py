@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_stamp, date_value
 from ..functions.ordering import ascending
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
+from ..operators.orders import delayed_lines, open_orders
 
 # Display labels (English; the texts are presentation, not data).
 OPEN_TITLE = "[Open sales orders] as of "
@@ -164,3 +165,34 @@ def digest_lines(
         .unionByName(delay_section(delayed_report, day))
         .orderBy(*ascending("SECTION", "POS"))
     )
+
+
+def daily_digest(
+    header: DataFrame,
+    lines: DataFrame,
+    as_of=None,
+    since=None,
+    created_since=None,
+    n: int = 20,
+    delayed_n: int = 20,
+    open_statuses=("A", "B"),
+    closed_status: str = "C",
+    not_delivered: str = "A",
+) -> DataFrame:
+    """The whole daily run: the ``n`` largest open orders, the
+    ``delayed_n`` most overdue lines, and the digest lines of both.
+
+    ``header`` and ``lines`` are the order-header and schedule-line snapshot
+    tables in the model's columns; ``since`` is the load-date floor of both,
+    ``created_since`` the order-date floor of the open-order report (the
+    overdue report has none).
+    """
+    top = open_orders(
+        header, as_of=as_of, since=since, created_since=created_since, n=n,
+        open_statuses=open_statuses, closed_status=closed_status,
+    )
+    late = delayed_lines(
+        header, lines, as_of=as_of, since=since, n=delayed_n,
+        open_statuses=open_statuses, closed_status=closed_status,
+    )
+    return digest_lines(top, late, as_of=as_of, n=n, not_delivered=not_delivered)

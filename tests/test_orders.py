@@ -105,3 +105,15 @@ def test_digest_lines(spark):
     empty = orders.delayed_lines(header, lines, as_of="2026-01-01")
     sec1 = [r.LINE for r in digest_lines(top, empty, as_of="2026-01-01").collect() if r.SECTION == 1]
     assert sec1 == ["*[Overdue schedule lines] as of 2026-01-01*", "No overdue lines"]
+
+
+def test_daily_digest_one_call(spark):
+    from salesloom.plans.digest import daily_digest
+
+    header = spark.createDataFrame([_h("1", "2026-01-02", amount=10), _h("2", "2026-01-02", amount=20)], HEADER_SCHEMA)
+    lines = spark.createDataFrame([_l("2", "10", "2026-01-02", "2026-01-10", 5, 2)], LINE_SCHEMA)
+    out = [(r.SECTION, r.LINE) for r in daily_digest(header, lines, as_of="2026-02-01", since="2026-01-01").collect()]
+    assert out[1] == (0, "Total 2 (top 20 by amount)")
+    assert (1, "Total 1 (by days late)") in out
+    rows0 = [t for s, t in out if s == 0 and t[:1].isdigit()]
+    assert [t.split()[0] for t in rows0] == ["2", "1"]  # larger amount first
