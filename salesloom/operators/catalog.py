@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.ordering import ascending
 from ..sources.tables import column_names, preview  # noqa: F401  (S4, S5 re-exported)
 
@@ -20,7 +21,7 @@ def dictionary(
     return defs.filter(F.col(table_col) == F.lit(table)).orderBy(*ascending(order_col))
 
 
-def distinct_values(df: DataFrame, column: str, n: int | None = 20) -> DataFrame:
+def distinct_values(df: DataFrame, column: str, n: int | None = D.DISTINCT_VALUE_ROWS) -> DataFrame:
     """Distinct values of one column, at most ``n`` (any ``n`` of them
     when there are more; no order is implied)."""
     out = df.select(column).distinct()

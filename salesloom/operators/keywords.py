@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.ordering import ascending, descending
 
 
@@ -134,7 +135,7 @@ def keyword_groups(
     products: DataFrame,
     texts: DataFrame,
     rule: Rule | None,
-    lang: str | None = "E",
+    lang: str | None = D.TEXT_LANGUAGE,
     include: Sequence[str] | None = None,
     exclude: Sequence[str] | None = None,
     group_contains: str | None = None,
@@ -166,7 +167,7 @@ def keyword_groups(
 def group_profile(
     products: DataFrame,
     texts: DataFrame,
-    lang: str | None = "E",
+    lang: str | None = D.TEXT_LANGUAGE,
     groups: Sequence[str] | None = None,
     prefix: str | None = None,
     with_max: bool = True,
@@ -189,9 +190,9 @@ def keyword_samples(
     products: DataFrame,
     texts: DataFrame,
     rule: Rule | None,
-    lang: str | None = "E",
+    lang: str | None = D.TEXT_LANGUAGE,
     group: str | None = None,
-    n: int = 30,
+    n: int = D.SAMPLE_ROWS,
     order: Sequence[str] = ("MAKTX",),
     material: str = "MATNR",
     group_col: str = "MATKL",
@@ -216,7 +217,7 @@ def keyword_split(
     products: DataFrame,
     texts: DataFrame,
     rule: Rule,
-    lang: str | None = "E",
+    lang: str | None = D.TEXT_LANGUAGE,
     group: str | None = None,
     labels: tuple[str, str] = ("Match", "Other"),
     with_sample: bool = True,

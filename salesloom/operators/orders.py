@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.dates import date_value, day_diff
 from ..functions.ordering import ascending, descending
 from .versions import latest_version
@@ -22,8 +23,8 @@ DELAY_COLUMNS = (
 def open_headers(
     header: DataFrame,
     since=None,
-    open_statuses: Sequence[str] = ("A", "B"),
-    closed_status: str = "C",
+    open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
+    closed_status: str = D.CLOSED_OVERALL_STATUS,
     key: str = "VBELN",
     version: str = "FILE_DATE",
     delivery_status: str = "LFSTK",
@@ -47,9 +48,9 @@ def open_orders(
     as_of=None,
     since=None,
     created_since=None,
-    n: int = 20,
-    open_statuses: Sequence[str] = ("A", "B"),
-    closed_status: str = "C",
+    n: int = D.OPEN_ORDER_ROWS,
+    open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
+    closed_status: str = D.CLOSED_OVERALL_STATUS,
     key: str = "VBELN",
     version: str = "FILE_DATE",
     order_date: str = "AUDAT",
@@ -86,9 +87,9 @@ def delayed_lines(
     lines: DataFrame,
     as_of=None,
     since=None,
-    n: int = 20,
-    open_statuses: Sequence[str] = ("A", "B"),
-    closed_status: str = "C",
+    n: int = D.DELAYED_LINE_ROWS,
+    open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
+    closed_status: str = D.CLOSED_OVERALL_STATUS,
     tie_break: Sequence[str] = ("VBELN", "POSNR"),
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.

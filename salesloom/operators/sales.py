@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.dates import date_value, month_key
 from ..functions.ordering import ascending
 
@@ -20,8 +21,8 @@ def monthly_sales(
     by_group: bool = False,
     groups: Sequence[str] | None = None,
     snapshot: str = "paired",
-    exclude_types: Sequence[str] | None = ("S1", "S2", "RE", "RK"),
-    currency: str | None = "USD",
+    exclude_types: Sequence[str] | None = D.EXCLUDED_BILLING_TYPES,
+    currency: str | None = D.SALES_CURRENCY,
     since=None,
     min_net=0,
     group_col: str = "MATKL",

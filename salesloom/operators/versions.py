@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.dates import date_value
 from ..functions.ordering import ascending, descending
 
@@ -82,7 +83,7 @@ def duplicate_keys(
     version: str = "FILE_DATE",
     products: DataFrame | None = None,
     group: str | None = None,
-    n: int | None = 10,
+    n: int | None = D.DUPLICATE_KEY_ROWS,
     material: str = "MATNR",
     group_col: str = "MATKL",
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.dates import date_stamp, date_value
 from ..functions.ordering import ascending
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
@@ -148,8 +149,8 @@ def digest_lines(
     open_report: DataFrame,
     delayed_report: DataFrame,
     as_of=None,
-    n: int = 20,
-    not_delivered: str = "A",
+    n: int = D.OPEN_ORDER_ROWS,
+    not_delivered: str = D.NOT_DELIVERED_STATUS,
 ) -> DataFrame:
     """K5: both report sections as ordered text lines.
 
@@ -173,11 +174,11 @@ def daily_digest(
     as_of=None,
     since=None,
     created_since=None,
-    n: int = 20,
-    delayed_n: int = 20,
-    open_statuses=("A", "B"),
-    closed_status: str = "C",
-    not_delivered: str = "A",
+    n: int = D.OPEN_ORDER_ROWS,
+    delayed_n: int = D.DELAYED_LINE_ROWS,
+    open_statuses=D.OPEN_DELIVERY_STATUSES,
+    closed_status: str = D.CLOSED_OVERALL_STATUS,
+    not_delivered: str = D.NOT_DELIVERED_STATUS,
 ) -> DataFrame:
     """The whole daily run: the ``n`` largest open orders, the
     ``delayed_n`` most overdue lines, and the digest lines of both.

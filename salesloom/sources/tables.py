@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import defaults as D
+
 
 def load_table(
     spark: SparkSession,
@@ -53,7 +55,7 @@ def column_names(df: DataFrame) -> list[str]:
     return list(df.columns)
 
 
-def preview(df: DataFrame, n: int = 3) -> DataFrame:
+def preview(df: DataFrame, n: int = D.PREVIEW_ROWS) -> DataFrame:
     """Any ``n`` rows, in no particular order."""
     return df.limit(n)
 
