@@ -71,11 +71,14 @@ def write_versioned(
     One folder per load date: a version floor (``since``) or the newest-load
     cut of ``monthly_sales(snapshot="global_latest")`` then reads only the
     matching folders (partition pruning; the newest-load subquery is applied
-    at run time). Rows are clustered by load date before the write so each
-    task writes few files.
+    at run time).
+
+    Rows are clustered by load date with the ``rebalance`` hint, so each task
+    writes few files; AQE splits a load date that is too large for one task
+    (a full snapshot load can be a third of the table) and merges small ones.
     """
     (
-        df.repartition(version)
+        df.hint("rebalance", version)
         .write.mode(mode)
         .partitionBy(version)
         .parquet(path)
