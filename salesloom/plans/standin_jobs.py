@@ -795,8 +795,8 @@ def k16_pivot_totals_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
 
 
-def _sql_shown(e: str) -> str:
-    return f"'$' || format('{{:,}}', CAST(FLOOR({e} + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT))"
+def _sql_shown(e: str, prefix: str = "$") -> str:
+    return f"'{prefix}' || format('{{:,}}', CAST(FLOOR({e} + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT))"
 
 
 @register(
@@ -814,6 +814,21 @@ def k16_pivot_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.pivot_display(pivot, PIVOT_CATS, "amt")
 
 
+@register(
+    "k16_pivot_display_qty",
+    oracle=_sql_pivot_body("QTY", "DECIMAL(38,3)")
+    + "\nSELECT YEARMONTH, "
+    + ", ".join(
+        f"CASE WHEN YEARMONTH = 'TOTAL' OR \"{c}\" > 0 THEN {_sql_shown(chr(34) + c + chr(34), '')} ELSE '-' END AS \"{c}\""
+        for c in PIVOT_CATS
+    )
+    + f", {_sql_shown('TOTAL', '')} AS TOTAL FROM piv",
+)
+def k16_pivot_display_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivot = dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
+    return dash.pivot_display(pivot, PIVOT_CATS, "qty")
+
+
 @register(
     "k17_default_range",
     oracle=SQL_EXTRACT_CTES + """,
