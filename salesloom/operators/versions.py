@@ -26,6 +26,7 @@ def latest_version(
     keys: str | Sequence[str] = "VBELN",
     version: str = "FILE_DATE",
     since=None,
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """K1: the rows carrying the newest version of their key; ties are kept.
 
@@ -41,16 +42,53 @@ def latest_version(
     by AQE's skew-join handling. A window ``rank()`` would put every row of a
     hot key into one task, which AQE cannot split.
 
+    With ``hot_key_share`` (e.g. ``0.001``) keys holding more than that share
+    of the rows are split off and handled by a broadcast instead of a shuffle,
+    which keeps a hot key out of any single task even without AQE.
+
     Business filters (status, dates) must run on the result, not before: a
     closed newest version would otherwise let an older open one through.
     """
     key_cols = _keys(keys)
     if since is not None:
         df = df.filter(F.col(version) >= date_value(since))
+    if hot_key_share is not None:
+        return _latest_version_split(df, key_cols, version, hot_key_share)
     newest = df.groupBy(*key_cols).agg(F.max(version).alias(version))
     return df.join(newest, on=[*key_cols, version], how="left_semi")
 
 
+def _latest_version_split(df: DataFrame, key_cols: list[str], version: str, share: float) -> DataFrame:
+    """K1 with hot keys split off explicitly (no reliance on AQE).
+
+    One aggregation gives each key's newest version and row count. A key is
+    hot when it holds more than ``share`` of all rows, so there are fewer
+    than ``1 / share`` hot keys: that bound is what makes broadcasting them
+    safe. Rows of hot keys are matched against the broadcast hot keys without
+    any shuffle; all other rows drop the hot keys with a broadcast anti join
+    and take the usual semi join on (key, version), so no hot key reaches a
+    shuffle. Costs one more (column-pruned) scan than the default path.
+    """
+    if not 0 < share < 1:
+        raise ValueError("hot_key_share must be between 0 and 1")
+    per_key = df.groupBy(*key_cols).agg(
+        F.max(version).alias(version), F.count(F.lit(1)).alias("_rows")
+    )
+    total = per_key.select(F.sum("_rows")).scalar()
+    is_hot = F.col("_rows") > F.lit(share) * total
+    hot = per_key.filter(is_hot).select(*key_cols, F.col(version).alias("_newest"))
+    cold = per_key.filter(~is_hot).select(*key_cols, version)
+    hot_rows = (
+        df.join(F.broadcast(hot), on=key_cols, how="inner")
+        .filter(F.col(version) == F.col("_newest"))
+        .select(*df.columns)
+    )
+    cold_rows = df.join(F.broadcast(hot.select(*key_cols)), on=key_cols, how="left_anti").join(
+        cold, on=[*key_cols, version], how="left_semi"
+    )
+    return hot_rows.unionByName(cold_rows)
+
+
 def version_distribution(
     lines: DataFrame,
     products: DataFrame | None = None,

@@ -114,3 +114,37 @@ def test_monthly_sales_hot_invoice_is_split_and_exact(spark, skewed):
     want = j.groupby(["MATKL", "YEARMONTH"]).agg(QTY=("FKIMG", "sum"), NET_USD=("NETWR", "sum")).reset_index()
     got = {(r.MATKL, r.YEARMONTH): (r.QTY, r.NET_USD) for r in out.collect()}
     assert got == {(r.MATKL, r.YEARMONTH): (r.QTY, r.NET_USD) for r in want.itertuples()}
+
+
+@pytest.fixture()
+def no_aqe(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def test_hot_key_split_without_aqe(spark, no_aqe):
+    lines = _lines(spark)
+    split = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", hot_key_share=0.1)
+    plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
+    plain = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE")
+    got = sorted(map(tuple, split.collect()))
+    assert got == sorted(map(tuple, plain.collect()))
+    pdf = lines.toPandas()
+    newest = pdf.groupby(["VBELN", "POSNR"])["FILE_DATE"].transform("max")
+    assert len(got) == int((pdf["FILE_DATE"] == newest).sum())
+    assert split.columns == lines.columns
+    # No key is hot at a share of 0.9: same rows, all through the semi join.
+    none_hot = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", hot_key_share=0.9)
+    assert sorted(map(tuple, none_hot.collect())) == got
+    with pytest.raises(ValueError):
+        versions.latest_version(lines, ["VBELN", "POSNR"], hot_key_share=1.5)
