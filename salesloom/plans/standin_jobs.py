@@ -80,6 +80,22 @@ def k1_latest_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.latest_version(header, "VBELN", "FILE_DATE")
 
 
+@register(
+    "k1_latest_header_split",
+    oracle=f"""
+WITH h AS ({SQL_HEADER_BY_CUSTOMER})
+SELECT h.* FROM h
+JOIN (SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h GROUP BY VBELN) l
+  ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
+""",
+)
+def k1_latest_header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 with the explicit hot-key split: customers holding more than 0.05%
+    of the rows (at most 2,000 keys) take the broadcast path."""
+    header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_custkey")
+    return versions.latest_version(header, "VBELN", "FILE_DATE", hot_key_share=0.0005)
+
+
 @register(
     "k1_latest_lines",
     oracle=f"""
