@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, day_diff
 from ..functions.ordering import ascending, descending
+from .joins import split_hot_join
 from .versions import latest_version
 
 HEADER_COLUMNS = ("VBELN", "AUDAT", "AUART", "KUNNR", "LFSTK", "GBSTK", "NETWR", "WAERK")
@@ -91,6 +92,7 @@ def delayed_lines(
     open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
     closed_status: str = D.CLOSED_OVERALL_STATUS,
     tie_break: Sequence[str] = ("VBELN", "POSNR"),
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.
 
@@ -98,13 +100,16 @@ def delayed_lines(
     has quantity to deliver (ordered > delivered) and ordered > 0, all judged
     on the newest version of the line; its order's newest header version must
     be open. Result columns: ``DELAY_COLUMNS``, most days late first.
+
+    ``hot_key_share`` switches on the explicit hot-key split (see
+    ``operators.joins``) for the line versions and the line-order join.
     """
     today = date_value(as_of)
     orders = open_headers(header, since, open_statuses, closed_status).select(
         "VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK"
     )
     overdue = (
-        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since)
+        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, hot_key_share=hot_key_share)
         .filter(
             (F.col("EDATU") < today)
             & (F.col("WMENG") > F.col("LMENG"))
@@ -117,7 +122,7 @@ def delayed_lines(
         )
     )
     return (
-        overdue.join(orders, on="VBELN", how="inner")
+        split_hot_join(overdue, orders, ["VBELN"], "inner", hot_key_share)
         .select(*DELAY_COLUMNS)
         .orderBy(*descending("DELAY_DAYS"), *ascending(*tie_break))
         .limit(n)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, month_key
 from ..functions.ordering import ascending
+from .joins import split_hot_join
 
 SNAPSHOT_MODES = ("paired", "global_latest")
 
@@ -26,6 +27,7 @@ def monthly_sales(
     since=None,
     min_net=0,
     group_col: str = "MATKL",
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """Invoiced quantity and net amount per billing month.
 
@@ -45,6 +47,8 @@ def monthly_sales(
     Result: ``[group_col,] YEARMONTH, QTY, NET_USD`` ordered by month, then
     group; ``groups`` always filters ``MATKL``, ``group_col`` (default
     ``MATKL``) is the product column the sums are grouped by.
+    ``hot_key_share`` switches on the explicit hot-key split (see
+    ``operators.joins``) for the header and product joins.
     The product side is joined by key; AQE broadcasts it only when its
     run-time size is under the broadcast threshold.
     """
@@ -67,8 +71,9 @@ def monthly_sales(
         products = products.filter(F.col("MATKL").isin(list(groups)))
     products = products.select("MATNR", group_col)
 
-    joined = lines.join(headers, on=["VBELN", "FILE_DATE"], how="inner").join(
-        products, on="MATNR", how="inner"
+    joined = split_hot_join(
+        split_hot_join(lines, headers, ["VBELN", "FILE_DATE"], "inner", hot_key_share),
+        products, ["MATNR"], "inner", hot_key_share,
     )
     keys = [group_col, "YEARMONTH"] if by_group else ["YEARMONTH"]
     return (

@@ -215,12 +215,12 @@ SELECT d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, d.DELAY_DAYS,
 FROM overdue d JOIN open_orders o ON d.VBELN = o.VBELN"""
 
 
-def _k3(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _k3(spark: SparkSession, sf_dir: str, n: int, hot_key_share: float | None = None) -> DataFrame:
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_orderkey")
     lines = standins.schedule_lines(_t(spark, sf_dir, "lineitem"))
     return ord_ops.delayed_lines(
         header, lines, as_of=DELAY_AS_OF, since=LINES_SINCE, n=n,
-        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS,
+        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, hot_key_share=hot_key_share,
     )
 
 
@@ -232,6 +232,16 @@ def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k3(spark, sf_dir, 20)
 
 
+@register(
+    "k3_delayed_lines_split",
+    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR\nLIMIT 20",
+)
+def k3_delayed_lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 with the explicit hot-key split: orders holding more than 0.03% of
+    the overdue lines (at most 3,334 keys) are joined by broadcast."""
+    return _k3(spark, sf_dir, 20, hot_key_share=0.0003)
+
+
 # ---------------------------------------------------------------------------
 # K5 the digest as text lines (no SQL oracle: formatting; rows-only check)
 # ---------------------------------------------------------------------------
@@ -575,7 +585,7 @@ WHERE h.FKART NOT IN ({_quoted(EXCLUDED_TYPES)}) AND p.NETWR > {min_net}
 GROUP BY {group_by}strftime(h.FKDAT, '%Y-%m')"""
 
 
-def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN) -> DataFrame:
+def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN, hot_key_share=None) -> DataFrame:
     return sales.monthly_sales(
         standins.invoice_lines(_t(spark, sf_dir, "lineitem"), grain),
         standins.invoice_headers(_t(spark, sf_dir, "orders"), grain),
@@ -587,6 +597,7 @@ def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_G
         currency=SALES_CURRENCY,
         since=SALES_SINCE,
         min_net=min_net,
+        hot_key_share=hot_key_share,
     )
 
 
@@ -598,6 +609,16 @@ def k10_monthly_sales_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired")
 
 
+@register(
+    "k10_monthly_sales_paired_split",
+    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "paired", 0),
+)
+def k10_monthly_sales_paired_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 with the explicit hot-key split: materials holding more than
+    0.05% of the lines (at most 2,000 keys) are joined by broadcast."""
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", hot_key_share=0.0005)
+
+
 @register(
     "k10_monthly_sales_latest",
     oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "global_latest", 0),

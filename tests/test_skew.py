@@ -148,3 +148,38 @@ def test_hot_key_split_without_aqe(spark, no_aqe):
     assert sorted(map(tuple, none_hot.collect())) == got
     with pytest.raises(ValueError):
         versions.latest_version(lines, ["VBELN", "POSNR"], hot_key_share=1.5)
+
+
+def test_joins_split_hot_keys_without_aqe(spark, no_aqe):
+    from salesloom.operators import sales
+
+    lines = _lines(spark)
+    header = spark.createDataFrame(
+        [(str(k), dt.date(2026, 1, 1), dt.date(2025, 11, 1), "ZOR", "C", "A", "B", Decimal("1.00"), "USD")
+         for k in range(997)] + [(HOT, dt.date(2026, 1, 1), dt.date(2025, 11, 1), "ZOR", "C", "A", "B", Decimal("9.00"), "USD")],
+        "VBELN string, FILE_DATE date, AUDAT date, AUART string, KUNNR string, "
+        "LFSTK string, GBSTK string, NETWR decimal(18,2), WAERK string",
+    )
+    plain = orders.delayed_lines(header, lines, as_of="2026-01-10", n=N)
+    split = orders.delayed_lines(header, lines, as_of="2026-01-10", n=N, hot_key_share=0.05)
+    plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
+
+    inv = spark.range(N).select(
+        F.when(F.col("id") % 5 < 2, F.lit(HOT)).otherwise((F.col("id") % 991).cast("string")).alias("VBELN"),
+        (F.col("id") % 13).cast("string").alias("POSNR"),
+        F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise((F.col("id") % 50).cast("string")).alias("MATNR"),
+        (F.col("id") % 4 + 1).cast("decimal(18,3)").alias("FKIMG"),
+        (F.col("id") % 100 + 1).cast("decimal(18,2)").alias("NETWR"),
+        F.lit(dt.date(2026, 6, 1)).alias("FILE_DATE"),
+    )
+    heads = spark.createDataFrame(
+        [(k, "F2", "USD", dt.date(2026, 1 + i % 5, 3), dt.date(2026, 6, 1))
+         for i, k in enumerate([HOT] + [str(k) for k in range(991)])],
+        "VBELN string, FKART string, WAERK string, FKDAT date, FILE_DATE date",
+    )
+    products = spark.createDataFrame([(str(m), f"G{m % 3}") for m in range(50)], "MATNR string, MATKL string")
+    a = sales.monthly_sales(inv, heads, products, by_group=True)
+    b = sales.monthly_sales(inv, heads, products, by_group=True, hot_key_share=0.05)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
