@@ -81,7 +81,7 @@ def k1_latest_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "k1_latest_header_split",
+    "k1_latest_header_hotkeys",
     oracle=f"""
 WITH h AS ({SQL_HEADER_BY_CUSTOMER})
 SELECT h.* FROM h
@@ -89,7 +89,7 @@ JOIN (SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h GROUP BY VBELN) l
   ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
 """,
 )
-def k1_latest_header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def k1_latest_header_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 with the explicit hot-key split: customers holding more than 0.05%
     of the rows (at most 2,000 keys) take the broadcast path."""
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_custkey")
@@ -233,10 +233,10 @@ def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "k3_delayed_lines_split",
+    "k3_delayed_lines_hotkeys",
     oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR\nLIMIT 20",
 )
-def k3_delayed_lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def k3_delayed_lines_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 with the explicit hot-key split: orders holding more than 0.03% of
     the overdue lines (at most 3,334 keys) are joined by broadcast."""
     return _k3(spark, sf_dir, 20, hot_key_share=0.0003)
@@ -610,10 +610,10 @@ def k10_monthly_sales_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "k10_monthly_sales_paired_split",
+    "k10_monthly_sales_paired_hotkeys",
     oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "paired", 0),
 )
-def k10_monthly_sales_paired_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def k10_monthly_sales_paired_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K10 with the explicit hot-key split: materials holding more than
     0.05% of the lines (at most 2,000 keys) are joined by broadcast."""
     return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", hot_key_share=0.0005)
