@@ -4,8 +4,8 @@ a two-way split (K9).
 
 A rule is an OR of clauses; a clause is an AND of term sets; a term set
 matches when the upper-cased text contains any of its terms as a substring
-(``CAR`` also hits ``CARD``, as ``UPPER(x) LIKE '%CAR%'`` does). Keywords are
-data: pass them in, they are not fixed here.
+(``RING`` also hits ``STRING``, as ``UPPER(x) LIKE '%RING%'`` does). Keywords
+are data: pass them in, they are not fixed here.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ class Rule:
 
 def clause(*sets: str | Iterable[str]) -> Rule:
     """A one-clause rule: every argument must match; a tuple/list argument
-    matches when any of its terms does. ``clause("CAR", ("GLASS", "FILM"))``
-    is ``CAR AND (GLASS OR FILM)``."""
+    matches when any of its terms does. ``clause("RED", ("RING", "GEAR"))``
+    is ``RED AND (RING OR GEAR)``."""
     norm = tuple(
         (s.upper(),) if isinstance(s, str) else tuple(t.upper() for t in s) for s in sets
     )
