@@ -30,6 +30,7 @@ def open_headers(
     version: str = "FILE_DATE",
     delivery_status: str = "LFSTK",
     overall_status: str = "GBSTK",
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """Newest header version per order, kept when it is still open.
 
@@ -37,7 +38,7 @@ def open_headers(
     ``closed_status`` (a NULL status is not open). The status test runs after
     the version pick.
     """
-    newest = latest_version(header, key, version, since)
+    newest = latest_version(header, key, version, since, hot_key_share=hot_key_share)
     return newest.filter(
         F.col(delivery_status).isin(list(open_statuses))
         & (F.col(overall_status) != closed_status)
@@ -58,6 +59,7 @@ def open_orders(
     amount: str = "NETWR",
     columns: Sequence[str] = HEADER_COLUMNS,
     tie_break: Sequence[str] | None = None,
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """K2: the ``n`` largest open orders with their age in days.
 
@@ -68,8 +70,12 @@ def open_orders(
 
     The top-n runs as a per-partition top-n plus one merge of at most
     ``n x partitions`` rows (``TakeOrderedAndProject``), never a full sort.
+    ``hot_key_share`` switches on the explicit hot-key split of the version
+    pick (see ``versions.latest_version``).
     """
-    orders = open_headers(header, since, open_statuses, closed_status, key, version)
+    orders = open_headers(
+        header, since, open_statuses, closed_status, key, version, hot_key_share=hot_key_share
+    )
     if created_since is not None:
         orders = orders.filter(F.col(order_date) >= date_value(created_since))
     ties = list(tie_break) if tie_break is not None else [key]
@@ -102,10 +108,12 @@ def delayed_lines(
     be open. Result columns: ``DELAY_COLUMNS``, most days late first.
 
     ``hot_key_share`` switches on the explicit hot-key split (see
-    ``operators.joins``) for the line versions and the line-order join.
+    ``operators.joins``) for both version picks and the line-order join.
     """
     today = date_value(as_of)
-    orders = open_headers(header, since, open_statuses, closed_status).select(
+    orders = open_headers(
+        header, since, open_statuses, closed_status, hot_key_share=hot_key_share
+    ).select(
         "VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK"
     )
     overdue = (

@@ -117,3 +117,19 @@ def test_daily_digest_one_call(spark):
     assert (1, "Total 1 (by days late)") in out
     rows0 = [t for s, t in out if s == 0 and t[:1].isdigit()]
     assert [t.split()[0] for t in rows0] == ["2", "1"]  # larger amount first
+
+
+def test_hot_key_share_gives_the_same_reports(spark):
+    header = spark.createDataFrame(
+        [_h(str(k % 7), f"2026-01-0{1 + k % 5}", amount=k) for k in range(60)], HEADER_SCHEMA
+    )
+    lines = spark.createDataFrame(
+        [_l(str(k % 7), str(k % 3), f"2026-01-0{1 + k % 4}", "2026-01-10", 5, k % 4) for k in range(90)], LINE_SCHEMA
+    )
+    a = orders.open_orders(header, as_of="2026-02-01", n=5).collect()
+    b = orders.open_orders(header, as_of="2026-02-01", n=5, hot_key_share=0.1).collect()
+    assert a == b
+    # Rows tied on every sort key may come in either order: compare as multisets.
+    c = orders.delayed_lines(header, lines, as_of="2026-02-01", n=500).collect()
+    d = orders.delayed_lines(header, lines, as_of="2026-02-01", n=500, hot_key_share=0.1).collect()
+    assert sorted(map(tuple, c)) == sorted(map(tuple, d)) and len(c) > 0
