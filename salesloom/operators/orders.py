@@ -65,7 +65,8 @@ def open_orders(
 
     Amounts are ranked across currencies as stored (no conversion); a NULL
     amount ranks first, as the largest. Ties are broken by ``tie_break``
-    (default: the order key) so the cut at ``n`` repeats. Result: ``columns``
+    (default: the order key, then every other column, a total order) so the
+    cut at ``n`` repeats. Result: ``columns``
     plus ``ORDER_AGE_DAYS`` (days from order date to ``as_of``).
 
     The top-n runs as a per-partition top-n plus one merge of at most
@@ -78,7 +79,11 @@ def open_orders(
     )
     if created_since is not None:
         orders = orders.filter(F.col(order_date) >= date_value(created_since))
-    ties = list(tie_break) if tie_break is not None else [key]
+    ties = (
+        list(tie_break)
+        if tie_break is not None
+        else [key] + [c for c in columns if c not in (key, amount)]
+    )
     return (
         orders.select(
             *columns,
@@ -97,7 +102,7 @@ def delayed_lines(
     n: int = D.DELAYED_LINE_ROWS,
     open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
     closed_status: str = D.CLOSED_OVERALL_STATUS,
-    tie_break: Sequence[str] = ("VBELN", "POSNR"),
+    tie_break: Sequence[str] | None = None,
     hot_key_share: float | None = None,
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.
@@ -105,12 +110,20 @@ def delayed_lines(
     A line is overdue when its requested date is before ``as_of``, it still
     has quantity to deliver (ordered > delivered) and ordered > 0, all judged
     on the newest version of the line; its order's newest header version must
-    be open. Result columns: ``DELAY_COLUMNS``, most days late first.
+    be open. Result columns: ``DELAY_COLUMNS``, most days late first; ties
+    are broken by ``tie_break`` (default: order, line, then every other
+    column, a total order, so the cut at ``n`` repeats even when a header's
+    tied versions fan a line out).
 
     ``hot_key_share`` switches on the explicit hot-key split (see
     ``operators.joins``) for both version picks and the line-order join.
     """
     today = date_value(as_of)
+    ties = (
+        list(tie_break)
+        if tie_break is not None
+        else ["VBELN", "POSNR"] + [c for c in DELAY_COLUMNS if c not in ("VBELN", "POSNR", "DELAY_DAYS")]
+    )
     orders = open_headers(
         header, since, open_statuses, closed_status, hot_key_share=hot_key_share
     ).select(
@@ -132,7 +145,7 @@ def delayed_lines(
     return (
         split_hot_join(overdue, orders, ["VBELN"], "inner", hot_key_share)
         .select(*DELAY_COLUMNS)
-        .orderBy(*descending("DELAY_DAYS"), *ascending(*tie_break))
+        .orderBy(*descending("DELAY_DAYS"), *ascending(*ties))
         .limit(n)
     )
 

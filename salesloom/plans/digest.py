@@ -35,6 +35,9 @@ OPEN_HEAD = " ".join(
     [f"{'Order':<12}", f"{'Date':<12}", f"{'Type':<6}", f"{'Status':<8}",
      f"{'Amount':>12}", f"{'Cur':<5}", f"{'Age':>5}"]
 )
+# Row order inside each section, after the amount / days late: a total order.
+OPEN_TIES = ("VBELN", "AUART", "AUDAT", "KUNNR", "LFSTK", "GBSTK", "WAERK", "ORDER_AGE_DAYS")
+DELAY_TIES = ("VBELN", "POSNR", "AUDAT", "EDATU", "WMENG", "REMAIN_QTY", "KUNNR", "NETWR", "WAERK", "AUART")
 DELAY_HEAD = " ".join(
     [f"{'Order':<12}", f"{'Item':<6}", f"{'Date':<12}", f"{'Requested':<12}",
      f"{'Open qty':>8}", f"{'Late':>5}"]
@@ -49,6 +52,14 @@ def _concat_arrays(*arrays: Column) -> Column:
     return reduce(lambda a, b: F.concat(a, b), arrays)
 
 
+def _ascending_keys(*cols: str) -> list[Column]:
+    """Struct fields that sort ascending with NULL last, column by column."""
+    fields = []
+    for i, c in enumerate(cols):
+        fields += [F.col(c).isNull().alias(f"N{i}"), F.col(c).alias(f"V{i}")]
+    return fields
+
+
 def _ordered_lines(rows: Column) -> Column:
     """Line texts of the gathered rows, in report order (the sort keys lead
     the struct, so ascending struct order is report order)."""
@@ -74,10 +85,7 @@ def open_section(open_report: DataFrame, day: Column, n: int, not_delivered: str
     row = F.struct(
         F.col("NETWR").isNotNull().cast("int").alias("K0"),  # NULL amount first
         (-F.col("NETWR")).alias("K1"),                       # then amount descending
-        F.col("VBELN").isNull().alias("K2N"),                # then keys ascending, NULL last
-        F.col("VBELN").alias("K2"),
-        F.col("AUART").isNull().alias("K3N"),
-        F.col("AUART").alias("K3"),
+        *_ascending_keys(*OPEN_TIES),                        # then the rest, NULL last
         F.col("WAERK").alias("CUR"),
         F.col("NETWR").alias("AMT"),
         line.alias("LINE"),
@@ -127,10 +135,7 @@ def delay_section(delayed_report: DataFrame, day: Column) -> DataFrame:
     row = F.struct(
         F.col("DELAY_DAYS").isNotNull().cast("int").alias("K0"),
         (-F.col("DELAY_DAYS")).alias("K1"),
-        F.col("VBELN").isNull().alias("K2N"),
-        F.col("VBELN").alias("K2"),
-        F.col("POSNR").isNull().alias("K3N"),
-        F.col("POSNR").alias("K3"),
+        *_ascending_keys(*DELAY_TIES),
         line.alias("LINE"),
     )
     gathered = delayed_report.agg(F.count(F.lit(1)).alias("ROWS"), F.collect_list(row).alias("ROWS_"))

@@ -226,7 +226,7 @@ def _k3(spark: SparkSession, sf_dir: str, n: int, hot_key_share: float | None =
 
 @register(
     "k3_delayed_lines",
-    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR\nLIMIT 20",
+    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART\nLIMIT 20",
 )
 def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k3(spark, sf_dir, 20)
@@ -234,7 +234,7 @@ def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k3_delayed_lines_hotkeys",
-    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR\nLIMIT 20",
+    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART\nLIMIT 20",
 )
 def k3_delayed_lines_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 with the explicit hot-key split: orders holding more than 0.03% of
@@ -274,12 +274,12 @@ def _sql_digest() -> str:
     return f"""
 WITH top AS ({SQL_K2}),
 late AS ({SQL_K3_BODY}
-  ORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR LIMIT 20),
+  ORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART LIMIT 20),
 n0 AS (SELECT COUNT(*) AS ROWS FROM top),
 cur AS (SELECT WAERK, SUM(NETWR) AS AMT, ROW_NUMBER() OVER (ORDER BY WAERK) AS R
         FROM top WHERE WAERK IS NOT NULL GROUP BY WAERK),
 nc AS (SELECT COUNT(*) AS C FROM cur),
-rows0 AS (SELECT ROW_NUMBER() OVER (ORDER BY NETWR DESC NULLS FIRST, VBELN, AUART) AS R,
+rows0 AS (SELECT ROW_NUMBER() OVER (ORDER BY NETWR DESC NULLS FIRST, {", ".join(dg.OPEN_TIES)}) AS R,
                  {open_line} AS LINE FROM top),
 sec0 AS (
   SELECT 1 AS POS, {q("*" + dg.OPEN_TITLE + REPORT_AS_OF + "*")} AS LINE
@@ -292,7 +292,7 @@ sec0 AS (
   UNION ALL SELECT 6 + C + R, LINE FROM rows0, nc
   UNION ALL SELECT 7 + C + ROWS, {q(dg.FENCE)} FROM nc, n0),
 n1 AS (SELECT COUNT(*) AS ROWS FROM late),
-rows1 AS (SELECT ROW_NUMBER() OVER (ORDER BY DELAY_DAYS DESC NULLS FIRST, VBELN, POSNR) AS R,
+rows1 AS (SELECT ROW_NUMBER() OVER (ORDER BY DELAY_DAYS DESC NULLS FIRST, {", ".join(dg.DELAY_TIES)}) AS R,
                  {late_line} AS LINE FROM late),
 sec1 AS (
   SELECT 1 AS POS, {q("*" + dg.DELAY_TITLE + REPORT_AS_OF + "*")} AS LINE
