@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value
 from ..functions.ordering import ascending, descending
+from .joins import split_hot_join
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -97,14 +98,17 @@ def version_distribution(
     amount: str = "NETWR",
     material: str = "MATNR",
     group_col: str = "MATKL",
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """Rows and net amount per load date, optionally for one product group.
 
     Result: ``FILE_DATE, ROW_CNT, NET_USD`` ordered by load date.
+    ``hot_key_share`` splits hot materials off the product join
+    (``operators.joins``).
     """
     if products is not None and group is not None:
         chosen = products.filter(F.col(group_col) == group).select(material)
-        lines = lines.join(chosen, on=material, how="inner")
+        lines = split_hot_join(lines, chosen, [material], "inner", hot_key_share)
     return (
         lines.groupBy(version)
         .agg(
@@ -124,17 +128,19 @@ def duplicate_keys(
     n: int | None = D.DUPLICATE_KEY_ROWS,
     material: str = "MATNR",
     group_col: str = "MATKL",
+    hot_key_share: float | None = None,
 ) -> DataFrame:
     """Keys present more than once, with first and last load date.
 
     Result: ``keys..., DUP_CNT, FIRST_DATE, LAST_DATE`` ordered by ``DUP_CNT``
     descending, then the keys; the first ``n`` (all when ``n`` is None). An
-    empty result means the key is unique.
+    empty result means the key is unique. ``hot_key_share`` splits hot
+    materials off the product join (``operators.joins``).
     """
     key_cols = _keys(keys)
     if products is not None and group is not None:
         chosen = products.filter(F.col(group_col) == group).select(material)
-        df = df.join(chosen, on=material, how="inner")
+        df = split_hot_join(df, chosen, [material], "inner", hot_key_share)
     dups = (
         df.groupBy(*key_cols)
         .agg(

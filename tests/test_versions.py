@@ -104,3 +104,21 @@ def test_version_distribution_with_group(spark):
     ]
     everything = versions.version_distribution(lines).agg(F.sum("ROW_CNT")).first()[0]
     assert everything == 4
+
+
+def test_hot_key_share_in_product_joins(spark):
+    lines = spark.range(3000).select(
+        (F.col("id") % 300).cast("string").alias("VBELN"),
+        (F.col("id") % 2).cast("string").alias("POSNR"),
+        F.when(F.col("id") % 2 == 0, F.lit("M1")).otherwise((F.col("id") % 40).cast("string")).alias("MATNR"),
+        F.col("id").cast("decimal(18,2)").alias("NETWR"),
+        F.date_add(F.lit(d("2026-01-01")), (F.col("id") % 9).cast("int")).alias("FILE_DATE"),
+    )
+    products = spark.createDataFrame([("M1", "G1")] + [(str(m), f"G{m % 2}") for m in range(40)],
+                                     "MATNR string, MATKL string")
+    a = versions.version_distribution(lines, products, "G1").collect()
+    b = versions.version_distribution(lines, products, "G1", hot_key_share=0.1).collect()
+    assert a == b
+    c = versions.duplicate_keys(lines, products=products, group="G1", n=None).collect()
+    e = versions.duplicate_keys(lines, products=products, group="G1", n=None, hot_key_share=0.1).collect()
+    assert c == e and len(c) > 0
