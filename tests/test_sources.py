@@ -68,3 +68,12 @@ def test_conform_casts_an_all_text_extract(spark):
     assert (row.VBELN, row.NETWR, str(row.FILE_DATE)) == ("0000001", Decimal("1234.50"), "2026-01-06")
     with pytest.raises(ValueError):
         model.conform(raw.drop("NETWR"), "VBAK")
+
+
+def test_snapshot_sink_rebalances_by_load_date(spark):
+    lines = standins.invoice_lines(load_table(spark, "lineitem", base=SF), grain="year")
+    plan = lines.hint("rebalance", "FILE_DATE")._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    import inspect
+
+    assert 'hint("rebalance", version)' in inspect.getsource(write_versioned)
