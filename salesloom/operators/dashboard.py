@@ -97,16 +97,20 @@ def dense_series(
 
     Missing cells are 0. Amounts are rounded half-up to whole units, as the
     chart plots them; quantities are plotted as they are. ``MONTH_TOTAL`` is
-    the sum of the plotted values of the month (the stacked bar's total).
+    the sum of the plotted values of the month (the stacked bar's total);
+    ``VALUE_TEXT`` is the tooltip text of a cell (``$12,345`` / ``1,234.5``).
     Result: ``YEARMONTH, CATEGORY, POS`` (category order), ``VALUE``,
-    ``MONTH_TOTAL``.
+    ``MONTH_TOTAL``, ``VALUE_TEXT``.
 
     Built as one grouped aggregation over months with a conditional sum per
     category, then unpivoted; no join and no cross product.
     """
     value = _metric(metric)
     in_range = _in_range(extract, lo, hi)
-    schema = "YEARMONTH string, CATEGORY string, POS int, VALUE decimal(38,3), MONTH_TOTAL decimal(38,3)"
+    schema = (
+        "YEARMONTH string, CATEGORY string, POS int, VALUE decimal(38,3), "
+        "MONTH_TOTAL decimal(38,3), VALUE_TEXT string"
+    )
     if not categories:
         return in_range.sparkSession.createDataFrame([], schema)
     wide = _per_month(in_range, categories, value)
@@ -124,7 +128,10 @@ def dense_series(
         MONTH,
         F.explode(F.array(*cells)).alias("cell"),
         total.cast("decimal(38,3)").alias("MONTH_TOTAL"),
-    ).select(MONTH, "cell.CATEGORY", "cell.POS", "cell.VALUE", "MONTH_TOTAL")
+    ).select(MONTH, "cell.CATEGORY", "cell.POS", "cell.VALUE", "MONTH_TOTAL").withColumn(
+        "VALUE_TEXT",
+        F.concat(F.lit("$"), plain_number("VALUE")) if metric == "amt" else plain_number("VALUE"),
+    )
 
 
 def pivot_with_totals(

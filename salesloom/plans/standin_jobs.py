@@ -786,7 +786,9 @@ cells AS (
   LEFT JOIN r ON r.YEARMONTH = m.YEARMONTH AND r.CATEGORY = c.CATEGORY
   GROUP BY m.YEARMONTH, c.CATEGORY, c.POS)
 SELECT YEARMONTH, CATEGORY, POS, VALUE,
-       CAST(SUM(VALUE) OVER (PARTITION BY YEARMONTH) AS DECIMAL(38,3)) AS MONTH_TOTAL
+       CAST(SUM(VALUE) OVER (PARTITION BY YEARMONTH) AS DECIMAL(38,3)) AS MONTH_TOTAL,
+       {"'$' || " if metric == "amt" else ""}regexp_replace(regexp_replace(format('{{:,.3f}}', CAST(VALUE AS DOUBLE)),
+           '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS VALUE_TEXT
 FROM cells"""
 
 
