@@ -97,8 +97,9 @@ def test_dense_series(extract):
     assert ham == [0, 0, 0, 0, Decimal("215.000")]  # 214.50 rounds half up
     jul = [r for r in rows if r.YEARMONTH == "2025-07"]
     assert jul[0].MONTH_TOTAL == Decimal("215.000") + Decimal("206.000")
+    assert [r.VALUE_TEXT for r in rows if r.YEARMONTH == "2025-07"] == ["$215", "$206"]
     qrows = dash.dense_series(extract, "2025-07", "2025-07", ["CarESHammer"], "qty").collect()
-    assert [(r.VALUE, r.MONTH_TOTAL) for r in qrows] == [(qty(789), qty(789))]
+    assert [(r.VALUE, r.MONTH_TOTAL, r.VALUE_TEXT) for r in qrows] == [(qty(789), qty(789), "789")]
 
 
 def test_empty_slices(small):
