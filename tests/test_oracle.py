@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from salesloom.plans import registry
 from tools.check_oracle import TABLES, _rows
 
 SF = "/root/testdata/sf0.01"
-JOBS = entry.queries()
-ORACLES = entry.oracle_sql()
+JOBS = registry.jobs()
+ORACLES = registry.oracles()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not available")
 
@@ -52,6 +53,11 @@ def test_rows_only_jobs_run(spark, name):
     assert JOBS[name](spark, SF).count() > 0
 
 
+def test_entry_serves_every_job():
+    assert set(JOBS) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() == 20
