@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe_codec
 from .common import table
 from .exact_dedup import exact_dedup, normalised
+from .token_count import token_counts
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +22,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe_codec": op7_bpe_codec,
 }
 
 ORACLES = {
