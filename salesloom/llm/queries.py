@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec
-from .common import table
+from . import bpe_codec, lang_id, rule_quality
+from .common import fold_of, table
 from .exact_dedup import exact_dedup, normalised
 from .token_count import token_counts
 
@@ -17,6 +17,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 3) == 1
+    model = rule_quality.fit_from_labels(docs, labels, ~held_out)
+    return rule_quality.rule_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(normalised().cast("binary"), 256).alias("text_sha256")
     return exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
@@ -26,10 +33,19 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    model = lang_id.fit_languages(docs, ~held_out)
+    return lang_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_rule_quality": op5_rule_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_lang_id": op8_lang_id,
 }
 
 ORACLES = {
