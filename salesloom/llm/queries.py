@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import bpe_codec, lang_id, rule_quality
 from .common import fold_of, table
 from .exact_dedup import exact_dedup, normalised
+from .license_scan import GAP, LOWER, PHRASES, TEMPLATES, UPPER, license_scan
 from .token_count import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,14 +41,53 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_rule_quality": op5_rule_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_lang_id": op8_lang_id,
+    "op9_license_scan": op9_license_scan,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_license() -> str:
+    """Every block against every template, without filters."""
+    values = ", ".join(f"({_quoted(label)}, {_quoted(t)})" for label, t in TEMPLATES)
+    phrases = ", ".join(f"({_quoted(label)}, string_split({_quoted(p)}, ' '))" for p, label in PHRASES.items())
+    words = lambda text: f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{GAP}'), lambda w: w <> '')"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words("coalesce(text, '')")} AS words FROM documents),
+        tw AS (SELECT label, list_distinct({words("notice")}) AS tw FROM (VALUES {values}) v(label, notice)),
+        place AS (
+            SELECT doc_id, label, i - 1 AS start
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) x, (VALUES {phrases}) p(label, phrase)
+            WHERE words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase),
+        block AS (SELECT doc_id, list_distinct({words("line")}) AS bw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) x),
+        hit AS (
+            SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share
+            FROM block, tw WHERE len(list_intersect(bw, tw)) >= 0.9 * len(tw) - 1e-9),
+        b AS (
+            SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM place GROUP BY doc_id),
+        l AS (
+            SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+            FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) x GROUP BY doc_id),
+        s AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+    """
+
+
 ORACLES = {
     "op6_exact_dedup": r"""
         WITH d AS (
@@ -61,4 +101,5 @@ ORACLES = {
                sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
     """,
+    "op9_license_scan": _sql_license(),
 }
