@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe_codec, lang_id, rule_quality
 from .common import fold_of, table
+from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import GAP, LOWER, PHRASES, TEMPLATES, UPPER, license_scan
 from .token_count import token_counts
@@ -18,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold_of("doc_id", 3) == 1
@@ -47,6 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_rule_quality": op5_rule_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_codec": op7_bpe_codec,
@@ -88,7 +94,23 @@ def _sql_license() -> str:
     """
 
 
+def _sql_shingles(source: str, key: str) -> str:
+    """Distinct five-word shingles of a table, one in a row."""
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    return f"""
+        SELECT DISTINCT {key}, array_to_string(words[i : i + 4], ' ') AS shingle
+        FROM (SELECT {key}, words, unnest(range(1, len(words) - 3)) AS i FROM (SELECT {key}, {words} AS words FROM {source}) x) y
+    """
+
+
 ORACLES = {
+    "op4_decontaminate": f"""
+        WITH item AS ({_sql_shingles("benchmark", "item_id")}), doc AS ({_sql_shingles("documents", "doc_id")}),
+        size AS (SELECT item_id, count(*) AS item_shingles FROM item GROUP BY item_id)
+        SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
+        FROM doc JOIN item USING (shingle) JOIN size USING (item_id)
+        GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
+    """,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
