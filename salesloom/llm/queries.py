@@ -10,6 +10,7 @@ from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import GAP, LOWER, PHRASES, TEMPLATES, UPPER, license_scan
+from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +51,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_decontaminate": op4_decontaminate,
@@ -58,6 +63,7 @@ QUERIES = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_lang_id": op8_lang_id,
     "op9_license_scan": op9_license_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 def _quoted(text: str) -> str:
@@ -124,4 +130,21 @@ ORACLES = {
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
     """,
     "op9_license_scan": _sql_license(),
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS s
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d) x),
+        old AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+        gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS cut
+            FROM win JOIN old USING (s) WHERE first_doc < doc_id GROUP BY doc_id),
+        pos AS (
+            SELECT doc_id, words, coalesce(cut, []) AS cut, list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(coalesce(cut, []), k)) AS stay
+            FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, len(words) AS n_words, len(cut) AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(stay, lambda k: words[k]), ' '), '')) AS kept_sha256
+        FROM pos
+    """,
 }
