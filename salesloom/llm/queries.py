@@ -10,6 +10,7 @@ from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
 from .license_scan import GAP, LOWER, PHRASES, TEMPLATES, UPPER, license_scan
+from .near_dup import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dup": op2_near_dup,
     "op4_decontaminate": op4_decontaminate,
     "op5_rule_quality": op5_rule_quality,
     "op6_exact_dedup": op6_exact_dedup,
