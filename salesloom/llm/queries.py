@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, lang_id, rule_quality
+from . import bpe_codec, lang_id, rule_quality, warc
 from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
@@ -25,6 +25,23 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    header = lambda name: F.element_at(F.filter("headers", lambda h: h["name"] == name), 1)["value"]
+    return records.select(
+        "page_id",
+        "record_type",
+        "record_id",
+        "refers_to",
+        F.when(F.exists("headers", lambda h: h["name"] == "WARC-Target-URI"), header("WARC-Target-URI")).alias("target_uri"),
+        header("WARC-Block-Digest").alias("block_digest"),
+        header("Content-Type").alias("content_type"),
+        header("Content-Length").cast("long").alias("content_length"),
+        "headers",
+        F.col("block").cast("string").alias("block"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dup": op2_near_dup,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_rule_quality": op5_rule_quality,
     "op6_exact_dedup": op6_exact_dedup,

@@ -24,6 +24,9 @@ from .common import text_or_empty
 #: their id. Everything else (scores) covers all rows.
 FIT_ROWS = 20_000
 
+#: The column of statistics.
+STATS = "_rule_statistics"
+
 #: The statistics of a text; shares are of its characters unless said otherwise.
 #: ``distinct_words`` compares logarithms (of distinct words and of words), as the plain
 #: share falls with a text's length.
@@ -75,7 +78,7 @@ def text_statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and a column ``stats`` (array of double)."""
+    """The columns ``keep`` of ``docs`` and a column ``STATS`` (array of double)."""
     keep = keep or []
 
     @F.pandas_udf("array<double>")
@@ -83,7 +86,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
         for part in texts:
             yield part.map(text_statistics)
 
-    return docs.select(*keep, stats(text_or_empty(text_col)).alias("stats"))
+    return docs.select(*keep, stats(text_or_empty(text_col)).alias(STATS))
 
 
 @dataclass(frozen=True)
@@ -140,7 +143,7 @@ def _simplified(terms: tuple) -> tuple:
 
 def fit_rules(
     rows: DataFrame,
-    stats_col: str = "stats",
+    stats_col: str = STATS,
     label_col: str = "label",
     trees: int = 20,
     depth: int = 3,
@@ -217,6 +220,6 @@ def rule_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text
     """
     return (
         with_statistics(docs, text_col, [id_col])
-        .withColumn("score", model.score(F.col("stats")))
+        .withColumn("score", model.score(F.col(STATS)))
         .select(id_col, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     )
