@@ -1,0 +1,78 @@
+"""WARC records: links, digests, text, and the round trip through a file's bytes."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+
+from salesloom.llm import warc
+
+SCHEMA = "page_id long, url string, html string, headers string, block string"
+PAGE = (
+    "<!DOCTYPE html><html lang='en'><head><title>A &amp; B</title><style>p{}</style></head><body><!-- note <p>no</p> -->"
+    "<nav><a href='/x?a=1&amp;b=2'>X</a> <A HREF=y>Y</A></nav><p>One <b>two</b><br>thr&eacute;e<script>var a='</p>'</script></p>"
+    "<div>a<span>b</span></div>5 < 6</body></html>"
+)
+
+
+def sha(data: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_text_of_markup():
+    assert warc.plain_text(PAGE) == "X Y\nOne two\nthrée\nab\n5 < 6"
+    assert warc.plain_text("") == "" and warc.plain_text("plain") == "plain"
+    assert warc.plain_text("a<!-- open") == "a" and warc.plain_text("a<script>open") == "a"
+    assert warc.plain_text("<p>" * 5000 + "x") == "x"
+
+
+def test_derived_records_are_linked():
+    headers, block = warc.response_of("1", "http://e.org/d/", PAGE.encode(), "2020-02-03T04:05:06Z")
+    source = dict(headers)
+    assert source["WARC-Payload-Digest"] == sha(PAGE.encode()) and source["WARC-Block-Digest"] == sha(block)
+    assert int(source["Content-Length"]) == len(block)
+    (mh, mb), (ch, cb) = warc.derive(headers, block)
+    meta, conv = dict(mh), dict(ch)
+    for h, b, kind in ((meta, mb, "metadata"), (conv, cb, "conversion")):
+        assert h["WARC-Type"] == kind and h["WARC-Refers-To"] == source["WARC-Record-ID"]
+        assert (h["WARC-Target-URI"], h["WARC-Date"]) == ("http://e.org/d/", "2020-02-03T04:05:06Z")
+        assert h["WARC-Block-Digest"] == sha(b) and int(h["Content-Length"]) == len(b)
+    assert cb.decode() == warc.plain_text(PAGE)
+    fields = [tuple(x.split(": ", 1)) for x in mb.decode().splitlines()]
+    assert ("conversion-id", conv["WARC-Record-ID"]) in fields
+    assert ("source-warc-payload-digest", source["WARC-Payload-Digest"]) in fields
+    assert ("source-warc-block-digest", source["WARC-Block-Digest"]) in fields
+    assert ("http-header-content-type", "text/html; charset=utf-8") in fields and ("http-status", "HTTP/1.1 200 OK") in fields
+    assert ("title", "A & B") in fields and ("language", "en") in fields
+    assert [v for n, v in fields if n == "outlink"] == ["http://e.org/x?a=1&b=2", "http://e.org/d/y"]
+
+
+def test_rows_and_round_trip(spark):
+    rows = [(1, "http://e.org/", PAGE, "", ""), (1, "http://e.org/", PAGE, "", ""), (None, None, None, None, None), (2, "", "", "", ""), (3, "http://[bad", "<a href='http://[x'>" + "x " * 200_000, "", ""), (4, "http://e.org/\r\nX: y", "\r\n\r\n", "", "")]
+    records = warc.responses(spark.createDataFrame(rows, SCHEMA))
+    assert records.columns == ["page_id", "headers", "block"] and records.count() == 6
+    found = warc.as_warc(warc.derivatives(records)).collect()
+    assert len(found) == 12
+    parsed = list(warc.parse(b"".join(r.warc for r in found)))
+    assert [dict(h)["WARC-Record-ID"] for h, _ in parsed] == [r.record_id for r in found]
+    assert [b for _, b in parsed] == [bytes(r.block) for r in found]
+    sources = {dict((h.name, h.value) for h in r.headers)["WARC-Record-ID"] for r in records.collect()}
+    assert {r.refers_to for r in found} == sources and len(sources) == 5
+    assert {r.record_type for r in found} == {"metadata", "conversion"}
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r.record_id, []).append(bytes(r.block))
+    assert all(len(set(bs)) == 1 for bs in by_id.values()) and len(by_id) == 10
+
+
+def test_other_records_and_broken_rows(spark):
+    kind = f"page_id long, headers {warc.HEADERS_TYPE}, block binary, warc string"
+    rows = [(1, [("WARC-Type", "request"), ("WARC-Record-ID", "<a>")], b"GET", ""), (2, None, None, None), (3, [("WARC-Record-ID", "<b>"), (None, "x"), ("WARC-Date", None)], b"\xff<p>no http", "")]
+    found = warc.derivatives(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == [(2, "conversion", ""), (2, "metadata", ""), (3, "conversion", "<b>"), (3, "metadata", "<b>")]
+    assert {bytes(r.block).decode() for r in found if r.record_type == "conversion"} == {"", "�\nno http"}
+
+
+def test_empty_tables(spark):
+    records = warc.responses(spark.createDataFrame([], SCHEMA))
+    assert records.count() == 0 and warc.derivatives(records).count() == 0
