@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,16 +14,27 @@ from salesloom.llm import common, exact_dedup as ed
 SCHEMA = "doc_id long, text string, keep_id string, kept string, _len string"
 
 
+def normalised(text):
+    return "".join(c for c in (text or "") if c not in common.WHITE)
+
+
 def brute(rows):
+    return sorted((brute_row(rows, i, t) for i, t, *_ in rows), key=str)
+
+
+def brute_row(rows, i, t):
+    """The decision on one row: id, id that stays, rows of the group, whether it stays."""
+    group = _groups(tuple((j, u) for j, u, *_ in rows))[normalised(t)]
+    best = min(group, key=lambda x: (x[0], x[1], x[2] or 0))
+    return i, best[2], len(group), i == best[2] and -len(t or "") == best[0]
+
+
+@lru_cache(maxsize=2)
+def _groups(rows):
     groups = defaultdict(list)
-    for i, t, *_ in rows:
-        groups["".join(c for c in (t or "") if c not in common.WHITE)].append((-len(t or ""), i is None, i))
-    out = []
-    for i, t, *_ in rows:
-        g = groups["".join(c for c in (t or "") if c not in common.WHITE)]
-        best = min(g, key=lambda x: (x[0], x[1], x[2] or 0))
-        out.append((i, best[2], len(g), i == best[2] and -len(t or "") == best[0]))
-    return sorted(out, key=str)
+    for i, t in rows:
+        groups[normalised(t)].append((-len(t or ""), i is None, i))
+    return groups
 
 
 def check(spark, rows, **kw):
