@@ -75,9 +75,10 @@ def compact_money(c: Column | str, prefix: str = "$") -> Column:
 
 
 def axis_label(c: Column | str, metric: str = "amt") -> Column:
-    """Chart axis text: amounts ``$1.2M`` / ``$350K``, quantities ``12K`` / ``850``."""
+    """Chart axis text: amounts ``$1.2M`` / ``$350K``, quantities ``12K`` / ``850``;
+    no thousands separators."""
     v = _col(c).cast("decimal(24,6)")
-    k = F.format_number(F.round(v * F.lit(0.001).cast("decimal(4,3)"), 0), 0)
+    k = F.round(v * F.lit(0.001).cast("decimal(4,3)"), 0).cast("decimal(38,0)").cast("string")
     if metric == "amt":
         m = F.round(v * F.lit(0.000001).cast("decimal(7,6)"), 1).cast("decimal(38,1)").cast("string")
         return F.when(v >= 1_000_000, F.concat(F.lit("$"), m, F.lit("M"))).otherwise(

@@ -1,5 +1,5 @@
-"""Catalog lookups (K18): data-dictionary rows of one table, distinct values
-of a column, and an unordered preview."""
+"""Catalog lookups (K18): data-dictionary rows of one table and distinct values
+of a column (the preview is ``sources.tables.preview``)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions.ordering import ascending
-from ..sources.tables import column_names, preview  # noqa: F401  (S4, S5 re-exported)
 
 
 def dictionary(

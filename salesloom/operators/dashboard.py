@@ -3,7 +3,8 @@
 (K17).
 
 The extract has one row per (YEARMONTH, CATEGORY) with QTY and NET_USD; the
-key must be unique (a dashboard keeps the last row of a duplicate key). A
+key must be unique (``check_keys=True`` fails if it is not; sums would count a
+repeated row twice). A
 month range is inclusive on the ``yyyy-MM`` text; ``lo > hi`` selects
 nothing. Categories are an ordered list; an empty list selects nothing.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import ascending
 from ..functions.text import compact_money, dash_unless_positive, plain_number, round_half_up
+from .versions import require_unique
 
 METRICS = {"amt": "NET_USD", "qty": "QTY"}
 MONTH, CATEGORY = "YEARMONTH", "CATEGORY"
@@ -42,7 +44,9 @@ def _chosen(categories: Sequence[str]) -> Column:
     return F.col(CATEGORY).isin(list(categories)) if categories else F.lit(False)
 
 
-def slice_kpis(extract: DataFrame, lo: str, hi: str, categories: Sequence[str]) -> DataFrame:
+def slice_kpis(
+    extract: DataFrame, lo: str, hi: str, categories: Sequence[str], check_keys: bool = False
+) -> DataFrame:
     """One row of KPIs for a month range and a category set.
 
     ``TOTAL_QTY`` and ``TOTAL_AMOUNT`` cover the chosen categories (0 when
@@ -52,6 +56,8 @@ def slice_kpis(extract: DataFrame, lo: str, hi: str, categories: Sequence[str])
     still averages over ten. Display text follows the dashboard: plain number
     for the quantity, compact money for amount and average.
     """
+    if check_keys:
+        require_unique(extract, [MONTH, CATEGORY], "extract")
     sel = _chosen(categories)
     kpis = _in_range(extract, lo, hi).agg(
         F.coalesce(F.sum(F.when(sel, F.col("QTY"))), _zero()).cast("decimal(38,3)").alias("TOTAL_QTY"),
@@ -92,24 +98,28 @@ def dense_series(
     hi: str,
     categories: Sequence[str],
     metric: str = "amt",
+    check_keys: bool = False,
 ) -> DataFrame:
     """Chart series - every month of the range x every chosen category.
 
     Missing cells are 0. Amounts are rounded half-up to whole units, as the
     chart plots them; quantities are plotted as they are. ``MONTH_TOTAL`` is
     the sum of the plotted values of the month (the stacked bar's total);
-    ``VALUE_TEXT`` is the tooltip text of a cell (``$12,345`` / ``1,234.5``).
+    ``VALUE_TEXT`` is the tooltip text of a cell (``$12,345`` / ``1,234.5``),
+    ``TOTAL_TEXT`` its footer: the month's total rounded half-up.
     Result: ``YEARMONTH, CATEGORY, POS`` (category order), ``VALUE``,
-    ``MONTH_TOTAL``, ``VALUE_TEXT``.
+    ``MONTH_TOTAL``, ``VALUE_TEXT``, ``TOTAL_TEXT``.
 
     Built as one grouped aggregation over months with a conditional sum per
     category, then unpivoted; no join and no cross product.
     """
-    value = _metric(metric)
+    value, prefix = _metric(metric), "$" if metric == "amt" else ""
+    if check_keys:
+        require_unique(extract, [MONTH, CATEGORY], "extract")
     in_range = _in_range(extract, lo, hi)
     schema = (
         "YEARMONTH string, CATEGORY string, POS int, VALUE decimal(38,3), "
-        "MONTH_TOTAL decimal(38,3), VALUE_TEXT string"
+        "MONTH_TOTAL decimal(38,3), VALUE_TEXT string, TOTAL_TEXT string"
     )
     if not categories:
         return in_range.sparkSession.createDataFrame([], schema)
@@ -128,9 +138,10 @@ def dense_series(
         MONTH,
         F.explode(F.array(*cells)).alias("cell"),
         total.cast("decimal(38,3)").alias("MONTH_TOTAL"),
-    ).select(MONTH, "cell.CATEGORY", "cell.POS", "cell.VALUE", "MONTH_TOTAL").withColumn(
-        "VALUE_TEXT",
-        F.concat(F.lit("$"), plain_number("VALUE")) if metric == "amt" else plain_number("VALUE"),
+    ).select(
+        MONTH, "cell.CATEGORY", "cell.POS", "cell.VALUE", "MONTH_TOTAL",
+        F.concat(F.lit(prefix), plain_number("cell.VALUE")).alias("VALUE_TEXT"),
+        F.concat(F.lit(prefix), F.format_number(round_half_up("MONTH_TOTAL"), 0)).alias("TOTAL_TEXT"),
     )
 
 
@@ -141,6 +152,7 @@ def pivot_with_totals(
     categories: Sequence[str],
     metric: str = "amt",
     total_label: str = "TOTAL",
+    check_keys: bool = False,
 ) -> DataFrame:
     """Months as rows, one column per chosen category (in order), a row
     total ``TOTAL`` and a last row ``total_label`` with the column totals.
@@ -154,6 +166,8 @@ def pivot_with_totals(
     cats = list(categories)
     if len(set(cats)) != len(cats) or MONTH in cats or "TOTAL" in cats:
         raise ValueError("category names must be unique and not YEARMONTH/TOTAL")
+    if check_keys:
+        require_unique(extract, [MONTH, CATEGORY], "extract")
     dec = "decimal(38,3)" if metric == "qty" else "decimal(38,2)"
     sel = _chosen(cats)
     body = _in_range(extract, lo, hi).groupBy(MONTH).agg(
@@ -218,6 +232,7 @@ def label_categories(
     labels: DataFrame,
     key: str = CATEGORY,
     label: str = "LABEL",
+    check_keys: bool = False,
 ) -> DataFrame:
     """Add the display label of each category code.
 
@@ -225,6 +240,8 @@ def label_categories(
     label shows as itself. A left join: AQE broadcasts the dimension when its
     run-time size is under the broadcast threshold.
     """
+    if check_keys:
+        require_unique(labels, key, "labels")
     return df.join(labels.select(key, F.col(label).alias("_label")), on=key, how="left").select(
         *df.columns, F.coalesce(F.col("_label"), F.col(key)).alias(label)
     )

@@ -1,11 +1,10 @@
 """Joins that keep hot keys out of any single task without relying on AQE.
 
-A key is hot when it holds more than a share ``s`` of a table's rows; there
-are fewer than ``1 / s`` such keys (their rows would otherwise add up to more
-than the table), which is the proven size bound that makes broadcasting them
-safe. By default the jobs leave skew to AQE's skew-join splitting; these
-helpers are the explicit alternative, at the price of an extra pass to count
-rows per key.
+By default the jobs leave skew to AQE's skew-join splitting. The explicit
+alternative is salting: each fact row is dealt to one of ``salts`` parts and
+the dimension is repeated for every part, so the rows of one key spread over
+``salts`` tasks. The facts are read once, nothing is counted or broadcast by a
+hint, and the price is ``salts`` copies of the dimension's rows in its shuffle.
 """
 
 from __future__ import annotations
@@ -15,43 +14,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALT = "_salt"
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
-    """The keys holding more than ``share`` of ``df``'s rows (fewer than
-    ``1 / share`` rows). Counts are combined map-side; the total is a scalar
-    subquery."""
-    if not 0 < share < 1:
-        raise ValueError("share must be between 0 and 1")
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = per_key.select(F.sum("_rows")).scalar()
-    return per_key.filter(F.col("_rows") > F.lit(share) * total).select(*keys)
 
-
-def split_hot_join(
+def salted_join(
     fact: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot_key_share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
-    """``fact.join(dim, on, how)`` with the fact's hot keys joined by broadcast.
-
-    ``dim`` must hold few rows per key (a header table: one row per document
-    and load), so its rows for the hot keys are bounded by the number of hot
-    keys. Hot fact rows meet those broadcast rows without a shuffle; the other
-    fact rows (hot keys removed by a broadcast anti join) take a normal
-    shuffled join. ``how`` is ``"inner"`` or ``"left"``; the result has the
-    rows of the plain join.
-    """
+    """``fact.join(dim, on, how)`` with each key's fact rows spread over
+    ``salts`` tasks (None or 1: the plain join). ``how`` is ``"inner"`` or
+    ``"left_semi"``. Equal fact rows are dealt out too: the salt is the row's
+    running number, not a hash of it."""
     on = list(on)
-    if how not in ("inner", "left"):
-        raise ValueError("how must be 'inner' or 'left'")
-    if hot_key_share is None:
+    if how not in ("inner", "left_semi"):
+        raise ValueError("how must be 'inner' or 'left_semi'")
+    if salts is not None and salts < 1:
+        raise ValueError("salts must be at least 1")
+    if salts in (None, 1):
         return fact.join(dim, on=on, how=how)
-    hot = F.broadcast(hot_keys(fact, on, hot_key_share))
-    hot_dim = F.broadcast(dim.join(hot, on=on, how="left_semi"))
-    hot_part = fact.join(hot, on=on, how="left_semi").join(hot_dim, on=on, how=how)
-    cold_part = fact.join(hot, on=on, how="left_anti").join(
-        dim.join(hot, on=on, how="left_anti"), on=on, how=how
-    )
-    return hot_part.unionByName(cold_part)
+    dealt = fact.withColumn(SALT, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = dim.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, on=[*on, SALT], how=how).drop(SALT)

@@ -131,6 +131,41 @@ def _group_filter(
     return df
 
 
+def _counted(
+    df: DataFrame,
+    group_col: str,
+    material: str,
+    text_col: str,
+    least: str | None,
+    greatest: str | None = None,
+) -> DataFrame:
+    """Per group: ``CNT`` distinct products, and the smallest and largest text
+    under the names given.
+
+    A count-distinct groups by (group, product) first, where hardly any two
+    rows meet, so a text aggregated beside it would be carried along whole for
+    every product. Here a row is taken apart into (product, no text) and (no
+    product, text): the texts of a group then meet in one key and are combined
+    before the shuffle.
+    """
+    kind, text_kind = df.schema[material].dataType, df.schema[text_col].dataType
+    if least is None and greatest is None:
+        return df.groupBy(group_col).agg(F.count_distinct(material).alias("CNT"))
+    halves = F.array(
+        F.struct(F.col(material).alias("_m"), F.lit(None).cast(text_kind).alias("_t")),
+        F.struct(F.lit(None).cast(kind).alias("_m"), F.col(text_col).alias("_t")),
+    )
+    per_product = (
+        df.select(F.col(group_col).alias("_g"), F.explode(halves).alias("_h"))
+        .groupBy("_g", F.col("_h._m").alias("_m"))
+        .agg(F.min("_h._t").alias("_lo"), F.max("_h._t").alias("_hi"))
+    )
+    out = [F.count("_m").alias("CNT")]
+    out += [F.min("_lo").alias(least)] if least else []
+    out += [F.max("_hi").alias(greatest)] if greatest else []
+    return per_product.groupBy(F.col("_g").alias(group_col)).agg(*out)
+
+
 def keyword_groups(
     products: DataFrame,
     texts: DataFrame,
@@ -157,10 +192,7 @@ def keyword_groups(
     df = _group_filter(df, group_col, include, exclude, group_contains, group_prefix)
     if rule is not None:
         df = df.filter(rule.column(text_col))
-    aggs = [F.count_distinct(material).alias("CNT"), F.min(text_col).alias("SAMPLE1")]
-    if with_max:
-        aggs.append(F.max(text_col).alias("SAMPLE2"))
-    out = df.groupBy(group_col).agg(*aggs).orderBy(*descending("CNT"), *ascending(group_col))
+    out = _counted(df, group_col, material, text_col, "SAMPLE1", "SAMPLE2" if with_max else None).orderBy(*descending("CNT"), *ascending(group_col))
     return out if n is None else out.limit(n)
 
 
@@ -180,10 +212,7 @@ def group_profile(
     for a list of groups or groups starting with ``prefix``; ordered by group."""
     df = _described(products, texts, lang, material, group_col, lang_col, text_col)
     df = _group_filter(df, group_col, groups, None, None, prefix)
-    aggs = [F.count_distinct(material).alias("CNT"), F.min(text_col).alias("SAMPLE1")]
-    if with_max:
-        aggs.append(F.max(text_col).alias("SAMPLE2"))
-    return df.groupBy(group_col).agg(*aggs).orderBy(*ascending(group_col))
+    return _counted(df, group_col, material, text_col, "SAMPLE1", "SAMPLE2" if with_max else None).orderBy(*ascending(group_col))
 
 
 def keyword_samples(
@@ -235,7 +264,4 @@ def keyword_split(
     if group is not None:
         df = df.filter(F.col(group_col) == group)
     label = F.when(rule.column(text_col), F.lit(labels[0])).otherwise(F.lit(labels[1]))
-    aggs = [F.count_distinct(material).alias("CNT")]
-    if with_sample:
-        aggs.append(F.min(text_col).alias("SAMPLE"))
-    return df.groupBy(label.alias("TYPE")).agg(*aggs)
+    return _counted(df.withColumn("TYPE", label), "TYPE", material, text_col, "SAMPLE" if with_sample else None)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, day_diff
 from ..functions.ordering import ascending, descending
-from .joins import split_hot_join
+from .joins import salted_join
 from .versions import latest_version
 
+# The columns of the two reports, in their order.
 HEADER_COLUMNS = ("VBELN", "AUDAT", "AUART", "KUNNR", "LFSTK", "GBSTK", "NETWR", "WAERK")
 DELAY_COLUMNS = (
     "VBELN", "POSNR", "AUDAT", "EDATU", "WMENG", "REMAIN_QTY", "DELAY_DAYS",
@@ -30,7 +31,7 @@ def open_headers(
     version: str = "FILE_DATE",
     delivery_status: str = "LFSTK",
     overall_status: str = "GBSTK",
-    hot_key_share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Newest header version per order, kept when it is still open.
 
@@ -38,7 +39,7 @@ def open_headers(
     ``closed_status`` (a NULL status is not open). The status test runs after
     the version pick.
     """
-    newest = latest_version(header, key, version, since, hot_key_share=hot_key_share)
+    newest = latest_version(header, key, version, since, salts=salts)
     return newest.filter(
         F.col(delivery_status).isin(list(open_statuses))
         & (F.col(overall_status) != closed_status)
@@ -59,7 +60,7 @@ def open_orders(
     amount: str = "NETWR",
     columns: Sequence[str] = HEADER_COLUMNS,
     tie_break: Sequence[str] | None = None,
-    hot_key_share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """K2: the ``n`` largest open orders with their age in days.
 
@@ -71,11 +72,11 @@ def open_orders(
 
     The top-n runs as a per-partition top-n plus one merge of at most
     ``n x partitions`` rows (``TakeOrderedAndProject``), never a full sort.
-    ``hot_key_share`` switches on the explicit hot-key split of the version
-    pick (see ``versions.latest_version``).
+    ``salts`` spreads hot keys of the version pick (see
+    ``versions.latest_version``).
     """
     orders = open_headers(
-        header, since, open_statuses, closed_status, key, version, hot_key_share=hot_key_share
+        header, since, open_statuses, closed_status, key, version, salts=salts
     )
     if created_since is not None:
         orders = orders.filter(F.col(order_date) >= date_value(created_since))
@@ -103,7 +104,7 @@ def delayed_lines(
     open_statuses: Sequence[str] = D.OPEN_DELIVERY_STATUSES,
     closed_status: str = D.CLOSED_OVERALL_STATUS,
     tie_break: Sequence[str] | None = None,
-    hot_key_share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.
 
@@ -115,8 +116,8 @@ def delayed_lines(
     column, a total order, so the cut at ``n`` repeats even when a header's
     tied versions fan a line out).
 
-    ``hot_key_share`` switches on the explicit hot-key split (see
-    ``operators.joins``) for both version picks and the line-order join.
+    ``salts`` spreads hot keys of both version picks and of the line-order
+    join (see ``operators.joins``).
     """
     today = date_value(as_of)
     ties = (
@@ -125,12 +126,12 @@ def delayed_lines(
         else ["VBELN", "POSNR"] + [c for c in DELAY_COLUMNS if c not in ("VBELN", "POSNR", "DELAY_DAYS")]
     )
     orders = open_headers(
-        header, since, open_statuses, closed_status, hot_key_share=hot_key_share
+        header, since, open_statuses, closed_status, salts=salts
     ).select(
         "VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK"
     )
     overdue = (
-        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, hot_key_share=hot_key_share)
+        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, salts=salts)
         .filter(
             (F.col("EDATU") < today)
             & (F.col("WMENG") > F.col("LMENG"))
@@ -143,7 +144,7 @@ def delayed_lines(
         )
     )
     return (
-        split_hot_join(overdue, orders, ["VBELN"], "inner", hot_key_share)
+        salted_join(overdue, orders, ["VBELN"], "inner", salts)
         .select(*DELAY_COLUMNS)
         .orderBy(*descending("DELAY_DAYS"), *ascending(*ties))
         .limit(n)
@@ -153,13 +154,14 @@ def delayed_lines(
 def subtotals(report: DataFrame, key: str = "WAERK", amount: str = "NETWR") -> DataFrame:
     """K4: amount summed per currency over the rows of a (top-n) report.
 
-    NULL currencies are left out and currencies come in order. Result:
+    NULL currencies are left out and currencies come in order; NULL amounts
+    count nothing, so a currency without any amount has a total of 0. Result:
     ``key, NET_TOTAL``.
     """
     return (
         report.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.sum(amount).cast("decimal(38,2)").alias("NET_TOTAL"))
+        .agg(F.coalesce(F.sum(amount), F.lit(0)).cast("decimal(38,2)").alias("NET_TOTAL"))
         .orderBy(*ascending(key))
     )
 

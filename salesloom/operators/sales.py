@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, month_key
 from ..functions.ordering import ascending
-from .joins import split_hot_join
+from .joins import salted_join
+from .versions import require_unique
 
 SNAPSHOT_MODES = ("paired", "global_latest")
 
@@ -27,7 +28,9 @@ def monthly_sales(
     since=None,
     min_net=0,
     group_col: str = "MATKL",
-    hot_key_share: float | None = None,
+    salts: int | None = None,
+    months: tuple[str, str] | None = None,
+    check_keys: bool = False,
 ) -> DataFrame:
     """Invoiced quantity and net amount per billing month.
 
@@ -47,8 +50,14 @@ def monthly_sales(
     Result: ``[group_col,] YEARMONTH, QTY, NET_USD`` ordered by month, then
     group; ``groups`` always filters ``MATKL``, ``group_col`` (default
     ``MATKL``) is the product column the sums are grouped by.
-    ``hot_key_share`` switches on the explicit hot-key split (see
-    ``operators.joins``) for the header and product joins.
+    ``months`` keeps an inclusive range of billing months (``yyyy-MM``), as
+    date bounds that reach the header scan; an empty range gives no rows.
+    ``salts`` spreads hot keys of the header and product joins (see
+    ``operators.joins``). ``check_keys`` fails if a product is listed twice.
+
+    With ``groups`` the chosen products are joined before the header, so that
+    only lines of those groups are shuffled by document; without, the header
+    (which drops lines too) comes first.
     The product side is joined by key; AQE broadcasts it only when its
     run-time size is under the broadcast threshold.
     """
@@ -66,15 +75,20 @@ def monthly_sales(
         headers = headers.filter(F.col("WAERK") == currency)
     if since is not None:
         headers = headers.filter(F.col("FKDAT") >= date_value(since))
+    if months is not None:
+        lo, hi = (F.to_date(F.lit(f"{m}-01")) for m in months)
+        headers = headers.filter((F.col("FKDAT") >= lo) & (F.col("FKDAT") < F.add_months(hi, 1)))
     headers = headers.select("VBELN", "FILE_DATE", month_key("FKDAT").alias("YEARMONTH"))
+    if check_keys:
+        require_unique(products, "MATNR", "products")
     if groups is not None:
         products = products.filter(F.col("MATKL").isin(list(groups)))
     products = products.select("MATNR", group_col)
 
-    joined = split_hot_join(
-        split_hot_join(lines, headers, ["VBELN", "FILE_DATE"], "inner", hot_key_share),
-        products, ["MATNR"], "inner", hot_key_share,
-    )
+    steps = [(headers, ["VBELN", "FILE_DATE"]), (products, ["MATNR"])]
+    joined = lines
+    for dim, on in steps if groups is None else reversed(steps):
+        joined = salted_join(joined, dim, on, "inner", salts)
     keys = [group_col, "YEARMONTH"] if by_group else ["YEARMONTH"]
     return (
         joined.groupBy(*keys)
@@ -86,14 +100,16 @@ def monthly_sales(
     )
 
 
-def category_extract(monthly_by_group: DataFrame, mapping: DataFrame) -> DataFrame:
+def category_extract(monthly_by_group: DataFrame, mapping: DataFrame, check_keys: bool = False) -> DataFrame:
     """Monthly group sums rolled up to categories.
 
     ``mapping`` is ``MATKL -> CATEGORY``; its key must be unique or sums fan
-    out (check with ``versions.duplicate_key_count``). Groups without a
+    out (``check_keys`` fails then). Groups without a
     category are left out. Result: ``YEARMONTH, CATEGORY, QTY, NET_USD``
     ordered by month, then category - the extract's shape and order.
     """
+    if check_keys:
+        require_unique(mapping, "MATKL", "mapping")
     return (
         monthly_by_group.join(mapping.select("MATKL", "CATEGORY"), on="MATKL", how="inner")
         .groupBy("YEARMONTH", "CATEGORY")
@@ -120,6 +136,8 @@ def category_sales(
     fact rows see one more column and the plan one aggregation fewer.
     ``filters`` are ``monthly_sales`` keyword arguments.
     """
+    if filters.get("check_keys"):
+        require_unique(mapping, "MATKL", "mapping")
     mapped = products.join(mapping.select("MATKL", "CATEGORY"), on="MATKL", how="inner")
     return monthly_sales(
         lines, headers, mapped, by_group=True, group_col="CATEGORY", **filters

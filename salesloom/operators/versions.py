@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value
 from ..functions.ordering import ascending, descending
-from .joins import split_hot_join
+from .joins import salted_join
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -27,7 +27,7 @@ def latest_version(
     keys: str | Sequence[str] = "VBELN",
     version: str = "FILE_DATE",
     since=None,
-    hot_key_share: float | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """K1: the rows carrying the newest version of their key; ties are kept.
 
@@ -43,9 +43,9 @@ def latest_version(
     by AQE's skew-join handling. A window ``rank()`` would put every row of a
     hot key into one task, which AQE cannot split.
 
-    With ``hot_key_share`` (e.g. ``0.001``) keys holding more than that share
-    of the rows are split off and handled by a broadcast instead of a shuffle,
-    which keeps a hot key out of any single task even without AQE.
+    ``salts`` (see ``operators.joins``) spreads a hot (key, version) group over
+    several tasks without AQE: the newest versions, one row per key, are
+    repeated and the rows dealt out.
 
     Business filters (status, dates) must run on the result, not before: a
     closed newest version would otherwise let an older open one through.
@@ -53,41 +53,9 @@ def latest_version(
     key_cols = _keys(keys)
     if since is not None:
         df = df.filter(F.col(version) >= date_value(since))
-    if hot_key_share is not None:
-        return _latest_version_split(df, key_cols, version, hot_key_share)
     newest = df.groupBy(*key_cols).agg(F.max(version).alias(version))
-    return df.join(newest, on=[*key_cols, version], how="left_semi")
-
-
-def _latest_version_split(df: DataFrame, key_cols: list[str], version: str, share: float) -> DataFrame:
-    """K1 with hot keys split off explicitly (no reliance on AQE).
-
-    One aggregation gives each key's newest version and row count. A key is
-    hot when it holds more than ``share`` of all rows, so there are fewer
-    than ``1 / share`` hot keys: that bound is what makes broadcasting them
-    safe. Rows of hot keys are matched against the broadcast hot keys without
-    any shuffle; all other rows drop the hot keys with a broadcast anti join
-    and take the usual semi join on (key, version), so no hot key reaches a
-    shuffle. Costs one more (column-pruned) scan than the default path.
-    """
-    if not 0 < share < 1:
-        raise ValueError("hot_key_share must be between 0 and 1")
-    per_key = df.groupBy(*key_cols).agg(
-        F.max(version).alias(version), F.count(F.lit(1)).alias("_rows")
-    )
-    total = per_key.select(F.sum("_rows")).scalar()
-    is_hot = F.col("_rows") > F.lit(share) * total
-    hot = per_key.filter(is_hot).select(*key_cols, F.col(version).alias("_newest"))
-    cold = per_key.filter(~is_hot).select(*key_cols, version)
-    hot_rows = (
-        df.join(F.broadcast(hot), on=key_cols, how="inner")
-        .filter(F.col(version) == F.col("_newest"))
-        .select(*df.columns)
-    )
-    cold_rows = df.join(F.broadcast(hot.select(*key_cols)), on=key_cols, how="left_anti").join(
-        cold, on=[*key_cols, version], how="left_semi"
-    )
-    return hot_rows.unionByName(cold_rows)
+    kept = salted_join(df, newest, [*key_cols, version], "left_semi", salts)
+    return kept.select(*df.columns) if salts else kept
 
 
 def version_distribution(
@@ -98,17 +66,20 @@ def version_distribution(
     amount: str = "NETWR",
     material: str = "MATNR",
     group_col: str = "MATKL",
-    hot_key_share: float | None = None,
+    salts: int | None = None,
+    check_keys: bool = False,
 ) -> DataFrame:
     """Rows and net amount per load date, optionally for one product group.
 
     Result: ``FILE_DATE, ROW_CNT, NET_USD`` ordered by load date.
-    ``hot_key_share`` splits hot materials off the product join
-    (``operators.joins``).
+    ``salts`` spreads hot materials of the product join
+    (``operators.joins``); ``check_keys`` fails if a product is listed twice.
     """
     if products is not None and group is not None:
+        if check_keys:
+            require_unique(products, material, "products")
         chosen = products.filter(F.col(group_col) == group).select(material)
-        lines = split_hot_join(lines, chosen, [material], "inner", hot_key_share)
+        lines = salted_join(lines, chosen, [material], "inner", salts)
     return (
         lines.groupBy(version)
         .agg(
@@ -128,19 +99,23 @@ def duplicate_keys(
     n: int | None = D.DUPLICATE_KEY_ROWS,
     material: str = "MATNR",
     group_col: str = "MATKL",
-    hot_key_share: float | None = None,
+    salts: int | None = None,
+    check_keys: bool = False,
 ) -> DataFrame:
     """Keys present more than once, with first and last load date.
 
     Result: ``keys..., DUP_CNT, FIRST_DATE, LAST_DATE`` ordered by ``DUP_CNT``
     descending, then the keys; the first ``n`` (all when ``n`` is None). An
-    empty result means the key is unique. ``hot_key_share`` splits hot
-    materials off the product join (``operators.joins``).
+    empty result means the key is unique. ``salts`` spreads hot
+    materials of the product join (``operators.joins``); ``check_keys`` fails
+    if a product is listed twice.
     """
     key_cols = _keys(keys)
     if products is not None and group is not None:
+        if check_keys:
+            require_unique(products, material, "products")
         chosen = products.filter(F.col(group_col) == group).select(material)
-        df = split_hot_join(df, chosen, [material], "inner", hot_key_share)
+        df = salted_join(df, chosen, [material], "inner", salts)
     dups = (
         df.groupBy(*key_cols)
         .agg(
@@ -167,3 +142,16 @@ def duplicate_key_count(df: DataFrame, keys: str | Sequence[str]) -> int:
         .filter(F.col("count") > 1)
         .count()
     )
+
+
+def require_unique(df: DataFrame, keys: str | Sequence[str], what: str) -> DataFrame:
+    """``df`` itself, or a ``ValueError`` with the number of repeated keys.
+
+    Eager (one aggregation over the keys), so the jobs that call it do so only
+    with ``check_keys=True``. Sums through a join on a repeated dimension key
+    would otherwise fan out without a sign.
+    """
+    repeated = duplicate_key_count(df, keys)
+    if repeated:
+        raise ValueError(f"{what}: {repeated} repeated value(s) of {', '.join(_keys(keys))}")
+    return df

@@ -5,7 +5,7 @@ Result: ``SECTION`` (0 open orders, 1 overdue lines), ``POS`` (line number
 within the section, from 1) and ``LINE``. Sending the text anywhere is the
 caller's business.
 
-Each report is a top-n frame (at most ``n`` rows, a proven bound), so each
+Each report is cut to its top ``n`` rows here (a proven bound), so each
 section is built by one global aggregation over it: the rows are gathered in
 report order, subtotals are computed over that bounded array with
 higher-order functions, and the lines are exploded with their position. Each
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions.dates import date_stamp, date_value
-from ..functions.ordering import ascending
+from ..functions.ordering import ascending, descending
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
 from ..operators.orders import delayed_lines, open_orders
 
-# Display labels (English; the texts are presentation, not data).
+# Display labels (English; the texts are presentation, not data). Fixed values:
+# the column widths of both tables.
 OPEN_TITLE = "[Open sales orders] as of "
 DELAY_TITLE = "[Overdue schedule lines] as of "
 NO_DELAY = "No overdue lines"
@@ -44,6 +45,17 @@ DELAY_HEAD = " ".join(
 )
 
 
+def _cell(c: Column | str) -> Column:
+    """A cell's text; a NULL is an empty cell, which keeps its width when padded."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _days(c: str) -> Column:
+    """``12d``; empty for NULL."""
+    return F.coalesce(F.concat(F.col(c).cast("string"), F.lit("d")), F.lit(""))
+
+
 def _texts(*lines: str) -> Column:
     return F.array(*[F.lit(s) for s in lines])
 
@@ -74,13 +86,14 @@ def _section(df: DataFrame, section: int) -> DataFrame:
 
 
 def open_section(open_report: DataFrame, day: Column, n: int, not_delivered: str) -> DataFrame:
-    """Section 0: title, count, per-currency totals, the table of orders."""
+    """Section 0, of the first ``n`` orders: title, count, per-currency totals, the table of orders."""
+    open_report = open_report.orderBy(*descending("NETWR"), *ascending(*OPEN_TIES)).limit(n)
     line = F.concat_ws(
         " ",
-        pad_right("VBELN", 12), pad_right(F.col("AUDAT").cast("string"), 12), pad_right("AUART", 6),
+        pad_right(_cell("VBELN"), 12), pad_right(_cell("AUDAT"), 12), pad_right(_cell("AUART"), 6),
         pad_right(status_label("LFSTK", not_delivered, "Not delivered", "Partly delivered"), 8),
-        pad_left(thousands("NETWR"), 12), pad_right("WAERK", 5),
-        F.concat(pad_left(F.col("ORDER_AGE_DAYS").cast("string"), 3), F.lit("d")),
+        pad_left(_cell(thousands("NETWR")), 12), pad_right(_cell("WAERK"), 5),
+        pad_left(_days("ORDER_AGE_DAYS"), 4),
     )
     row = F.struct(
         F.col("NETWR").isNotNull().cast("int").alias("K0"),  # NULL amount first
@@ -122,15 +135,16 @@ def open_section(open_report: DataFrame, day: Column, n: int, not_delivered: str
     return _section(gathered.select(lines.alias("LINES")), 0)
 
 
-def delay_section(delayed_report: DataFrame, day: Column) -> DataFrame:
-    """Section 1: title and either the table of overdue lines or one line
+def delay_section(delayed_report: DataFrame, day: Column, n: int) -> DataFrame:
+    """Section 1, of the first ``n`` lines: title and either the table of overdue lines or one line
     saying there are none."""
+    delayed_report = delayed_report.orderBy(*descending("DELAY_DAYS"), *ascending(*DELAY_TIES)).limit(n)
     line = F.concat_ws(
         " ",
-        pad_right("VBELN", 12), pad_right(zero_fill("POSNR", 5), 6),
-        pad_right(F.col("AUDAT").cast("string"), 12), pad_right(F.col("EDATU").cast("string"), 12),
-        pad_left(thousands("REMAIN_QTY"), 8),
-        F.concat(pad_left(F.col("DELAY_DAYS").cast("string"), 3), F.lit("d")),
+        pad_right(_cell("VBELN"), 12), pad_right(_cell(zero_fill("POSNR", 5)), 6),
+        pad_right(_cell("AUDAT"), 12), pad_right(_cell("EDATU"), 12),
+        pad_left(_cell(thousands("REMAIN_QTY")), 8),
+        pad_left(_days("DELAY_DAYS"), 4),
     )
     row = F.struct(
         F.col("DELAY_DAYS").isNotNull().cast("int").alias("K0"),
@@ -156,9 +170,13 @@ def digest_lines(
     as_of=None,
     n: int = D.OPEN_ORDER_ROWS,
     not_delivered: str = D.NOT_DELIVERED_STATUS,
+    delayed_n: int = D.DELAYED_LINE_ROWS,
 ) -> DataFrame:
     """K5: both report sections as ordered text lines.
 
+    A report longer than ``n`` (``delayed_n``) rows is cut to it in report
+    order; a NULL column is an empty cell of the same width.
+
     ``open_report`` is ``open_orders`` output, ``delayed_report`` is
     ``delayed_lines`` output; ``not_delivered`` is the delivery-status code
     shown as "Not delivered" (every other code is "Partly delivered").
@@ -168,7 +186,7 @@ def digest_lines(
     day = date_stamp(date_value(as_of))
     return (
         open_section(open_report, day, n, not_delivered)
-        .unionByName(delay_section(delayed_report, day))
+        .unionByName(delay_section(delayed_report, day, delayed_n))
         .orderBy(*ascending("SECTION", "POS"))
     )
 
@@ -201,4 +219,4 @@ def daily_digest(
         header, lines, as_of=as_of, since=since, n=delayed_n,
         open_statuses=open_statuses, closed_status=closed_status,
     )
-    return digest_lines(top, late, as_of=as_of, n=n, not_delivered=not_delivered)
+    return digest_lines(top, late, as_of=as_of, n=n, not_delivered=not_delivered, delayed_n=delayed_n)

@@ -1,33 +1,30 @@
 """Jobs over the test tables with their SQL oracles.
 
 Each job maps a reference query onto the stand-in tables (see
-``sources.standins``) with fixed stand-in parameters. Oracles restate the
-stand-in projection as a CTE over the raw tables.
+``sources.standins``) with fixed stand-in parameters. The oracles are written
+over the raw columns of the test tables and share no constants with the jobs'
+code but the parameters below.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import axis_label
 from ..operators import dashboard as dash
 from ..operators import keywords as kw
 from ..operators import orders as ord_ops
 from ..operators import sales, versions
 from ..operators.catalog import dictionary, distinct_values
 from ..sources import standins
-from ..sources.tables import load_table, preview
+from ..sources.tables import load_table, preview, run_sql
 from . import digest as dg
 from .registry import register
 
 
-@functools.lru_cache(maxsize=256)
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, opened once per session (like a catalog entry): the
-    file listing and footer read happen once, later jobs reuse the lazy
-    scan. Nothing is cached in memory."""
+    """A test table, listed anew for each job, so rows that are added are seen."""
     return load_table(spark, name, base=sf_dir)
 
 
@@ -43,68 +40,48 @@ DELAY_AS_OF = "2000-01-01"
 OPEN_STATUSES = ("O", "P")
 CLOSED_STATUS = "5-LOW"
 
-# Stand-in views restated for the oracle.
-SQL_HEADER_BY_CUSTOMER = """
-  SELECT o_custkey AS VBELN, CAST(o_orderdate AS DATE) AS FILE_DATE,
-         CAST(o_orderdate AS DATE) AS AUDAT, CAST(o_orderkey AS VARCHAR) AS AUART,
-         o_custkey AS KUNNR, o_orderstatus AS LFSTK, o_orderpriority AS GBSTK,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS NETWR, o_orderpriority AS WAERK
-  FROM orders"""
+# Oracle texts over the raw tables. The newest version is the first rank by
+# day within the key (ties share it); nothing is joined to a MAX.
+def _sql_orders(key: str, since: str | None = None) -> str:
+    floor = f" WHERE CAST(o_orderdate AS DATE) >= DATE '{since}'" if since else ""
+    return f"""
+  SELECT *, CAST(o_orderdate AS DATE) AS order_day FROM orders{floor}
+  QUALIFY rank() OVER (PARTITION BY {key} ORDER BY CAST(o_orderdate AS DATE) DESC) = 1"""
 
-SQL_HEADER_BY_ORDER = SQL_HEADER_BY_CUSTOMER.replace(
-    "SELECT o_custkey AS VBELN", "SELECT o_orderkey AS VBELN"
-)
 
-SQL_SCHEDULE_LINES = """
-  SELECT l_orderkey AS VBELN, l_linenumber AS POSNR,
-         CAST(l_shipdate AS DATE) AS FILE_DATE, CAST(l_shipdate AS DATE) AS EDATU,
-         CAST(l_quantity AS DECIMAL(18,3)) AS WMENG,
-         CAST(l_discount * 100 AS DECIMAL(18,3)) AS LMENG
-  FROM lineitem"""
+SQL_NEWEST_LINES = f"""
+  SELECT *, CAST(l_shipdate AS DATE) AS ship_day FROM lineitem WHERE l_shipdate >= TIMESTAMP '{LINES_SINCE}'
+  QUALIFY rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CAST(l_shipdate AS DATE) DESC) = 1"""
+
+SQL_K1_HEADER = f"""
+SELECT o_custkey AS VBELN, order_day AS FILE_DATE, order_day AS AUDAT, o_orderkey::VARCHAR AS AUART,
+       o_custkey AS KUNNR, o_orderstatus AS LFSTK, o_orderpriority AS GBSTK,
+       o_totalprice::DECIMAL(18,2) AS NETWR, o_orderpriority AS WAERK
+FROM ({_sql_orders("o_custkey")}) newest"""
 
 
 # ---------------------------------------------------------------------------
 # K1 newest version per key
 # ---------------------------------------------------------------------------
-@register(
-    "k1_latest_header",
-    oracle=f"""
-WITH h AS ({SQL_HEADER_BY_CUSTOMER})
-SELECT h.* FROM h
-JOIN (SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h GROUP BY VBELN) l
-  ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
-""",
-)
+@register("k1_latest_header", oracle=SQL_K1_HEADER)
 def k1_latest_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_custkey")
     return versions.latest_version(header, "VBELN", "FILE_DATE")
 
 
-@register(
-    "k1_latest_header_hotkeys",
-    oracle=f"""
-WITH h AS ({SQL_HEADER_BY_CUSTOMER})
-SELECT h.* FROM h
-JOIN (SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h GROUP BY VBELN) l
-  ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
-""",
-)
+@register("k1_latest_header_hotkeys", oracle=SQL_K1_HEADER)
 def k1_latest_header_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 with the explicit hot-key split: customers holding more than 0.05%
-    of the rows (at most 2,000 keys) take the broadcast path."""
+    """K1 with salting: each (customer, load) group is spread over 4 tasks."""
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_custkey")
-    return versions.latest_version(header, "VBELN", "FILE_DATE", hot_key_share=0.0005)
+    return versions.latest_version(header, "VBELN", "FILE_DATE", salts=4)
 
 
 @register(
     "k1_latest_lines",
     oracle=f"""
-WITH p AS ({SQL_SCHEDULE_LINES})
-SELECT p.* FROM p
-JOIN (SELECT VBELN, POSNR, MAX(FILE_DATE) AS LATEST
-      FROM p WHERE FILE_DATE >= DATE '{LINES_SINCE}' GROUP BY VBELN, POSNR) l
-  ON p.VBELN = l.VBELN AND p.POSNR = l.POSNR AND p.FILE_DATE = l.LATEST
-""",
+SELECT l_orderkey AS VBELN, l_linenumber AS POSNR, ship_day AS FILE_DATE, ship_day AS EDATU,
+       l_quantity::DECIMAL(18,3) AS WMENG, (l_discount * 100)::DECIMAL(18,3) AS LMENG
+FROM ({SQL_NEWEST_LINES}) newest""",
 )
 def k1_latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = standins.schedule_lines(_t(spark, sf_dir, "lineitem"))
@@ -114,18 +91,23 @@ def k1_latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K2 largest open orders, K4 their subtotals
 # ---------------------------------------------------------------------------
-SQL_K2 = f"""
-WITH h AS ({SQL_HEADER_BY_CUSTOMER}),
-latest AS (
-  SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h
-  WHERE FILE_DATE >= DATE '{HEADER_SINCE}' GROUP BY VBELN)
-SELECT h.VBELN, h.AUDAT, h.AUART, h.KUNNR, h.LFSTK, h.GBSTK, h.NETWR, h.WAERK,
-       CAST(date_diff('day', h.AUDAT, DATE '{REPORT_AS_OF}') AS INTEGER) AS ORDER_AGE_DAYS
-FROM h JOIN latest l ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
-WHERE h.LFSTK IN ('O', 'P') AND h.GBSTK <> '{CLOSED_STATUS}'
-  AND h.AUDAT >= DATE '{CREATED_SINCE}'
-ORDER BY h.NETWR DESC NULLS FIRST, h.VBELN, h.AUART
-LIMIT 20"""
+def _sql_open(key: str, since: str) -> str:
+    """Open orders (raw columns) by their newest version under ``key``."""
+    return f"""
+  SELECT * FROM ({_sql_orders(key, since)}) newest
+  WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority <> '{CLOSED_STATUS}'"""
+
+
+def _sql_k2(key: str, since: str, as_of: str) -> str:
+    return f"""
+SELECT {key} AS VBELN, order_day AS AUDAT, o_orderkey::VARCHAR AS AUART, o_custkey AS KUNNR,
+       o_orderstatus AS LFSTK, o_orderpriority AS GBSTK, o_totalprice::DECIMAL(18,2) AS NETWR,
+       o_orderpriority AS WAERK, (DATE '{as_of}' - order_day)::INTEGER AS ORDER_AGE_DAYS
+FROM ({_sql_open(key, since)}) o WHERE order_day >= DATE '{CREATED_SINCE}'
+ORDER BY NETWR DESC NULLS FIRST, VBELN, AUART LIMIT 20"""
+
+
+SQL_K2 = _sql_k2("o_custkey", HEADER_SINCE, REPORT_AS_OF)
 
 
 def _k2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,16 +132,9 @@ def k2_open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k2_open_population",
     oracle=f"""
-WITH h AS ({SQL_HEADER_BY_CUSTOMER}),
-latest AS (
-  SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h
-  WHERE FILE_DATE >= DATE '{HEADER_SINCE}' GROUP BY VBELN)
-SELECT h.WAERK, CAST(SUM(h.NETWR) AS DECIMAL(38,2)) AS NET_TOTAL
-FROM h JOIN latest l ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
-WHERE h.LFSTK IN ('O', 'P') AND h.GBSTK <> '{CLOSED_STATUS}'
-  AND h.AUDAT >= DATE '{CREATED_SINCE}' AND h.WAERK IS NOT NULL
-GROUP BY h.WAERK
-""",
+SELECT o_orderpriority AS WAERK, coalesce(sum(o_totalprice::DECIMAL(18,2)), 0)::DECIMAL(38,2) AS NET_TOTAL
+FROM ({_sql_open("o_custkey", HEADER_SINCE)}) o
+WHERE order_day >= DATE '{CREATED_SINCE}' AND o_orderpriority IS NOT NULL GROUP BY ALL""",
 )
 def k2_open_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 over the whole open population (a separate, named result; the
@@ -174,10 +149,8 @@ def k2_open_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k4_subtotals",
     oracle=f"""
-WITH top AS ({SQL_K2})
-SELECT WAERK, CAST(SUM(NETWR) AS DECIMAL(38,2)) AS NET_TOTAL
-FROM top WHERE WAERK IS NOT NULL GROUP BY WAERK
-""",
+SELECT DISTINCT WAERK, (sum(coalesce(NETWR, 0)) OVER (PARTITION BY WAERK))::DECIMAL(38,2) AS NET_TOTAL
+FROM ({SQL_K2}) top WHERE WAERK IS NOT NULL""",
 )
 def k4_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ord_ops.subtotals(_k2(spark, sf_dir))
@@ -185,7 +158,7 @@ def k4_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k4_row_count",
-    oracle=f"WITH top AS ({SQL_K2}) SELECT COUNT(*) AS ROWS FROM top",
+    oracle=f"SELECT count(VBELN) AS ROWS FROM ({SQL_K2}) top",
 )
 def k4_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ord_ops.row_count(_k2(spark, sf_dir))
@@ -194,141 +167,114 @@ def k4_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K3 overdue schedule lines of open orders
 # ---------------------------------------------------------------------------
-SQL_K3_BODY = f"""
-WITH h AS ({SQL_HEADER_BY_ORDER}),
-p AS ({SQL_SCHEDULE_LINES}),
-open_orders AS (
-  SELECT h.VBELN, h.AUDAT, h.AUART, h.KUNNR, h.NETWR, h.WAERK FROM h
-  JOIN (SELECT VBELN, MAX(FILE_DATE) AS LATEST FROM h
-        WHERE FILE_DATE >= DATE '{LINES_SINCE}' GROUP BY VBELN) l
-    ON h.VBELN = l.VBELN AND h.FILE_DATE = l.LATEST
-  WHERE h.LFSTK IN ('O', 'P') AND h.GBSTK <> '{CLOSED_STATUS}'),
-overdue AS (
-  SELECT p.VBELN, p.POSNR, p.EDATU, p.WMENG, p.WMENG - p.LMENG AS REMAIN_QTY,
-         CAST(date_diff('day', p.EDATU, DATE '{DELAY_AS_OF}') AS INTEGER) AS DELAY_DAYS
-  FROM p JOIN (SELECT VBELN, POSNR, MAX(FILE_DATE) AS LATEST FROM p
-               WHERE FILE_DATE >= DATE '{LINES_SINCE}' GROUP BY VBELN, POSNR) l
-    ON p.VBELN = l.VBELN AND p.POSNR = l.POSNR AND p.FILE_DATE = l.LATEST
-  WHERE p.EDATU < DATE '{DELAY_AS_OF}' AND p.WMENG > p.LMENG AND p.WMENG > 0)
-SELECT d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, d.DELAY_DAYS,
-       o.KUNNR, o.NETWR, o.WAERK, o.AUART
-FROM overdue d JOIN open_orders o ON d.VBELN = o.VBELN"""
-
-
-def _k3(spark: SparkSession, sf_dir: str, n: int, hot_key_share: float | None = None) -> DataFrame:
+SQL_K3 = f"""
+SELECT l_orderkey AS VBELN, l_linenumber AS POSNR, order_day AS AUDAT, ship_day AS EDATU,
+       l_quantity::DECIMAL(18,3) AS WMENG,
+       l_quantity::DECIMAL(18,3) - (l_discount * 100)::DECIMAL(18,3) AS REMAIN_QTY,
+       (DATE '{DELAY_AS_OF}' - ship_day)::INTEGER AS DELAY_DAYS, o_custkey AS KUNNR,
+       o_totalprice::DECIMAL(18,2) AS NETWR, o_orderpriority AS WAERK, o_orderkey::VARCHAR AS AUART
+FROM ({SQL_NEWEST_LINES}) line INNER JOIN ({_sql_open("o_orderkey", LINES_SINCE)}) o ON o_orderkey = l_orderkey
+WHERE ship_day < DATE '{DELAY_AS_OF}' AND l_quantity > 0
+  AND l_quantity::DECIMAL(18,3) > (l_discount * 100)::DECIMAL(18,3)
+ORDER BY DELAY_DAYS DESC, ALL_REST LIMIT 20""".replace(
+    "ALL_REST", "VBELN, POSNR, AUDAT, EDATU, WMENG, REMAIN_QTY, KUNNR, NETWR, WAERK, AUART"
+)
+
+
+def _k3(spark: SparkSession, sf_dir: str, n: int, salts: int | None = None) -> DataFrame:
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_orderkey")
     lines = standins.schedule_lines(_t(spark, sf_dir, "lineitem"))
     return ord_ops.delayed_lines(
         header, lines, as_of=DELAY_AS_OF, since=LINES_SINCE, n=n,
-        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, hot_key_share=hot_key_share,
+        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, salts=salts,
     )
 
 
-@register(
-    "k3_delayed_lines",
-    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART\nLIMIT 20",
-)
+@register("k3_delayed_lines", oracle=SQL_K3)
 def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k3(spark, sf_dir, 20)
 
 
-@register(
-    "k3_delayed_lines_hotkeys",
-    oracle=SQL_K3_BODY + "\nORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART\nLIMIT 20",
-)
+@register("k3_delayed_lines_hotkeys", oracle=SQL_K3)
 def k3_delayed_lines_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3 with the explicit hot-key split: orders holding more than 0.03% of
-    the overdue lines (at most 3,334 keys) are joined by broadcast."""
-    return _k3(spark, sf_dir, 20, hot_key_share=0.0003)
+    """K3 with salting: each order's lines are spread over 4 tasks."""
+    return _k3(spark, sf_dir, 20, salts=4)
 
 
 # ---------------------------------------------------------------------------
-# K5 the digest as text lines (no SQL oracle: formatting; rows-only check)
+# K5 the digest as text lines. The oracle states the layout itself: titles,
+# widths, row order.
 # ---------------------------------------------------------------------------
-def _rp(expr: str, width: int, fill: str = " ") -> str:
-    """SQL: right-pad to ``width`` without truncating."""
-    return f"rpad({expr}, CAST(greatest({width}, length({expr})) AS INTEGER), '{fill}')"
-
-
-def _lp(expr: str, width: int, fill: str = " ") -> str:
-    """SQL: left-pad to ``width`` without truncating."""
-    return f"lpad({expr}, CAST(greatest({width}, length({expr})) AS INTEGER), '{fill}')"
-
-
 def _sql_digest() -> str:
-    def q(text: str) -> str:
-        return "'" + text.replace("'", "''") + "'"
-
-    fmt = "format('{{:,.0f}}', {})".format
-    open_line = "concat_ws(' ', " + ", ".join([
-        _rp("CAST(VBELN AS VARCHAR)", 12), _rp("CAST(AUDAT AS VARCHAR)", 12), _rp("AUART", 6),
-        _rp("CASE WHEN LFSTK = 'O' THEN 'Not delivered' ELSE 'Partly delivered' END", 8),
-        _lp(fmt("NETWR"), 12), _rp("WAERK", 5),
-        _lp("CAST(ORDER_AGE_DAYS AS VARCHAR)", 3) + " || 'd'",
-    ]) + ")"
-    late_line = "concat_ws(' ', " + ", ".join([
-        _rp("CAST(VBELN AS VARCHAR)", 12), _rp(_lp("CAST(POSNR AS VARCHAR)", 5, "0"), 6),
-        _rp("CAST(AUDAT AS VARCHAR)", 12), _rp("CAST(EDATU AS VARCHAR)", 12),
-        _lp(fmt("REMAIN_QTY"), 8), _lp("CAST(DELAY_DAYS AS VARCHAR)", 3) + " || 'd'",
-    ]) + ")"
+    cell = lambda e, w, side="rpad", fill=" ": f"{side}({e}, greatest({w}, length({e}))::INTEGER, '{fill}')"
+    text = lambda e: f"coalesce({e}::VARCHAR, '')"
+    number = lambda e: f"coalesce(format('{{:,.0f}}', {e}), '')"
+    open_line = " || ' ' || ".join([
+        cell(text("VBELN"), 12), cell(text("AUDAT"), 12), cell(text("AUART"), 6),
+        cell("CASE LFSTK WHEN 'O' THEN 'Not delivered' ELSE 'Partly delivered' END", 8),
+        cell(number("NETWR"), 12, "lpad"), cell(text("WAERK"), 5), cell(text("ORDER_AGE_DAYS || 'd'"), 4, "lpad"),
+    ])
+    late_line = " || ' ' || ".join([
+        cell(text("VBELN"), 12), cell(cell(text("POSNR"), 5, "lpad", "0"), 6), cell(text("AUDAT"), 12), cell(text("EDATU"), 12),
+        cell(number("REMAIN_QTY"), 8, "lpad"), cell(text("DELAY_DAYS || 'd'"), 4, "lpad"),
+    ])
     return f"""
-WITH top AS ({SQL_K2}),
-late AS ({SQL_K3_BODY}
-  ORDER BY d.DELAY_DAYS DESC NULLS FIRST, d.VBELN, d.POSNR, o.AUDAT, d.EDATU, d.WMENG, d.REMAIN_QTY, o.KUNNR, o.NETWR, o.WAERK, o.AUART LIMIT 20),
-n0 AS (SELECT COUNT(*) AS ROWS FROM top),
-cur AS (SELECT WAERK, SUM(NETWR) AS AMT, ROW_NUMBER() OVER (ORDER BY WAERK) AS R
-        FROM top WHERE WAERK IS NOT NULL GROUP BY WAERK),
-nc AS (SELECT COUNT(*) AS C FROM cur),
-rows0 AS (SELECT ROW_NUMBER() OVER (ORDER BY NETWR DESC NULLS FIRST, {", ".join(dg.OPEN_TIES)}) AS R,
-                 {open_line} AS LINE FROM top),
-sec0 AS (
-  SELECT 1 AS POS, {q("*" + dg.OPEN_TITLE + REPORT_AS_OF + "*")} AS LINE
-  UNION ALL SELECT 2, 'Total ' || ROWS || ' (top 20 by amount)' FROM n0
-  UNION ALL SELECT 2 + R, '  Total(' || WAERK || '): ' || {fmt("AMT")} FROM cur
-  UNION ALL SELECT 3 + C, '' FROM nc
-  UNION ALL SELECT 4 + C, {q(dg.FENCE)} FROM nc
-  UNION ALL SELECT 5 + C, {q(dg.OPEN_HEAD)} FROM nc
-  UNION ALL SELECT 6 + C, {q(dg.RULE)} FROM nc
-  UNION ALL SELECT 6 + C + R, LINE FROM rows0, nc
-  UNION ALL SELECT 7 + C + ROWS, {q(dg.FENCE)} FROM nc, n0),
-n1 AS (SELECT COUNT(*) AS ROWS FROM late),
-rows1 AS (SELECT ROW_NUMBER() OVER (ORDER BY DELAY_DAYS DESC NULLS FIRST, {", ".join(dg.DELAY_TIES)}) AS R,
-                 {late_line} AS LINE FROM late),
-sec1 AS (
-  SELECT 1 AS POS, {q("*" + dg.DELAY_TITLE + REPORT_AS_OF + "*")} AS LINE
-  UNION ALL SELECT 2, {q(dg.NO_DELAY)} FROM n1 WHERE ROWS = 0
-  UNION ALL SELECT 2, 'Total ' || ROWS || ' (by days late)' FROM n1 WHERE ROWS > 0
-  UNION ALL SELECT 3, '' FROM n1 WHERE ROWS > 0
-  UNION ALL SELECT 4, {q(dg.FENCE)} FROM n1 WHERE ROWS > 0
-  UNION ALL SELECT 5, {q(dg.DELAY_HEAD)} FROM n1 WHERE ROWS > 0
-  UNION ALL SELECT 6, {q(dg.RULE)} FROM n1 WHERE ROWS > 0
-  UNION ALL SELECT 6 + R, LINE FROM rows1
-  UNION ALL SELECT 7 + ROWS, {q(dg.FENCE)} FROM n1 WHERE ROWS > 0)
-SELECT 0 AS SECTION, CAST(POS AS INTEGER) AS POS, LINE FROM sec0
-UNION ALL
-SELECT 1 AS SECTION, CAST(POS AS INTEGER) AS POS, LINE FROM sec1"""
+WITH top AS ({_sql_k2("o_orderkey", LINES_SINCE, DELAY_AS_OF)}),
+late AS ({SQL_K3}),
+cur AS (SELECT WAERK, coalesce(sum(NETWR), 0) AS AMT FROM top WHERE WAERK IS NOT NULL GROUP BY WAERK),
+parts AS (
+  SELECT 0 AS SECTION, 1 AS PART, 0 AS R, '*[Open sales orders] as of {DELAY_AS_OF}*' AS LINE
+  UNION ALL SELECT 0, 2, 0, 'Total ' || count(*) || ' (top 20 by amount)' FROM top
+  UNION ALL SELECT 0, 3, row_number() OVER (ORDER BY WAERK), '  Total(' || WAERK || '): ' || {number("AMT")} FROM cur
+  UNION ALL SELECT 0, 4, 0, ''
+  UNION ALL SELECT 0, 5, 0, '```'
+  UNION ALL SELECT 0, 6, 0, 'Order        Date         Type   Status         Amount Cur     Age'
+  UNION ALL SELECT 0, 7, 0, repeat('-', 65)
+  UNION ALL SELECT 0, 8, row_number() OVER (ORDER BY NETWR DESC NULLS FIRST, VBELN, AUART), {open_line} FROM top
+  UNION ALL SELECT 0, 9, 0, '```'
+  UNION ALL SELECT 1, 1, 0, '*[Overdue schedule lines] as of {DELAY_AS_OF}*'
+  UNION ALL SELECT 1, 2, 0, CASE count(*) WHEN 0 THEN 'No overdue lines' ELSE 'Total ' || count(*) || ' (by days late)' END FROM late
+  UNION ALL SELECT 1, 3 + k, 0, s FROM (VALUES (0, ''), (1, '```'),
+      (2, 'Order        Item   Date         Requested    Open qty  Late'), (3, repeat('-', 65)), (5, '```')) f(k, s)
+    WHERE EXISTS (FROM late)
+  UNION ALL SELECT 1, 7, row_number() OVER (ORDER BY DELAY_DAYS DESC, VBELN, POSNR, AUDAT, EDATU), {late_line} FROM late)
+SELECT SECTION, (row_number() OVER (PARTITION BY SECTION ORDER BY PART, R))::INTEGER AS POS, LINE FROM parts"""
 
 
 @register("k5_digest_lines", oracle=_sql_digest())
 def k5_digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dg.digest_lines(
-        _k2(spark, sf_dir), _k3(spark, sf_dir, 20), as_of=REPORT_AS_OF, n=20, not_delivered="O"
+    """The whole daily run on one header table and one day."""
+    return dg.daily_digest(
+        standins.order_header(_t(spark, sf_dir, "orders"), key="o_orderkey"),
+        standins.schedule_lines(_t(spark, sf_dir, "lineitem")),
+        as_of=DELAY_AS_OF, since=LINES_SINCE, created_since=CREATED_SINCE, n=20, delayed_n=20,
+        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, not_delivered="O",
     )
 
 
 # ---------------------------------------------------------------------------
 # K6-K9 keyword rules over product descriptions
 # ---------------------------------------------------------------------------
-SQL_DOC_PRODUCTS = "SELECT doc_id AS MATNR, source AS MATKL FROM documents"
-SQL_DOC_TEXTS = "SELECT doc_id AS MATNR, lang AS SPRAS, text AS MAKTX FROM documents"
-SQL_PART_BY_TYPE = "SELECT p_partkey AS MATNR, p_type AS MATKL FROM part"
-SQL_PART_BY_BRAND = "SELECT p_partkey AS MATNR, p_brand AS MATKL FROM part"
-SQL_PART_TEXTS = "SELECT p_partkey AS MATNR, p_name AS MAKTX FROM part"
+def _has(column: str, *terms: str) -> str:
+    """SQL: the upper-cased column contains one of the terms."""
+    return "(" + " OR ".join(f"contains(upper({column}), '{w}')" for w in terms) + ")"
 
 
-def _like(*terms: str) -> str:
-    """SQL for 'upper(text) contains any of terms'."""
-    return "(" + " OR ".join(f"UPPER(t.MAKTX) LIKE '%{w}%'" for w in terms) + ")"
+def _sql_keywords(source: str, cond: str, with_max: bool = False, tail: str = "") -> str:
+    """Groups of a table whose text meets ``cond``: products and text samples."""
+    key, group, text = SQL_SOURCES[source]
+    biggest = f", max({text}) AS SAMPLE2" if with_max else ""
+    return f"""
+SELECT {group} AS MATKL, count(DISTINCT {key}) AS CNT, min({text}) AS SAMPLE1{biggest}
+FROM {source.split(":")[0]} WHERE {cond} GROUP BY ALL {tail}"""
+
+
+# Table (and view of it) -> product, group and text columns.
+SQL_SOURCES = {
+    "documents": ("doc_id", "source", "text"),
+    "part:type": ("p_partkey", "p_type", "p_name"),
+    "part:brand": ("p_partkey", "p_brand", "p_name"),
+}
 
 
 # Stand-in keyword rules (terms that occur in the test documents / part names).
@@ -338,20 +284,22 @@ RULE_LICENSE = (
     | kw.clause("@", ("COM", "ORG", "NET"))
     | kw.clause("RELEASED", "UNDER")
 )
-SQL_RULE_LICENSE = (
-    f"(({_like('LICENSE')} AND {_like('MIT', 'APACHE')}) OR {_like('WORTHLESS')}"
-    f" OR ({_like('@')} AND {_like('COM', 'ORG', 'NET')})"
-    f" OR ({_like('RELEASED')} AND {_like('UNDER')}))"
-)
+SQL_RULE_LICENSE = "(" + " OR ".join([
+    _has("text", "LICENSE") + " AND " + _has("text", "MIT", "APACHE"),
+    _has("text", "WORTHLESS"),
+    _has("text", "@") + " AND " + _has("text", "COM", "ORG", "NET"),
+    _has("text", "RELEASED") + " AND " + _has("text", "UNDER"),
+]) + ")"
 RULE_FR = kw.any_of("QUE", "POUR") & kw.any_of("MENT", "TION")
-SQL_RULE_FR = f"({_like('QUE', 'POUR')} AND {_like('MENT', 'TION')})"
+SQL_RULE_FR = _has("text", "QUE", "POUR") + " AND " + _has("text", "MENT", "TION")
 RULE_THE = kw.clause("THE", ("TION", "ING"))
-SQL_RULE_THE = f"({_like('THE')} AND {_like('TION', 'ING')})"
+SQL_RULE_THE = _has("text", "THE") + " AND " + _has("text", "TION", "ING")
 EXCLUDED_SOURCES = ("src0", "src1", "src2", "src3", "src4")
 RULE_RING_GEAR = kw.any_of("RING", "GEAR")
-SQL_RULE_RING_GEAR = _like("RING", "GEAR")
+SQL_RULE_RING_GEAR = _has("p_name", "RING", "GEAR")
 RULE_HOT_COLD = kw.clause(("HOT", "COLD"), ("GEAR", "ROD"))
-SQL_RULE_HOT_COLD = f"({_like('HOT', 'COLD')} AND {_like('GEAR', 'ROD')})"
+SQL_RULE_HOT_COLD = _has("p_name", "HOT", "COLD") + " AND " + _has("p_name", "GEAR", "ROD")
+INCLUDED_BRANDS = ("Brand#1", "Brand#12", "Brand#13", "Brand#21")
 PROFILE_BRANDS = ("Brand#12", "Brand#21", "Brand#3", "Brand#7")
 
 
@@ -367,13 +315,7 @@ def _parts(spark: SparkSession, sf_dir: str, group: str = "p_type") -> tuple[Dat
 
 @register(
     "k6_keyword_groups",
-    oracle=f"""
-WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
-SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE t.SPRAS = 'en' AND {SQL_RULE_LICENSE}
-GROUP BY a.MATKL
-""",
+    oracle=_sql_keywords("documents", f"lang = 'en' AND {SQL_RULE_LICENSE}"),
 )
 def k6_keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _docs(spark, sf_dir)
@@ -382,13 +324,7 @@ def k6_keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k6_keyword_groups_family",
-    oracle=f"""
-WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
-SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1, MAX(t.MAKTX) AS SAMPLE2
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE t.SPRAS = 'fr' AND UPPER(a.MATKL) LIKE '%1%' AND {SQL_RULE_FR}
-GROUP BY a.MATKL
-""",
+    oracle=_sql_keywords("documents", f"lang = 'fr' AND {SQL_RULE_FR} AND {_has('source', '1')}", with_max=True),
 )
 def k6_keyword_groups_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _docs(spark, sf_dir)
@@ -399,16 +335,11 @@ def k6_keyword_groups_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k6_keyword_groups_excluding",
-    oracle=f"""
-WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
-SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE t.SPRAS = 'en' AND a.MATKL NOT IN ({", ".join(f"'{s}'" for s in EXCLUDED_SOURCES)})
-  AND {SQL_RULE_THE}
-GROUP BY a.MATKL
-ORDER BY CNT DESC, a.MATKL
-LIMIT 10
-""",
+    oracle=_sql_keywords(
+        "documents",
+        f"lang = 'en' AND {SQL_RULE_THE} AND source NOT IN {EXCLUDED_SOURCES}",
+        tail="ORDER BY CNT DESC, MATKL LIMIT 10",
+    ),
 )
 def k6_keyword_groups_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _docs(spark, sf_dir)
@@ -417,15 +348,23 @@ def k6_keyword_groups_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "k6_keyword_groups_including",
+    oracle=_sql_keywords(
+        "part:brand", f"p_brand IN {INCLUDED_BRANDS} AND starts_with(p_brand, 'Brand#1') AND {SQL_RULE_HOT_COLD}"
+    ),
+)
+def k6_keyword_groups_including(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A known list of groups, cut to those with a prefix."""
+    products, texts = _parts(spark, sf_dir, "p_brand")
+    return kw.keyword_groups(
+        products, texts, RULE_HOT_COLD, lang=None, include=INCLUDED_BRANDS, group_prefix="Brand#1"
+    )
+
+
 @register(
     "k7_group_profile",
-    oracle=f"""
-WITH a AS ({SQL_PART_BY_BRAND}), t AS ({SQL_PART_TEXTS})
-SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1, MAX(t.MAKTX) AS SAMPLE2
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE a.MATKL IN ({", ".join(f"'{b}'" for b in PROFILE_BRANDS)})
-GROUP BY a.MATKL
-""",
+    oracle=_sql_keywords("part:brand", f"p_brand IN {PROFILE_BRANDS}", with_max=True),
 )
 def k7_group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _parts(spark, sf_dir, "p_brand")
@@ -434,13 +373,7 @@ def k7_group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k7_group_prefix",
-    oracle=f"""
-WITH a AS ({SQL_PART_BY_BRAND}), t AS ({SQL_PART_TEXTS})
-SELECT a.MATKL, COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE1
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE a.MATKL LIKE 'Brand#1%'
-GROUP BY a.MATKL
-""",
+    oracle=_sql_keywords("part:brand", "starts_with(p_brand, 'Brand#1')"),
 )
 def k7_group_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _parts(spark, sf_dir, "p_brand")
@@ -450,13 +383,8 @@ def k7_group_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k8_keyword_samples",
     oracle=f"""
-WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
-SELECT t.MAKTX, a.MATKL, a.MATNR
-FROM t JOIN a ON a.MATNR = t.MATNR
-WHERE a.MATKL = 'PROMO' AND {SQL_RULE_RING_GEAR}
-ORDER BY t.MAKTX, a.MATNR
-LIMIT 30
-""",
+SELECT p_name AS MAKTX, p_type AS MATKL, p_partkey AS MATNR FROM part
+WHERE p_type = 'PROMO' AND {SQL_RULE_RING_GEAR} ORDER BY ALL LIMIT 30""",
 )
 def k8_keyword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _parts(spark, sf_dir)
@@ -466,13 +394,8 @@ def k8_keyword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k8_keyword_samples_by_group",
     oracle=f"""
-WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
-SELECT t.MAKTX, a.MATKL, a.MATNR
-FROM t JOIN a ON a.MATNR = t.MATNR
-WHERE {SQL_RULE_HOT_COLD}
-ORDER BY a.MATKL, t.MAKTX, a.MATNR
-LIMIT 50
-""",
+SELECT p_name AS MAKTX, p_type AS MATKL, p_partkey AS MATNR FROM part
+WHERE {SQL_RULE_HOT_COLD} ORDER BY p_type, p_name, p_partkey LIMIT 50""",
 )
 def k8_keyword_samples_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _parts(spark, sf_dir)
@@ -483,14 +406,9 @@ def k8_keyword_samples_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k8_group_samples",
-    oracle=f"""
-WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
-SELECT t.MAKTX, a.MATKL, a.MATNR
-FROM t JOIN a ON a.MATNR = t.MATNR
-WHERE a.MATKL = 'SMALL'
-ORDER BY t.MAKTX, a.MATNR
-LIMIT 50
-""",
+    oracle="""
+SELECT p_name AS MAKTX, p_type AS MATKL, p_partkey AS MATNR FROM part
+WHERE p_type = 'SMALL' ORDER BY ALL LIMIT 50""",
 )
 def k8_group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every description of one group (no rule), first 50 by text."""
@@ -501,13 +419,8 @@ def k8_group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k9_keyword_split",
     oracle=f"""
-WITH a AS ({SQL_PART_BY_TYPE}), t AS ({SQL_PART_TEXTS})
-SELECT CASE WHEN {SQL_RULE_RING_GEAR} THEN 'Match' ELSE 'Other' END AS TYPE,
-       COUNT(DISTINCT a.MATNR) AS CNT, MIN(t.MAKTX) AS SAMPLE
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE a.MATKL = 'PROMO'
-GROUP BY 1
-""",
+SELECT if({SQL_RULE_RING_GEAR}, 'Match', 'Other') AS TYPE, count(DISTINCT p_partkey) AS CNT, min(p_name) AS SAMPLE
+FROM part WHERE p_type = 'PROMO' GROUP BY ALL""",
 )
 def k9_keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _parts(spark, sf_dir)
@@ -517,13 +430,8 @@ def k9_keyword_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "k9_keyword_split_documents",
     oracle=f"""
-WITH a AS ({SQL_DOC_PRODUCTS}), t AS ({SQL_DOC_TEXTS})
-SELECT CASE WHEN {SQL_RULE_LICENSE} THEN 'Match' ELSE 'Other' END AS TYPE,
-       COUNT(DISTINCT a.MATNR) AS CNT
-FROM a JOIN t ON a.MATNR = t.MATNR
-WHERE t.SPRAS = 'en' AND a.MATKL = 'src7'
-GROUP BY 1
-""",
+SELECT if({SQL_RULE_LICENSE}, 'Match', 'Other') AS TYPE, count(DISTINCT doc_id) AS CNT
+FROM documents WHERE lang = 'en' AND source = 'src7' GROUP BY ALL""",
 )
 def k9_keyword_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, texts = _docs(spark, sf_dir)
@@ -547,45 +455,29 @@ SERIES_CATS = ("Promo", "Small", "Nonexistent")   # a category with no rows: zer
 PIVOT_CATS = ("Promo", "Small", "Nonexistent")
 
 
-def _quoted(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
+# Invoice facts over the raw tables: a line meets its document's header if both
+# are of one yearly load.
+SQL_FACTS = f"""
+  FROM lineitem
+  INNER JOIN orders ON o_orderkey = l_orderkey AND year(o_orderdate) = year(l_shipdate)
+  INNER JOIN part ON p_partkey = l_partkey
+  WHERE o_orderpriority NOT IN {EXCLUDED_TYPES} AND o_orderstatus = '{SALES_CURRENCY}'
+    AND CAST(o_orderdate AS DATE) >= DATE '{SALES_SINCE}' AND l_extendedprice > 0"""
+SQL_SUMS = (
+    "sum(l_quantity::DECIMAL(18,3))::DECIMAL(38,3) AS QTY, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(38,2) AS NET_USD"
+)
+SQL_MONTH = "strftime(o_orderdate, '%Y-%m') AS YEARMONTH"
+SQL_NEWEST_LOAD = "AND year(l_shipdate) = (SELECT max(year(l_shipdate)) FROM lineitem)"
 
 
-def _sql_invoice(grain: str) -> str:
-    load_line = (
-        "CAST(l_shipdate AS DATE)" if grain == "day"
-        else f"CAST(DATE_TRUNC('{grain}', l_shipdate) AS DATE)"
-    )
-    load_head = (
-        "CAST(o_orderdate AS DATE)" if grain == "day"
-        else f"CAST(DATE_TRUNC('{grain}', o_orderdate) AS DATE)"
-    )
-    return f"""
-p AS (SELECT l_orderkey AS VBELN, l_linenumber AS POSNR, l_partkey AS MATNR,
-             CAST(l_quantity AS DECIMAL(18,3)) AS FKIMG,
-             CAST(l_extendedprice AS DECIMAL(18,2)) AS NETWR,
-             {load_line} AS FILE_DATE FROM lineitem),
-h AS (SELECT o_orderkey AS VBELN, o_orderpriority AS FKART, o_orderstatus AS WAERK,
-             CAST(o_orderdate AS DATE) AS FKDAT, {load_head} AS FILE_DATE FROM orders),
-a AS ({SQL_PART_BY_TYPE})"""
-
-
-def _sql_monthly(by_group: bool, groups, snapshot: str, min_net) -> str:
-    group_sel = "a.MATKL, " if by_group else ""
-    group_by = "a.MATKL, " if by_group else ""
-    latest = " AND p.FILE_DATE = (SELECT MAX(FILE_DATE) FROM p)" if snapshot == "global_latest" else ""
-    group_filter = f" AND a.MATKL IN ({_quoted(groups)})" if groups else ""
+def _sql_monthly(groups, by_group: bool, newest: bool) -> str:
+    group = "p_type AS MATKL, " if by_group else ""
+    chosen = " OR ".join(f"p_type = '{g}'" for g in groups)
     return f"""
-SELECT {group_sel}strftime(h.FKDAT, '%Y-%m') AS YEARMONTH,
-       CAST(SUM(p.FKIMG) AS DECIMAL(38,3)) AS QTY, CAST(SUM(p.NETWR) AS DECIMAL(38,2)) AS NET_USD
-FROM p JOIN h ON p.VBELN = h.VBELN AND p.FILE_DATE = h.FILE_DATE
-JOIN a ON p.MATNR = a.MATNR
-WHERE h.FKART NOT IN ({_quoted(EXCLUDED_TYPES)}) AND p.NETWR > {min_net}
-  AND h.WAERK = '{SALES_CURRENCY}' AND h.FKDAT >= DATE '{SALES_SINCE}'{group_filter}{latest}
-GROUP BY {group_by}strftime(h.FKDAT, '%Y-%m')"""
+SELECT {group}{SQL_MONTH}, {SQL_SUMS} {SQL_FACTS} AND ({chosen}) {SQL_NEWEST_LOAD if newest else ""} GROUP BY ALL"""
 
 
-def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN, hot_key_share=None) -> DataFrame:
+def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN, salts=None) -> DataFrame:
     return sales.monthly_sales(
         standins.invoice_lines(_t(spark, sf_dir, "lineitem"), grain),
         standins.invoice_headers(_t(spark, sf_dir, "orders"), grain),
@@ -597,61 +489,42 @@ def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_G
         currency=SALES_CURRENCY,
         since=SALES_SINCE,
         min_net=min_net,
-        hot_key_share=hot_key_share,
+        salts=salts,
     )
 
 
-@register(
-    "k10_monthly_sales_paired",
-    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "paired", 0),
-)
+@register("k10_monthly_sales_paired", oracle=_sql_monthly(SALES_GROUPS, True, False))
 def k10_monthly_sales_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired")
 
 
-@register(
-    "k10_monthly_sales_paired_hotkeys",
-    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "paired", 0),
-)
+@register("k10_monthly_sales_paired_hotkeys", oracle=_sql_monthly(SALES_GROUPS, True, False))
 def k10_monthly_sales_paired_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K10 with the explicit hot-key split: materials holding more than
-    0.05% of the lines (at most 2,000 keys) are joined by broadcast."""
-    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", hot_key_share=0.0005)
+    """K10 with salting: each document's and product's lines are spread over 4 tasks."""
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", salts=4)
 
 
-@register(
-    "k10_monthly_sales_latest",
-    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(True, SALES_GROUPS, "global_latest", 0),
-)
+@register("k10_monthly_sales_latest", oracle=_sql_monthly(SALES_GROUPS, True, True))
 def k10_monthly_sales_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, True, SALES_GROUPS, "global_latest")
 
 
-@register(
-    "k10_monthly_sales_one_group",
-    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(False, ("PROMO",), "global_latest", 0),
-)
+@register("k10_monthly_sales_one_group", oracle=_sql_monthly(["PROMO"], False, True))
 def k10_monthly_sales_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, False, ("PROMO",), "global_latest")
 
 
-@register(
-    "k10_monthly_sales_paired_one_group",
-    oracle=f"WITH {_sql_invoice(SALES_GRAIN)}" + _sql_monthly(False, ("PROMO",), "paired", 0),
-)
+@register("k10_monthly_sales_paired_one_group", oracle=_sql_monthly(["PROMO"], False, False))
 def k10_monthly_sales_paired_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, False, ("PROMO",), "paired")
 
 
 @register(
     "k11_version_distribution",
-    oracle=f"""
-WITH {_sql_invoice("day")}
-SELECT p.FILE_DATE, COUNT(*) AS ROW_CNT, CAST(SUM(p.NETWR) AS DECIMAL(38,2)) AS NET_USD
-FROM p JOIN a ON p.MATNR = a.MATNR
-WHERE a.MATKL = 'PROMO'
-GROUP BY p.FILE_DATE
-""",
+    oracle="""
+SELECT CAST(l_shipdate AS DATE) AS FILE_DATE, count(*) AS ROW_CNT,
+       sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(38,2) AS NET_USD
+FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') GROUP BY ALL""",
 )
 def k11_version_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
@@ -659,19 +532,19 @@ def k11_version_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.version_distribution(lines, products, "PROMO")
 
 
+def _sql_repeated(cond: str) -> str:
+    """Line keys that are there more than once, by counting over a window."""
+    return f"""
+SELECT DISTINCT l_orderkey AS VBELN, l_linenumber AS POSNR, count(*) OVER w AS DUP_CNT,
+       CAST(min(l_shipdate) OVER w AS DATE) AS FIRST_DATE, CAST(max(l_shipdate) OVER w AS DATE) AS LAST_DATE
+FROM lineitem WHERE {cond} WINDOW w AS (PARTITION BY l_orderkey, l_linenumber) QUALIFY DUP_CNT >= 2"""
+
+
 @register(
     "k12_duplicate_keys",
     oracle=f"""
-WITH {_sql_invoice("day")}
-SELECT p.VBELN, p.POSNR, COUNT(*) AS DUP_CNT, MIN(p.FILE_DATE) AS FIRST_DATE,
-       MAX(p.FILE_DATE) AS LAST_DATE
-FROM p JOIN a ON p.MATNR = a.MATNR
-WHERE a.MATKL = 'PROMO'
-GROUP BY p.VBELN, p.POSNR
-HAVING COUNT(*) > 1
-ORDER BY DUP_CNT DESC, p.VBELN, p.POSNR
-LIMIT 10
-""",
+SELECT * FROM ({_sql_repeated("l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')")}) r
+ORDER BY DUP_CNT DESC, VBELN, POSNR LIMIT 10""",
 )
 def k12_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
@@ -679,14 +552,7 @@ def k12_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.duplicate_keys(lines, ("VBELN", "POSNR"), products=products, group="PROMO", n=10)
 
 
-@register(
-    "k12_duplicate_keys_all",
-    oracle=f"""
-WITH {_sql_invoice("day")}
-SELECT VBELN, POSNR, COUNT(*) AS DUP_CNT, MIN(FILE_DATE) AS FIRST_DATE, MAX(FILE_DATE) AS LAST_DATE
-FROM p GROUP BY VBELN, POSNR HAVING COUNT(*) > 1
-""",
-)
+@register("k12_duplicate_keys_all", oracle=_sql_repeated("true"))
 def k12_duplicate_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = standins.invoice_lines(_t(spark, sf_dir, "lineitem"), "day")
     return versions.duplicate_keys(lines, ("VBELN", "POSNR"), n=None)
@@ -695,20 +561,18 @@ def k12_duplicate_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # K13 the month x category extract and K14-K17 dashboard slices over it
 # ---------------------------------------------------------------------------
-SQL_EXTRACT_CTES = f"""WITH {_sql_invoice(SALES_GRAIN)},
-mg AS ({_sql_monthly(True, None, "paired", EXTRACT_MIN_NET)}),
-m AS (SELECT DISTINCT p_type AS MATKL,
-             UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) AS CATEGORY FROM part),
-extract AS (
-  SELECT mg.YEARMONTH, m.CATEGORY, CAST(SUM(mg.QTY) AS DECIMAL(38,3)) AS QTY,
-         CAST(SUM(mg.NET_USD) AS DECIMAL(38,2)) AS NET_USD
-  FROM mg JOIN m ON mg.MATKL = m.MATKL GROUP BY mg.YEARMONTH, m.CATEGORY)"""
+SQL_EXTRACT_CTES = f"""WITH extract AS (
+  SELECT {SQL_MONTH}, upper(p_type[1]) || lower(p_type[2:]) AS CATEGORY, {SQL_SUMS} {SQL_FACTS} GROUP BY ALL)"""
 
 SQL_RANGE = f"r AS (SELECT * FROM extract WHERE YEARMONTH BETWEEN '{SLICE_LO}' AND '{SLICE_HI}')"
 
 
-def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extract in one aggregation (the dashboard jobs' input)."""
+SLICE = (SLICE_LO, SLICE_HI)
+
+
+def _extract(spark: SparkSession, sf_dir: str, months: tuple[str, str] | None = None) -> DataFrame:
+    """The extract in one aggregation (the dashboard jobs' input). A job that
+    shows a range of months passes it down, as date bounds on the header scan."""
     return sales.category_sales(
         standins.invoice_lines(_t(spark, sf_dir, "lineitem"), SALES_GRAIN),
         standins.invoice_headers(_t(spark, sf_dir, "orders"), SALES_GRAIN),
@@ -718,6 +582,7 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         currency=SALES_CURRENCY,
         since=SALES_SINCE,
         min_net=EXTRACT_MIN_NET,
+        months=months,
     )
 
 
@@ -750,8 +615,8 @@ def k13_category_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle=SQL_EXTRACT_CTES + f""",
 {SQL_RANGE},
 k AS (
-  SELECT CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(SLICE_CATS)}) THEN QTY END), 0) AS DECIMAL(38,3)) AS TOTAL_QTY,
-         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(SLICE_CATS)}) THEN NET_USD END), 0) AS DECIMAL(38,2)) AS TOTAL_AMOUNT,
+  SELECT CAST(COALESCE(SUM(CASE WHEN CATEGORY IN {SLICE_CATS} THEN QTY END), 0) AS DECIMAL(38,3)) AS TOTAL_QTY,
+         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN {SLICE_CATS} THEN NET_USD END), 0) AS DECIMAL(38,2)) AS TOTAL_AMOUNT,
          COUNT(DISTINCT YEARMONTH) AS N_MONTHS
   FROM r),
 kp AS (
@@ -767,7 +632,7 @@ SELECT TOTAL_QTY, TOTAL_AMOUNT, N_MONTHS, AVG_AMOUNT,
 FROM kp""",
 )
 def k14_slice_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dash.slice_kpis(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SLICE_CATS)
+    return dash.slice_kpis(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, SLICE_CATS)
 
 
 def _sql_series(metric: str) -> str:
@@ -788,18 +653,40 @@ cells AS (
 SELECT YEARMONTH, CATEGORY, POS, VALUE,
        CAST(SUM(VALUE) OVER (PARTITION BY YEARMONTH) AS DECIMAL(38,3)) AS MONTH_TOTAL,
        {"'$' || " if metric == "amt" else ""}regexp_replace(regexp_replace(format('{{:,.3f}}', CAST(VALUE AS DOUBLE)),
-           '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS VALUE_TEXT
+           '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS VALUE_TEXT,
+       '{"$" if metric == "amt" else ""}' || format('{{:,}}', CAST(FLOOR(SUM(VALUE) OVER (PARTITION BY YEARMONTH) + 0.5) AS BIGINT)) AS TOTAL_TEXT
 FROM cells"""
 
 
 @register("k15_dense_series", oracle=_sql_series("amt"))
 def k15_dense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dash.dense_series(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SERIES_CATS, "amt")
+    return dash.dense_series(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, SERIES_CATS, "amt")
 
 
 @register("k15_dense_series_qty", oracle=_sql_series("qty"))
 def k15_dense_series_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dash.dense_series(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, SERIES_CATS, "qty")
+    return dash.dense_series(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, SERIES_CATS, "qty")
+
+
+@register(
+    "i10_axis_labels",
+    oracle=f"""
+WITH amt AS ({_sql_series("amt")}), qty AS ({_sql_series("qty")})
+SELECT YEARMONTH, CATEGORY,
+       CASE WHEN amt.VALUE >= 1000000 THEN '$' || round(amt.VALUE::DECIMAL(24,6) * 0.000001::DECIMAL(7,6), 1)::DECIMAL(38,1)::VARCHAR || 'M'
+            ELSE '$' || round(amt.VALUE::DECIMAL(24,6) * 0.001::DECIMAL(4,3), 0)::BIGINT::VARCHAR || 'K' END AS AMT_LABEL,
+       CASE WHEN qty.VALUE >= 1000 THEN round(qty.VALUE::DECIMAL(24,6) * 0.001::DECIMAL(4,3), 0)::BIGINT::VARCHAR || 'K'
+            ELSE replace(qty.VALUE_TEXT, ',', '') END AS QTY_LABEL
+FROM amt JOIN qty USING (YEARMONTH, CATEGORY)""",
+)
+def i10_axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axis text of every plotted value, in both metrics."""
+    extract = _extract(spark, sf_dir, SLICE)
+    amt = dash.dense_series(extract, SLICE_LO, SLICE_HI, SERIES_CATS, "amt")
+    qty = dash.dense_series(extract, SLICE_LO, SLICE_HI, SERIES_CATS, "qty")
+    return amt.select("YEARMONTH", "CATEGORY", axis_label("VALUE", "amt").alias("AMT_LABEL")).join(
+        qty.select("YEARMONTH", "CATEGORY", axis_label("VALUE", "qty").alias("QTY_LABEL")), ["YEARMONTH", "CATEGORY"]
+    )
 
 
 def _sql_pivot_body(col: str, dec: str) -> str:
@@ -812,7 +699,7 @@ def _sql_pivot_body(col: str, dec: str) -> str:
 body AS (
   SELECT YEARMONTH,
          {cells},
-         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN ({_quoted(PIVOT_CATS)}) THEN {col} END), 0) AS {dec}) AS TOTAL
+         CAST(COALESCE(SUM(CASE WHEN CATEGORY IN {PIVOT_CATS} THEN {col} END), 0) AS {dec}) AS TOTAL
   FROM r GROUP BY YEARMONTH),
 piv AS (
   SELECT * FROM body
@@ -823,7 +710,7 @@ piv AS (
 
 @register("k16_pivot_totals", oracle=_sql_pivot_body("NET_USD", "DECIMAL(38,2)") + "\nSELECT * FROM piv")
 def k16_pivot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "amt")
+    return dash.pivot_with_totals(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "amt")
 
 
 @register(
@@ -831,7 +718,7 @@ def k16_pivot_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle=_sql_pivot_body("QTY", "DECIMAL(38,3)") + "\nSELECT * FROM piv",
 )
 def k16_pivot_totals_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
+    return dash.pivot_with_totals(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
 
 
 def _sql_shown(e: str, prefix: str = "$") -> str:
@@ -849,7 +736,7 @@ def _sql_shown(e: str, prefix: str = "$") -> str:
     + f", {_sql_shown('TOTAL')} AS TOTAL FROM piv",
 )
 def k16_pivot_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivot = dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "amt")
+    pivot = dash.pivot_with_totals(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "amt")
     return dash.pivot_display(pivot, PIVOT_CATS, "amt")
 
 
@@ -864,7 +751,7 @@ def k16_pivot_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f", {_sql_shown('TOTAL', '')} AS TOTAL FROM piv",
 )
 def k16_pivot_display_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivot = dash.pivot_with_totals(_extract(spark, sf_dir), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
+    pivot = dash.pivot_with_totals(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
     return dash.pivot_display(pivot, PIVOT_CATS, "qty")
 
 
@@ -895,10 +782,37 @@ def k18_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary(_t(spark, sf_dir, "nation"), 1, table_col="n_regionkey", order_col="n_name")
 
 
-@register("k18_preview")
+@register(
+    "k18_preview",
+    oracle="SELECT least(3, count(*)) AS PREVIEW_ROWS, least(3, count(*)) AS FOUND_ROWS FROM documents",
+)
 def k18_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unordered preview: any 3 rows, so only the row count is checked."""
-    return preview(_t(spark, sf_dir, "documents"), 3)
+    """The preview gives any 3 rows; checked are their number and that each is
+    a row of the table."""
+    documents = _t(spark, sf_dir, "documents")
+    known = documents.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct().withColumn("known", F.lit(1))
+    shown = preview(documents, 3).select("doc_id", F.xxhash64("text").alias("text_hash"))
+    return shown.join(known, ["doc_id", "text_hash"], "left").agg(
+        F.count(F.lit(1)).alias("PREVIEW_ROWS"), F.count("known").alias("FOUND_ROWS")
+    )
+
+
+@register(
+    "s2_sql_text",
+    oracle=f"""
+SELECT o_orderstatus AS LFSTK, count(*) AS N, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(38,2) AS NETWR
+FROM orders WHERE o_orderdate >= TIMESTAMP '{CREATED_SINCE}' GROUP BY ALL""",
+)
+def s2_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text over a named view with a bound argument."""
+    header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_orderkey")
+    return run_sql(
+        spark,
+        "SELECT LFSTK, COUNT(*) AS N, CAST(SUM(NETWR) AS DECIMAL(38,2)) AS NETWR "
+        "FROM salesloom_vbak WHERE AUDAT >= CAST(:since AS DATE) GROUP BY LFSTK",
+        views={"salesloom_vbak": header},
+        args={"since": CREATED_SINCE},
+    )
 
 
 @register(
@@ -906,7 +820,7 @@ def k18_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle=SQL_EXTRACT_CTES + """,
 lab AS (SELECT DISTINCT UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) AS CATEGORY,
                UPPER(SUBSTR(p_type, 1, 1)) || LOWER(SUBSTR(p_type, 2)) || ' (' || p_type || ')' AS LABEL
-        FROM part WHERE p_type NOT LIKE '%L')
+        FROM part)
 SELECT e.YEARMONTH, e.CATEGORY, e.QTY, e.NET_USD, COALESCE(lab.LABEL, e.CATEGORY) AS LABEL
 FROM extract e LEFT JOIN lab ON e.CATEGORY = lab.CATEGORY""",
 )

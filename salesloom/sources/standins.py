@@ -129,12 +129,10 @@ def category_map(part: DataFrame) -> DataFrame:
 
 def category_labels(part: DataFrame) -> DataFrame:
     """Category -> display label, derived from the part types
-    (``Promo`` -> ``Promo (PROMO)``); types ending in ``L`` get no label, so
-    the fallback to the code is exercised."""
+    (``Promo`` -> ``Promo (PROMO)``)."""
     return (
         part.select(F.col("p_type").alias("MATKL"))
         .distinct()
-        .filter(~F.col("MATKL").endswith("L"))
         .select(
             F.initcap("MATKL").alias("CATEGORY"),
             F.concat(F.initcap("MATKL"), F.lit(" ("), F.col("MATKL"), F.lit(")")).alias("LABEL"),

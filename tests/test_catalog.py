@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from salesloom.sources.tables import column_names, preview
 from salesloom.operators import catalog, dashboard
 from salesloom.sources.tables import use_schema
 
@@ -20,8 +21,8 @@ def test_distinct_values_and_preview(spark):
     df = spark.createDataFrame([("E",), ("K",), ("E",), (None,)], "SPRAS string")
     assert sorted(r.SPRAS or "" for r in catalog.distinct_values(df, "SPRAS").collect()) == ["", "E", "K"]
     assert catalog.distinct_values(df, "SPRAS", n=2).count() == 2
-    assert catalog.preview(df, 3).count() == 3
-    assert catalog.column_names(df) == ["SPRAS"]
+    assert preview(df, 3).count() == 3
+    assert column_names(df) == ["SPRAS"]
 
 
 def test_use_schema(spark):

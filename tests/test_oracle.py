@@ -32,7 +32,7 @@ def con():
 
 def test_every_job_has_an_oracle_or_is_rows_only():
     rows_only = set(JOBS) - set(ORACLES)
-    assert rows_only == {"k18_preview"}
+    assert rows_only == set()
     assert set(ORACLES) <= set(JOBS)
 
 
@@ -48,11 +48,6 @@ def test_matches_oracle(spark, con, name):
     assert _rows(sdf.columns, s_rows) == _rows(d_cols, d_rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(JOBS) - set(ORACLES)))
-def test_rows_only_jobs_run(spark, name):
-    assert JOBS[name](spark, SF).count() > 0
-
-
 def test_entry_serves_every_job():
     assert set(JOBS) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -82,6 +82,44 @@ def test_subtotals_drop_null_currency_and_sort(spark):
     assert orders.row_count(report).first().ROWS == 4
 
 
+def test_subtotal_of_a_currency_without_amounts_is_zero(spark):
+    report = spark.createDataFrame(
+        [("EUR", None), ("EUR", None), ("USD", money(3)), ("USD", None)], "WAERK string, NETWR decimal(18,2)"
+    )
+    out = orders.subtotals(report).collect()
+    assert [(r.WAERK, r.NET_TOTAL) for r in out] == [("EUR", money(0)), ("USD", money(3))]
+
+
+def test_digest_keeps_the_width_of_null_cells(spark):
+    header = spark.createDataFrame([
+        _h("1", "2026-01-02", amount=None, cur="EUR"),
+        _h("2", "2026-01-02", amount=5, cur=None),
+        ("3", d("2026-01-02"), d("2026-01-05"), None, "C3", "A", "B", money(4), "USD"),
+        ("4", d("2026-01-02"), None, "ZOR", "C4", "A", "B", money(3), "USD"),
+    ], HEADER_SCHEMA)
+    late = orders.delayed_lines(header, spark.createDataFrame([], LINE_SCHEMA), as_of="2026-02-01")
+    text = [r.LINE for r in digest_lines(orders.open_orders(header, as_of="2026-02-01"), late, as_of="2026-02-01").collect()]
+    rows = {t[0]: t for t in text if t[:2] in ("1 ", "2 ", "3 ", "4 ")}
+    #          Order        Date         Type   Status         Amount Cur     Age
+    assert rows["1"] == "1            2026-01-05   ZOR    Not delivered              EUR    27d"
+    assert rows["2"] == "2            2026-01-05   ZOR    Not delivered            5        27d"
+    assert rows["3"] == "3            2026-01-05          Not delivered            4 USD    27d"
+    assert rows["4"] == "4                         ZOR    Not delivered            3 USD       "
+    assert len({len(t) for t in rows.values()}) == 1
+    assert "  Total(EUR): 0" in text
+
+
+def test_digest_cuts_a_report_longer_than_n(spark):
+    header = spark.createDataFrame([_h(str(k), "2026-01-02", amount=k) for k in range(50)], HEADER_SCHEMA)
+    lines = spark.createDataFrame([_l(str(k), "10", "2026-01-02", "2026-01-10", 5, 2) for k in range(50)], LINE_SCHEMA)
+    top = orders.open_orders(header, as_of="2026-02-01", n=50)
+    late = orders.delayed_lines(header, lines, as_of="2026-02-01", n=50)
+    text = [(r.SECTION, r.LINE) for r in digest_lines(top, late, as_of="2026-02-01", n=3, delayed_n=2).collect()]
+    assert (0, "Total 3 (top 3 by amount)") in text and (1, "Total 2 (by days late)") in text
+    assert [t.split()[0] for s, t in text if s == 0 and "delivered" in t] == ["49", "48", "47"]
+    assert (0, "  Total(USD): 144") in text
+
+
 def test_digest_lines(spark):
     header = spark.createDataFrame([
         _h("1", "2026-01-02", amount=1234.5, status="A"),
@@ -119,7 +157,7 @@ def test_daily_digest_one_call(spark):
     assert [t.split()[0] for t in rows0] == ["2", "1"]  # larger amount first
 
 
-def test_hot_key_share_gives_the_same_reports(spark):
+def test_salts_give_the_same_reports(spark):
     header = spark.createDataFrame(
         [_h(str(k % 7), f"2026-01-0{1 + k % 5}", amount=k) for k in range(60)], HEADER_SCHEMA
     )
@@ -127,9 +165,9 @@ def test_hot_key_share_gives_the_same_reports(spark):
         [_l(str(k % 7), str(k % 3), f"2026-01-0{1 + k % 4}", "2026-01-10", 5, k % 4) for k in range(90)], LINE_SCHEMA
     )
     a = orders.open_orders(header, as_of="2026-02-01", n=5).collect()
-    b = orders.open_orders(header, as_of="2026-02-01", n=5, hot_key_share=0.1).collect()
+    b = orders.open_orders(header, as_of="2026-02-01", n=5, salts=4).collect()
     assert a == b
     # Rows tied on every sort key may come in either order: compare as multisets.
     c = orders.delayed_lines(header, lines, as_of="2026-02-01", n=500).collect()
-    d = orders.delayed_lines(header, lines, as_of="2026-02-01", n=500, hot_key_share=0.1).collect()
+    d = orders.delayed_lines(header, lines, as_of="2026-02-01", n=500, salts=4).collect()
     assert sorted(map(tuple, c)) == sorted(map(tuple, d)) and len(c) > 0

@@ -7,10 +7,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from salesloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
-JOBS = entry.queries()
+JOBS = registry.jobs()
 
 
 def _plan(df) -> str:
@@ -54,3 +54,25 @@ def test_pivot_shares_one_shuffle(spark):
     df.collect()
     final = _plan(df).split("== Initial Plan ==")[0]
     assert re.search(r"ReusedExchange \(\d+\)", final), "totals row should reuse the body's shuffle"
+
+
+def test_slices_push_both_month_bounds(spark):
+    for name in ("k14_slice_kpis", "k15_dense_series", "k16_pivot_totals"):
+        plan = _plan(JOBS[name](spark, SF))
+        assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(o_orderdate,1996-03-01", plan), name
+        assert re.search(r"PushedFilters: .*LessThan\(o_orderdate,1997-03-01", plan), name
+
+
+def test_chosen_products_are_joined_before_the_header(spark):
+    """The join on the material stands below the join on the document."""
+    conf = {"spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joins = lambda name: re.findall(r"Left keys \[\d+\]: \[(\w+)#", _plan(JOBS[name](spark, SF)))
+        assert joins("k10_monthly_sales_paired") == ["MATNR", "VBELN"]
+        assert joins("k13_category_extract")[:2] == ["VBELN", "MATNR"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

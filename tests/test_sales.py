@@ -70,3 +70,35 @@ def test_one_pass_category_sales_equals_two_steps(spark, tables):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     only_g2 = sales.category_sales(*tables, mapping, exclude_types=None, groups=["G2"]).collect()
     assert [(r.CATEGORY, r.QTY) for r in only_g2] == [("CarB", qty(5))]
+
+
+def test_month_bounds_equal_a_filter_on_the_result(spark, tables):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    everything = sales.monthly_sales(*tables, by_group=True)
+    for lo, hi in (("2026-04", "2026-04"), ("2026-04", "2026-05"), ("2026-05", "2026-12"), ("2026-05", "2026-04")):
+        pushed = sales.monthly_sales(*tables, by_group=True, months=(lo, hi))
+        assert rows(pushed) == rows(everything.filter(everything.YEARMONTH.between(lo, hi)))
+
+
+def test_join_order_does_not_change_the_sums(tables):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    everything = sales.monthly_sales(*tables, by_group=True)
+    chosen = sales.monthly_sales(*tables, by_group=True, groups=["G1"])
+    assert rows(chosen) == rows(everything.filter("MATKL = 'G1'"))
+    assert rows(sales.monthly_sales(*tables, by_group=True, groups=["G1", "G2"], salts=3)) == rows(everything)
+
+
+def test_repeated_dimension_keys_are_found(spark, tables):
+    lines, heads, products = tables
+    twice = products.unionByName(products.filter("MATNR = 'M1'"))
+    doubled = sales.monthly_sales(lines, heads, twice, groups=["G1"]).agg({"NET_USD": "sum"}).first()[0]
+    assert doubled == 2 * sales.monthly_sales(lines, heads, products, groups=["G1"]).agg({"NET_USD": "sum"}).first()[0]
+    with pytest.raises(ValueError, match="products: 1 repeated"):
+        sales.monthly_sales(lines, heads, twice, check_keys=True)
+    assert sales.monthly_sales(lines, heads, products, check_keys=True).count() > 0
+    mapping = spark.createDataFrame([("G1", "A"), ("G1", "B"), ("G2", "A")], "MATKL string, CATEGORY string")
+    monthly = sales.monthly_sales(lines, heads, products, by_group=True)
+    with pytest.raises(ValueError, match="mapping: 1 repeated"):
+        sales.category_extract(monthly, mapping, check_keys=True)
+    with pytest.raises(ValueError, match="mapping: 1 repeated"):
+        sales.category_sales(lines, heads, products, mapping, check_keys=True)

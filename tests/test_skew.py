@@ -131,26 +131,32 @@ def no_aqe(spark):
             spark.conf.set(k, v)
 
 
-def test_hot_key_split_without_aqe(spark, no_aqe):
+def _scans(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan") + plan.count("Range (") + plan.count("Scan ExistingRDD")
+
+
+def test_salted_version_pick_without_aqe(spark, no_aqe):
     lines = _lines(spark)
-    split = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", hot_key_share=0.1)
-    plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
+    salted = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", salts=8)
     plain = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE")
-    got = sorted(map(tuple, split.collect()))
+    plan = spark._jvm.PythonSQLUtils.explainString(salted._jdf.queryExecution(), "formatted")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert _scans(salted) == _scans(plain) == 2
+    got = sorted(map(tuple, salted.collect()))
     assert got == sorted(map(tuple, plain.collect()))
     pdf = lines.toPandas()
     newest = pdf.groupby(["VBELN", "POSNR"])["FILE_DATE"].transform("max")
     assert len(got) == int((pdf["FILE_DATE"] == newest).sum())
-    assert split.columns == lines.columns
-    # No key is hot at a share of 0.9: same rows, all through the semi join.
-    none_hot = versions.latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", hot_key_share=0.9)
-    assert sorted(map(tuple, none_hot.collect())) == got
+    assert salted.columns == lines.columns
+    # The hot (key, load) group, copies and all, lies in several tasks.
+    hot = salted.filter(F.col("VBELN") == HOT).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(hot) > 3 and max(r["count"] for r in hot) < sum(r["count"] for r in hot) / 2
     with pytest.raises(ValueError):
-        versions.latest_version(lines, ["VBELN", "POSNR"], hot_key_share=1.5)
+        versions.latest_version(lines, ["VBELN", "POSNR"], salts=0)
 
 
-def test_joins_split_hot_keys_without_aqe(spark, no_aqe):
+def test_salted_joins_without_aqe(spark, no_aqe):
     from salesloom.operators import sales
 
     lines = _lines(spark)
@@ -161,9 +167,9 @@ def test_joins_split_hot_keys_without_aqe(spark, no_aqe):
         "LFSTK string, GBSTK string, NETWR decimal(18,2), WAERK string",
     )
     plain = orders.delayed_lines(header, lines, as_of="2026-01-10", n=N)
-    split = orders.delayed_lines(header, lines, as_of="2026-01-10", n=N, hot_key_share=0.05)
+    split = orders.delayed_lines(header, lines, as_of="2026-01-10", n=N, salts=4)
     plan = spark._jvm.PythonSQLUtils.explainString(split._jdf.queryExecution(), "formatted")
-    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    assert "Broadcast" not in plan and _scans(split) == _scans(plain)
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
 
     inv = spark.range(N).select(
@@ -181,5 +187,6 @@ def test_joins_split_hot_keys_without_aqe(spark, no_aqe):
     )
     products = spark.createDataFrame([(str(m), f"G{m % 3}") for m in range(50)], "MATNR string, MATKL string")
     a = sales.monthly_sales(inv, heads, products, by_group=True)
-    b = sales.monthly_sales(inv, heads, products, by_group=True, hot_key_share=0.05)
+    b = sales.monthly_sales(inv, heads, products, by_group=True, salts=4)
+    assert _scans(b) == _scans(a)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

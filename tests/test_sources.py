@@ -3,9 +3,7 @@ snapshot storage with pruning."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -30,9 +28,9 @@ def test_load_table_and_sql(spark):
     assert preview(orders, 3).count() == 3
 
 
-def test_partitioned_snapshots_prune(spark):
+def test_partitioned_snapshots_prune(spark, tmp_path):
     lines = standins.invoice_lines(load_table(spark, "lineitem", base=SF), grain="year")
-    path = os.path.join(tempfile.mkdtemp(prefix="vbrp-"), "vbrp")
+    path = str(tmp_path / "vbrp")
     write_versioned(lines, path)
     stored = spark.read.parquet(path)
     assert stored.count() == lines.count()
@@ -70,10 +68,21 @@ def test_conform_casts_an_all_text_extract(spark):
         model.conform(raw.drop("NETWR"), "VBAK")
 
 
-def test_snapshot_sink_rebalances_by_load_date(spark):
-    lines = standins.invoice_lines(load_table(spark, "lineitem", base=SF), grain="year")
-    plan = lines.hint("rebalance", "FILE_DATE")._jdf.queryExecution().executedPlan().toString()
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan
-    import inspect
+def test_snapshot_sink_writes_few_files_per_load(spark, tmp_path):
+    lines = standins.invoice_lines(load_table(spark, "lineitem", base=SF), grain="year").repartition(12)
+    path = tmp_path / "vbrp"
+    write_versioned(lines, str(path))
+    loads = sorted(p.name for p in path.glob("FILE_DATE=*"))
+    assert loads == sorted(f"FILE_DATE={r.FILE_DATE}" for r in lines.select("FILE_DATE").distinct().collect())
+    # 12 tasks would each write a file per load without the clustering
+    assert all(len(list((path / name).glob("*.parquet"))) == 1 for name in loads)
+
+
+def test_a_table_that_grows_is_read_anew(spark, tmp_path):
+    from salesloom.plans.standin_jobs import _t
 
-    assert 'hint("rebalance", version)' in inspect.getsource(write_versioned)
+    path = tmp_path / "sf"
+    spark.range(5).write.parquet(str(path / "grows.parquet"))
+    assert _t(spark, str(path), "grows").count() == 5
+    spark.range(5).write.mode("append").parquet(str(path / "grows.parquet"))
+    assert _t(spark, str(path), "grows").count() == 10

@@ -106,7 +106,7 @@ def test_version_distribution_with_group(spark):
     assert everything == 4
 
 
-def test_hot_key_share_in_product_joins(spark):
+def test_salts_in_product_joins(spark):
     lines = spark.range(3000).select(
         (F.col("id") % 300).cast("string").alias("VBELN"),
         (F.col("id") % 2).cast("string").alias("POSNR"),
@@ -117,8 +117,8 @@ def test_hot_key_share_in_product_joins(spark):
     products = spark.createDataFrame([("M1", "G1")] + [(str(m), f"G{m % 2}") for m in range(40)],
                                      "MATNR string, MATKL string")
     a = versions.version_distribution(lines, products, "G1").collect()
-    b = versions.version_distribution(lines, products, "G1", hot_key_share=0.1).collect()
+    b = versions.version_distribution(lines, products, "G1", salts=4).collect()
     assert a == b
     c = versions.duplicate_keys(lines, products=products, group="G1", n=None).collect()
-    e = versions.duplicate_keys(lines, products=products, group="G1", n=None, hot_key_share=0.1).collect()
+    e = versions.duplicate_keys(lines, products=products, group="G1", n=None, salts=4).collect()
     assert c == e and len(c) > 0
