@@ -29,13 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast, slices, stored, text_or_empty
+from .common import maybe_broadcast, slices, stored, text_or_empty
 from .word_hash import sequence_hashes, word_hashes
 
 WINDOW, ANCHOR = 13, 6
 #: Bytes worked on at once, recurring anchors for one shard, words of segments for one salt,
 #: and bytes of marked ranges up to which they are sent to all executors.
-SLICE_BYTES, SHARD_ANCHORS, SALT_WORDS, RANGE_BYTES = 2_000_000, 5_000, 500_000, 16 << 20
+SLICE_BYTES, SHARD_ANCHORS, SALT_WORDS, RANGE_BYTES = 2_000_000, 5_000, 500_000, 32 << 20
 
 
 def window_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,8 +217,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated with one id are one document: they take nothing from each other. Other columns
     are not read. An empty table gives no rows.
 
-    Scale: anchors, not windows, of all documents are shuffled; texts only of documents with a
-    recurring anchor, and of these only the segments. All groups are combined before a shuffle
+    Scale: anchors, not windows, of all documents are shuffled, texts once to meet their
+    recurring anchors (and once more if the marked ranges are too large to send to all
+    executors), after that only segments. All groups are combined before a shuffle
     or dealt out by salt, and what comes back to a document (marked ranges) is bounded by its
     length. Intermediates are written to the shared folder.
     """
@@ -231,15 +232,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         anchors.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("anchor", "first"), "anchors"
     )
     n_shards = max(1, -(-recurring.count() // SHARD_ANCHORS))
-    mine = stored(
-        anchors.join(recurring, "anchor").select("doc", "anchor", F.pmod(F.xxhash64("first"), F.lit(n_shards)).cast("int").alias("shard")).distinct(),
-        "doc-anchors",
-    )
+    shard = F.pmod(F.xxhash64("first"), F.lit(n_shards)).cast("int").alias("shard")
+    mine = anchors.join(recurring, "anchor").select("doc", "anchor", shard)
+    lists = stored(mine.groupBy("doc").agg(F.collect_set(F.struct("anchor", "shard")).alias("anchors")), "doc-anchors")
 
-    # 2. segments
-    ids = mine.select("doc").distinct()
-    lists = mine.groupBy("doc").agg(F.collect_list(F.struct("anchor", "shard")).alias("anchors"))
-    chosen = named.join(maybe_broadcast(ids, ids.count()), "doc", "left_semi").select("doc", F.xxhash64("text").alias("row"), "text")
+    # 2. segments; most documents of a corpus share some phrase, so ids are not looked up first
+    chosen = named.select("doc", F.xxhash64("text").alias("row"), "text")
     segments = stored(
         chosen.join(lists, "doc").select("doc", "row", "text", "anchors").mapInArrow(
             _segment_rows, "shard int, doc long, row long, start int, n_words int, segment binary"
@@ -271,7 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     marked = stored(ranges.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "end")).alias("ranges")), "ranges")
     n_docs, n_ranges = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    small = n_docs <= BROADCAST_ROWS and 32 * n_docs + 24 * n_ranges <= RANGE_BYTES
+    small = 32 * n_docs + 24 * n_ranges <= RANGE_BYTES
     keyed = rows.withColumn("row", F.xxhash64("text"))
     out = keyed.join(F.broadcast(marked) if small else marked, ["doc", "row"], "left").select("doc", "text", "ranges")
     out = out.mapInArrow(_kept_rows(not digest), "_id long, n_words long, n_removed long, _kept string")
