@@ -51,7 +51,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Select the model columns of ``table`` from ``df`` and cast them to the
     model types (other columns are dropped; a missing column is an error).
 
-    A plain projection: Catalyst still prunes and pushes filters through it.
+    A plain projection: Catalyst still prunes columns and pushes filters through
+    it. A load date stored as text is cast here, so a floor on it cannot prune
+    load-date folders; store the column as a date (``write_versioned``) for that.
     Under ANSI mode a value that does not fit its type fails the job rather
     than turning into NULL.
     """
