@@ -12,11 +12,14 @@ documents share counts half as much as what is their own, at any size of the cor
 2. Texts with the same weighted set are one *member*, stood for by the smallest id.
 3. Screening: a short signature (``SCREEN`` bands) of every document; members that share a
    band with no other are done. The others get a long signature (``BANDS``).
-4. Each bucket of equal band keys is worked through by leaders: a leader is compared with all
-   members of its bucket that are not yet in its class, every hit is a link, and classes are
-   the connected components of the links. A bucket is finished when all members that have not
-   led are of one class; until then it gets new leaders. So no two members of a bucket stay in
-   different classes uncompared, and a bucket of n copies costs n comparisons, not n squared.
+4. In two rounds each bucket of equal band keys gets a leader, which is compared with all
+   members of its bucket that are not yet in its class. Every hit is a link, and classes are
+   the connected components of the links. A bucket whose members are of one class is finished:
+   a bucket of n copies costs n comparisons, not n squared.
+5. Buckets that still have members of several classes are taken together to sets of members,
+   and these are dealt out to blocks of ``MEMBERS``. A task compares one block with another, by
+   a product of matrices, and emits only the links that hold similar members together. So no two members of a bucket stay in
+   different classes uncompared, and no pair that is not a link becomes a row.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ HEAVY = 1 / 64
 #: (bands, rows) of the screening and of the long signature. At similarity 0.8 a pair is in
 #: some common bucket with probability 0.999 in either.
 SCREEN, BANDS = (10, 3), (40, 8)
-#: Bytes worked on at once; shingles of a block; candidate rows that may be broadcast; leaders
-#: of a bucket in a round (from the third on), and bands of the first round.
-SLICE_BYTES, BLOCK, CANDIDATES, LEADERS, FIRST_BANDS = 500_000, 3_000_000, 500_000, 16, 4
+#: Bytes worked on at once; shingles of a block of documents; candidate rows that may be
+#: broadcast; bands of the first round; members of a block, and columns of a matrix.
+SLICE_BYTES, BLOCK, CANDIDATES, FIRST_BANDS, MEMBERS, COLUMNS = 500_000, 3_000_000, 500_000, 4, 256, 4096
 
 #: A-Z lower-cased, other ASCII characters but digits and letters made spaces.
 _FOLD = bytes(
@@ -223,8 +226,8 @@ def _signature_rows(heavy):
 
 
 def _member_rows(heavy):
-    """(member, total, bands, grams, weights): the long signature, and the weighted set packed
-    for verification (32 bits of each hash, sorted, and 32-bit weights)."""
+    """(member, total, bands, grams, weights, counts): the long signature, and the weighted set
+    packed for verification (32 bits of each hash, sorted, with weights and counts)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (owner, grams, counts) in _batches(batches):
@@ -236,7 +239,7 @@ def _member_rows(heavy):
             weights = weights_of(grams, counts, heavy.value)
             bands = band_keys(samples(grams, weights, starts, BANDS[0] * BANDS[1]), *BANDS)
             ends = np.append(starts[1:], len(grams))
-            high, light = (grams >> np.uint64(32)).astype("<u4"), weights.astype("<f4")
+            high, light, times = (grams >> np.uint64(32)).astype("<u4"), weights.astype("<f4"), counts.astype("<u4")
             ids = part.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -245,8 +248,9 @@ def _member_rows(heavy):
                     pa.ListArray.from_arrays(np.arange(len(has) + 1, dtype=np.int32) * BANDS[0], pa.array(bands.ravel())),
                     pa.array([high[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                     pa.array([light[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                    pa.array([times[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 ],
-                names=["member", "total", "bands", "grams", "weights"],
+                names=["member", "total", "bands", "grams", "weights", "counts"],
             )
 
     return work
@@ -285,42 +289,110 @@ def _links(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "g1", "w1", "g2", "w2").mapInArrow(_link_rows(threshold), "a long, b long")
 
 
+def _block_links(threshold: float):
+    """Links among the members of one block, or between two, as few as hold together what is
+    similar. All overlaps are found at once, as a product of matrices with a column for each shingle and repetition (the least of two counts is the
+    number of repetitions that both have)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        members, sides, totals = (np.asarray(table.column(c)) for c in ("member", "side", "total"))
+        grams = [np.frombuffer(g, "<u4") for g in table.column("grams").to_pylist()]
+        weights = [np.frombuffer(w, "<f4") for w in table.column("weights").to_pylist()]
+        counts = [np.frombuffer(n, "<u4") for n in table.column("counts").to_pylist()]
+        row = np.repeat(np.arange(len(grams)), [int(n.sum()) for n in counts])
+        n = np.concatenate(counts).astype(np.int64)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        column, at = np.unique(np.repeat(np.concatenate(grams).astype(np.uint64), n) | (turn.astype(np.uint64) << np.uint64(32)), return_inverse=True)
+        idf = np.repeat(np.concatenate(weights) / n, n)
+        shared = np.bincount(at) > 1  # what one member has alone adds to no overlap
+        place = np.cumsum(shared) - 1
+        keep = shared[at]
+        overlap = np.zeros((len(grams), len(grams)))
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            part = keep & (place[at] >= lo) & (place[at] < lo + COLUMNS)
+            matrix = np.zeros((len(grams), COLUMNS), dtype=np.float32)
+            matrix[row[part], place[at[part]] - lo] = np.sqrt(idf[part])
+            overlap += matrix @ matrix.T
+        similar = overlap >= (threshold - 1e-5) * (totals[:, None] + totals[None, :] - overlap)
+        if (sides != sides[0]).any():
+            similar &= sides[:, None] != sides[None, :]
+        # of links that hang together, one for each member to one of them
+        label, before = np.arange(len(grams)), None
+        np.fill_diagonal(similar, True)
+        while before is None or (label != before).any():
+            before = label
+            label = np.where(similar, label[None, :], len(label)).min(axis=1)
+            label = label[label]
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(members[own], pa.int64()), "b": pa.array(members[label[own]], pa.int64())})
+
+    return work
+
+
+def _leader_round(waiting: DataFrame, found: DataFrame, n_found: int, members: DataFrame, threshold: float, bands: int) -> tuple[DataFrame, DataFrame, int]:
+    """Each bucket's leader against its members of other classes: (what still waits, the
+    classes, their number of rows). A bucket whose members are of one class is finished."""
+    named = waiting.join(maybe_broadcast(found, n_found), F.col("member") == F.col("node"), "left").select(
+        "member", "total", "band", "bucket", F.coalesce("class", "member").alias("class")
+    )
+    mixed = stored(named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
+    n_mixed = mixed.count()
+    waiting = stored(named.join(maybe_broadcast(mixed, n_mixed), "bucket"), "waiting")
+    now = waiting.filter(F.col("band") < bands)
+    # one order of all members, so that buckets of the same members get the same leader
+    first = F.min(F.struct(F.xxhash64("member").alias("chance"), "member", "total", "class"))
+    leaders = stored(
+        now.groupBy("bucket").agg(first.alias("l")).select("bucket", F.col("l.member").alias("a"), F.col("l.total").alias("a_total"), F.col("l.class").alias("a_class")),
+        "leaders",
+    )
+    n_leaders = leaders.count()
+    pairs = (
+        now.join(maybe_broadcast(leaders, n_leaders), "bucket")
+        .filter((F.col("class") != F.col("a_class")) & (F.least("total", "a_total") >= (threshold - 1e-6) * F.greatest("total", "a_total")))
+        .select("a", F.col("member").alias("b"))
+        .distinct()
+    )
+    new = stored(_links(pairs, members, threshold), "new-links")
+    if not new.isEmpty():
+        found = _joined(found, new)
+        n_found = found.count()
+    led = leaders.select("bucket", F.col("a").alias("member"))
+    return waiting.drop("class").join(maybe_broadcast(led, n_leaders), ["bucket", "member"], "left_anti"), found, n_found
+
+
+def _joined(found: DataFrame, new: DataFrame) -> DataFrame:
+    """The classes after new links; what is known goes in as links to the class."""
+    known = found.filter("node != class").select(F.col("node").alias("a"), F.col("class").alias("b"))
+    return stored(components(known.union(new)), "classes")
+
+
 def _classes(members: DataFrame, threshold: float) -> DataFrame:
     """(node, class) of the members that are linked."""
-    spark = members.sparkSession
     buckets = members.select("member", "total", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("member").alias("lo"), F.max("member").alias("hi")).filter("lo < hi").select("bucket")
     waiting = stored(buckets.join(shared, "bucket").distinct(), "buckets")
-    links = spark.createDataFrame([], "a long, b long")
-    found = components(links)
-    step = 0
-    while True:
-        # buckets whose members that have not led are of more than one class
-        named = waiting.join(found, F.col("member") == F.col("node"), "left").select("member", "total", "band", "bucket", F.coalesce("class", "member").alias("class"))
-        mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("bucket")
-        waiting = stored(named.join(mixed, "bucket"), "waiting")
-        if waiting.isEmpty():
-            return found
-        chance = F.xxhash64("member", "bucket", F.lit(step))
-        now = waiting.filter(F.col("band") < FIRST_BANDS) if step == 0 else waiting
-        slot = F.pmod(chance, F.lit(1 if step < 2 else LEADERS)).cast("int")
-        first = F.min(F.struct(chance.alias("chance"), "member", "total", "class"))
-        leaders = stored(
-            now.groupBy("bucket", slot.alias("slot")).agg(first.alias("l")).select("bucket", F.col("l.member").alias("a"), F.col("l.total").alias("a_total"), F.col("l.class").alias("a_class")),
-            "leaders",
-        )
-        pairs = (
-            now.join(leaders, "bucket")
-            .filter((F.col("class") != F.col("a_class")) & (F.least("total", "a_total") >= (threshold - 1e-6) * F.greatest("total", "a_total")))
-            .select("a", F.col("member").alias("b"))
-            .distinct()
-        )
-        new = stored(_links(pairs, members, threshold), "new-links")
-        links = links.union(new) if step else new
-        if not new.isEmpty():
-            found = stored(components(links), "classes")
-        waiting = waiting.drop("class").join(leaders.select("bucket", F.col("a").alias("member")), ["bucket", "member"], "left_anti")
-        step += 1
+    found, n_found = members.sparkSession.createDataFrame([], "node long, class long"), 0
+    for bands in (FIRST_BANDS, BANDS[0]):
+        waiting, found, n_found = _leader_round(waiting, found, n_found, members, threshold, bands)
+
+    # what still waits: members of buckets that are of more than one class
+    named = waiting.join(maybe_broadcast(found, n_found), F.col("member") == F.col("node"), "left").select("member", "bucket", F.coalesce("class", "member").alias("class"))
+    ends = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("member").alias("b")).filter("lo < hi")
+    ends = stored(ends.select("bucket", "b"), "ends")
+    left = stored(named.join(maybe_broadcast(ends, ends.count()), "bucket").select("member", "b").distinct(), "left")
+    if left.isEmpty():
+        return found
+    # sets of members that hang together by such buckets, dealt out to blocks
+    sets = stored(components(left.select(F.col("member").alias("a"), "b")), "sets")
+    sizes = stored(sets.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")), "sizes")
+    dealt = sets.join(maybe_broadcast(sizes, sizes.count()), "class").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = dealt.select("class", F.col("node").alias("member"), "block", other.alias("other")).select(
+        "class", "member", F.col("block").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    packed = members.select("member", "total", "grams", "weights", "counts").distinct()
+    new = placed.join(packed, "member").groupBy("class", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
+    return _joined(found, stored(new, "block-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -352,11 +424,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = stored(screen.join(shared, "bucket", "left_semi").select(F.col("member").alias("doc")).distinct(), "screened")
     chosen = rows.join(maybe_broadcast(ids, ids.count()), "doc", "left_semi").distinct()
     members = stored(
-        chosen.mapInArrow(_member_rows(heavy), "member long, total double, bands array<long>, grams binary, weights binary"), "vectors"
+        chosen.mapInArrow(_member_rows(heavy), "member long, total double, bands array<long>, grams binary, weights binary, counts binary"), "vectors"
     )
-    classes = _classes(members, threshold)
+    linked = _classes(members, threshold)
 
-    own = groups.join(classes, F.col("member") == F.col("node"), "left").select("key1", "key2", F.coalesce("class", "member").alias("class"))
+    own = groups.join(linked, F.col("member") == F.col("node"), "left").select("key1", "key2", F.coalesce("class", "member").alias("class"))
     # an id with several texts has the class of each of them
     by_row = signed.join(stored(own, "own"), ["key1", "key2"], "left").select("doc", "n", "class")
     return by_row.select(

@@ -85,7 +85,8 @@ def test_classes_are_those_of_all_pairs(spark, rows):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(nd, "LEADERS", 4)
+    monkeypatch.setattr(nd, "MEMBERS", 16)
+    monkeypatch.setattr(nd, "COLUMNS", 100)
     r = random.Random(3)
     base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
     check(spark, [(i, " ".join(edited(r, base, r.randint(0, 6))), None, None, None) for i in range(150)])
