@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salesloom.llm import bpe_codec, rule_quality
 from salesloom.llm.common import fold_of, maybe_broadcast, stored, table
@@ -17,10 +17,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose id is not in ``gone``; the ids are broadcast up to a counted bound."""
-    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` whose ``key`` is not in ``gone`` (one column); keys are broadcast up to a
+    counted bound."""
+    gone = stored(gone.toDF("_gone").distinct(), "gone")
+    rows = docs.withColumn("_key", key)
+    return rows.join(maybe_broadcast(gone, gone.count()), F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    text = _text_hash()
     found = exact_dedup(docs, carry=[text.alias("text_hash")])
     gone = stored(found.filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
     rows = docs.withColumn("_own", text).join(
@@ -44,13 +50,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
-    return _without(docs, near_duplicates(docs).filter("NOT kept"))
+    """Of each class of near duplicates the row with the smallest id; of rows with that id the
+    one with the smallest text hash. Rows without an id stay."""
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return _without(docs, F.col("doc_id"), near_duplicates(docs).filter("NOT kept").select("doc_id"))
+    # an id has several texts: each row is a document of its own, under a key of id and text
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", _text_hash()))
+    rows = docs.select(row.alias("_row"), "doc_id", "text")
+    found = near_duplicates(rows, id_col="_row").filter("_row IS NOT NULL").select("_row", "class_id").distinct()
+    named = stored(found.join(rows.select("_row", "doc_id").distinct(), "_row"), "near-rows")
+    first = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select("_first._row")
+    return _without(docs, row, named.join(first, "_row", "left_anti").select("_row"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
-    return _without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that contain no item of the benchmark, each decided by its own text."""
+    row = F.struct("doc_id", _text_hash().alias("text_hash"))
+    found = contained_items(docs.withColumn("_row", row), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(docs, row, found.select("_row"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

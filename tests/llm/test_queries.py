@@ -118,3 +118,38 @@ def test_pipeline_is_its_stages(spark):
     for _, stage in cp.STAGES:
         docs = cp.stored(stage(spark, docs, SMALL), "test")
     assert taken(docs) == taken(cp.run(spark, SMALL))
+
+
+@pytest.fixture(scope="module")
+def keyless(spark):
+    """(item, rows): many rows without an id, and one id with many texts."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None if k < 4 else 7 if k < 8 else k, own(k), "en", "x", k) for k in range(10)]
+    return item, own, rows, spark.read.parquet(f"{SMALL}/documents.parquet").select(*cp.COLUMNS).schema
+
+
+def test_decontaminated_decides_by_row(spark, keyless):
+    item, own, rows, schema = keyless
+    dirty = [(None, f"{own(20)} {item} {own(21)}", "en", "x", 20), (7, f"{own(22)} {item}", "en", "x", 22), (30, item, "en", "x", 30)]
+    got = cp.decontaminated(spark, spark.createDataFrame(rows + dirty + [(None, None, None, None, None)], schema), SMALL)
+    assert got.columns == cp.COLUMNS
+    assert taken(got) == sorted([*rows, (None, None, None, None, None)], key=str)
+
+
+def test_near_decides_by_row(spark, keyless):
+    _, own, rows, schema = keyless
+    copies = [
+        (7, own(9) + " end", "en", "x", 40), (3, own(8) + " end", "en", "x", 41), (7, own(5) + " end", "en", "x", 42), (None, own(9) + " other", "en", "x", 43),
+    ]
+    got = taken(cp.near(spark, spark.createDataFrame(rows + copies, schema), SMALL).select("doc_id", "n_chars"))
+    # 8 is a near copy of the new 3, 9 of a row of 7; of the two rows of 7 that are near copies one stays
+    assert sorted(n for _, n in got if n not in (5, 42)) == [0, 1, 2, 3, 4, 6, 7, 40, 41, 43]
+    assert len([n for _, n in got if n in (5, 42)]) == 1
+
+
+def test_near_with_unique_ids_and_repeated_nulls(spark, keyless):
+    _, own, rows, schema = keyless
+    unique = [(None if i is None else n, *rest, n) for i, *rest, n in rows]
+    got = cp.near(spark, spark.createDataFrame([*unique, (50, own(9) + " end", "en", "x", 50)], schema), SMALL)
+    assert taken(got) == sorted(unique, key=str)
