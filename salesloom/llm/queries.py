@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, lang_id, rule_quality, warc
+from . import bpe_codec, lang_id, merkle, rule_quality, warc
 from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
@@ -77,6 +77,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = {"text": F.translate("text", UPPER, LOWER)}
+    where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), columns, presented=lowered, where=where)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dup": op2_near_dup,
@@ -88,6 +95,7 @@ QUERIES = {
     "op8_lang_id": op8_lang_id,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _quoted(text: str) -> str:
@@ -133,6 +141,49 @@ def _sql_shingles(source: str, key: str) -> str:
     """
 
 
+#: crc32 of the decimal ``doc_id``, bit by bit.
+_SQL_CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, _: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _sql_merkle(levels: int = 6) -> str:
+    """Level by level, up to 16 ** ``levels`` rows of a source and as many sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    ctes = [
+        f"""leaf AS (
+            SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+                   CASE WHEN {_SQL_CRC32} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other
+            FROM documents)""",
+        "a0 AS (SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos, leaf AS h, r FROM leaf)",
+    ]
+
+    def climb(name: str) -> None:
+        """Levels over ``name``0 (k, pos, h): runs, then the next nodes; a lone node stays as it is."""
+        for i in range(levels):
+            ctes.append(f"{name}r{i} AS (SELECT k, pos // 16 AS run, list(h ORDER BY pos) AS hs, (count(*) OVER (PARTITION BY k) = 1 AND count(*) = 1) AS lone FROM {name}{i} GROUP BY k, pos // 16)")
+            ctes.append(f"{name}{i + 1} AS (SELECT k, run AS pos, CASE WHEN lone THEN hs[1] ELSE sha256(list_aggregate(hs, 'string_agg', '')) END AS h FROM {name}r{i})")
+
+    climb("a")
+    ctes.append(f"b0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS pos, h, k AS source FROM a{levels})")
+    climb("b")
+    ctes.append("f0 AS (SELECT l.r, l.source AS k, a0.pos, coalesce(other, leaf) AS h, '' AS p FROM leaf l JOIN a0 USING (r))")
+    step = """
+        SELECT f.r, f.k, f.pos // 16 AS pos, CASE WHEN lone THEN f.h ELSE sha256(list_aggregate(list_concat(hs[1 : f.pos % 16], [f.h], hs[f.pos % 16 + 2 : 16]), 'string_agg', '')) END AS h,
+               p || CASE WHEN lone THEN '' ELSE coalesce(list_aggregate(list_concat(hs[1 : f.pos % 16], hs[f.pos % 16 + 2 : 16]), 'string_agg', ''), '') END AS p
+        FROM {f} f JOIN {runs} x ON f.k IS NOT DISTINCT FROM x.k AND f.pos // 16 = x.run"""
+    for i in range(levels):
+        ctes.append(f"f{i + 1} AS ({step.format(f=f'f{i}', runs=f'ar{i}')})")
+    ctes.append(f"g0 AS (SELECT f.r, 0 AS k, b0.pos, f.h, p FROM f{levels} f JOIN b0 ON f.k IS NOT DISTINCT FROM b0.source)")
+    for i in range(levels):
+        ctes.append(f"g{i + 1} AS ({step.format(f=f'g{i}', runs=f'br{i}')})")
+    return f"""
+        WITH {", ".join(ctes)}
+        SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(g.p) AS proof_sha256, g.h AS folded_root, g.h = t.h AS verified
+        FROM leaf l JOIN g{levels} g USING (r) JOIN a{levels} s ON l.source IS NOT DISTINCT FROM s.k, b{levels} t
+    """
+
+
 ORACLES = {
     "op4_decontaminate": f"""
         WITH item AS ({_sql_shingles("benchmark", "item_id")}), doc AS ({_sql_shingles("documents", "doc_id")}),
@@ -171,4 +222,5 @@ ORACLES = {
                sha256(coalesce(array_to_string(list_transform(stay, lambda k: words[k]), ' '), '')) AS kept_sha256
         FROM pos
     """,
+    "op13_merkle_manifest": _sql_merkle(),
 }
