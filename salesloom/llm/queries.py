@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, lang_id, merkle, rule_quality, warc
+from . import bpe_codec, lang_id, merkle, rule_quality, token_store, warc
 from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
@@ -15,6 +15,7 @@ from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_store.write_store(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2)
+    return token_store.read_store(spark, folder, manifest, digest=True)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     lowered = {"text": F.translate("text", UPPER, LOWER)}
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_lang_id": op8_lang_id,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_store": op11_token_store,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

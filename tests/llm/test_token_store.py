@@ -1,0 +1,118 @@
+"""Token store: ids against the tokenizers library, files read back, short-document access."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from urllib.parse import urlparse
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+from tokenizers import Tokenizer
+
+from salesloom.llm import token_store as ts
+from salesloom.llm.queries import WORD_TOKENIZER
+
+SCHEMA = "doc_id long, text string, ids string, id int, `offset` int"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(WORD_TOKENIZER)
+
+
+def expected(library, rows):
+    """(doc_id, start, n_tokens, crc), rows of one id as a multiset over their span"""
+    ids = [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
+    return sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def run(spark, rows, **more):
+    docs = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in rows], SCHEMA)
+    folder, manifest = ts.write_store(docs, WORD_TOKENIZER)
+    return folder, manifest, [tuple(r) for r in ts.read_store(spark, folder, manifest, **more).collect()]
+
+
+def test_ids_are_the_library_s(library):
+    random.seed(1)
+    pool = [*"abcXYZ'stremdlv012 \t\n\r\x0b\x0c\x1c\x1d\x85\xa0.,!?<>|-_éÉßİΣς中文　​😀ǅﬁ١½Ⅷàª÷´\x00", "é", "<|endoftext|>", "<|startoftext|>", " 's", "́", "ᄀ", "ᅡ"]
+    texts = ["".join(random.choices(pool, k=random.randint(0, 60))) for _ in range(4_000)]
+    texts += ["", " \n", "a" * 50_000, "É" * 3_000, "<|endoftext|>" * 50, "x<|endoftext|>Y 's'S"]
+    got = ts.PieceEncoder(WORD_TOKENIZER).encode(pa.array(texts), 2, 2).to_pylist()
+    for text, packed in zip(texts, got):
+        assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_words_beyond_the_bound_are_encoded_anew(library, monkeypatch):
+    monkeypatch.setattr(ts, "MAX_KNOWN", 10)
+    encoder = ts.PieceEncoder(WORD_TOKENIZER)
+    for k in range(5):
+        texts = [f"word{k}{i}x other the" for i in range(40)] + ["y" * 100]
+        for text, packed in zip(texts, encoder.encode(pa.array(texts), 2, 4).to_pylist()):
+            assert np.frombuffer(packed, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder.words) <= 10
+
+
+def test_hard_rows(spark, library):
+    rows = [(5, "Hello world"), (1, None), (-3, ""), (5, "Hello world"), (5, "another text of five"), (None, "no id"), (9, "long word " * 40_000), (2, "<|endoftext|>")]
+    _, _, got = run(spark, rows)
+    wanted, at = expected(library, rows), 0
+    got.sort(key=lambda r: r[1])
+    assert [r[0] for r in got] == [i for i, _ in wanted]
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    assert sorted((str(i), n, crc) for i, _, n, crc in ((i, s, n, zlib.crc32(p)) for i, s, n, p in got)) == sorted((str(i), len(x), zlib.crc32(x.tobytes())) for i, x in wanted)
+
+
+def test_one_hot_id_digest_and_document_access(spark, library):
+    rows = [(7 if i % 3 == 0 else i, f"text {i % 50} of {i}") for i in range(3_000)]
+    folder, manifest, got = run(spark, rows, digest=True)
+    wanted = expected(library, rows)
+    assert sorted((i, n, crc) for i, _, n, crc in got) == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in wanted)
+    starts = sorted((s, n) for _, s, n, _ in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+    by_id = {}
+    for i, x in wanted:
+        by_id.setdefault(i, []).append(x.tolist())
+    shard = manifest.orderBy("part").first()
+    for row in (0, shard.docs // 2, shard.docs - 1):
+        with ts.Shard(folder, shard.file) as s:
+            doc_id = pa.concat_arrays([s.index.get_batch(i)["id"] for i in range(s.index.num_record_batches)])[row].as_py()
+        assert ts.read_document(folder, shard.file, row).tolist() in by_id[doc_id]
+    with pytest.raises(IndexError):
+        ts.read_document(folder, shard.file, shard.docs)
+
+
+def test_files_share_one_dictionary(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "words", "of", "text"], k=40))) for i in range(2_000)]
+    folder, manifest, _ = run(spark, rows)
+    shard = manifest.first()
+    with ts.Shard(folder, shard.file) as s:
+        digest = s.index.schema.metadata[b"dictionary_sha256"].decode()
+        frame = s.index.get_batch(0)
+    dictionary = ts._dictionary(folder, digest)
+    assert dictionary
+    data = open(f"{urlparse(folder).path}/{shard.file}.bin", "rb").read()
+    first = data[: frame["size"][0].as_py()]
+    with pytest.raises(zstandard.ZstdError):
+        zstandard.ZstdDecompressor().decompress(first)
+    ids = np.frombuffer(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress(first), "<u2")
+    assert len(ids) == frame["n_tokens"][0].as_py() and ids[-1] == 2
+
+
+def test_a_changed_dictionary_is_refused(spark, tmp_path):
+    folder, manifest, _ = run(spark, [(i, f"text {i}") for i in range(5)])
+    digest = ts.sha256(b"").hexdigest()
+    path = f"{urlparse(folder).path}/dictionary-{digest}.zdict"  # too few documents to train one
+    with open(path, "wb") as f:
+        f.write(b"x")
+    ts._dictionary.cache_clear()
+    with pytest.raises(ValueError, match="not the one"):
+        ts.read_document(folder, manifest.first().file, 0)
+
+
+def test_empty_table(spark):
+    assert run(spark, [])[2] == []
