@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe_codec, lang_id, merkle, rule_quality, token_store, warc
+from .collocations import collocations
 from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
@@ -83,6 +84,10 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder, manifest, digest=True)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     lowered = {"text": F.translate("text", UPPER, LOWER)}
@@ -102,6 +107,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_store": op11_token_store,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -229,5 +235,32 @@ ORACLES = {
                sha256(coalesce(array_to_string(list_transform(stay, lambda k: words[k]), ' '), '')) AS kept_sha256
         FROM pos
     """,
+    "op12_collocations": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+        piece AS (
+            SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS words
+            FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d) x),
+        total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM piece GROUP BY lang),
+        gram AS (
+            SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+            FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM piece, range(1, 5) s(size)) x),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 30),
+        cut AS (
+            SELECT lang, phrase, a, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 :], ' ') AS tail
+            FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size >= 2) x),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score,
+                   row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (2000000::HUGEINT * c.a) // (x.a + y.a), k) AS pick
+            FROM cut c JOIN f x ON c.lang = x.lang AND head = x.phrase JOIN f y ON c.lang = y.lang AND tail = y.phrase),
+        inside AS (
+            SELECT lang, array_to_string(string_split(phrase, ' ')[b : b + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size >= 3) y) x
+            GROUP BY 1, 2),
+        kept AS (
+            SELECT s.* FROM scored s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase
+            WHERE pick = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
     "op13_merkle_manifest": _sql_merkle(),
 }
