@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
@@ -265,3 +265,166 @@ def keyword_split(
         df = df.filter(F.col(group_col) == group)
     label = F.when(rule.column(text_col), F.lit(labels[0])).otherwise(F.lit(labels[1]))
     return _counted(df.withColumn("TYPE", label), "TYPE", material, text_col, "SAMPLE" if with_sample else None)
+
+
+# ---------------------------------------------------------------------------
+# Many rules in one pass over the texts
+# ---------------------------------------------------------------------------
+#: Terms in one word of a bitmap.
+WORD_BITS = 62
+
+
+@dataclass(frozen=True)
+class Search:
+    """A rule over the text (None: every text) with its conditions on the
+    product group: a list to take or leave, a part of its name (case folded),
+    a prefix."""
+
+    rule: Rule | None = None
+    include: tuple[str, ...] | None = None
+    exclude: tuple[str, ...] | None = None
+    group_contains: str | None = None
+    group_prefix: str | None = None
+
+    def on_group(self, group: Column) -> Column | None:
+        """The group's conditions as one Column; None if there are none."""
+        tests = []
+        if self.include is not None:
+            tests.append(group.isin(list(self.include)))
+        if self.exclude is not None:
+            tests.append(~group.isin(list(self.exclude)))
+        if self.group_contains is not None:
+            tests.append(F.upper(group).contains(self.group_contains.upper()))
+        if self.group_prefix is not None:
+            tests.append(group.startswith(self.group_prefix))
+        return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _as_search(s: Search | Rule | None) -> Search:
+    return s if isinstance(s, Search) else Search(s)
+
+
+def term_bits(text: Column, terms: Sequence[str]) -> Column:
+    """Which of ``terms`` the upper-cased text contains, as an array of 64-bit
+    words (``WORD_BITS`` terms each). The text is folded once. A NULL text
+    contains none."""
+    words = [terms[i : i + WORD_BITS] for i in range(0, len(terms), WORD_BITS)]
+
+    def bits(folded: Column) -> Column:
+        return F.array(*[
+            reduce(
+                lambda a, b: a.bitwiseOR(b),
+                [F.when(folded.contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(word)],
+            )
+            for word in words
+        ])
+
+    # bound once per row as the variable of a one-element transform
+    return F.transform(F.array(F.upper(text)), bits)[0]
+
+
+def _bit_test(rule: Rule, bits: Column, place: dict[str, int]) -> Column:
+    """A rule over ``term_bits``: a set of terms is a mask of each word it touches."""
+
+    def any_term(alternatives: tuple[str, ...]) -> Column:
+        masks: dict[int, int] = {}
+        for t in alternatives:
+            word, bit = divmod(place[t], WORD_BITS)
+            masks[word] = masks.get(word, 0) | 1 << bit
+        return reduce(lambda a, b: a | b, [bits[w].bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in masks.items()])
+
+    clauses = [reduce(lambda a, b: a & b, [any_term(s) for s in c.sets]) for c in rule.clauses]
+    return reduce(lambda a, b: a | b, clauses)
+
+
+def keyword_matches(
+    products: DataFrame,
+    texts: DataFrame,
+    searches: dict[str, Search | Rule | None],
+    lang: str | None = D.TEXT_LANGUAGE,
+    material: str = "MATNR",
+    group_col: str = "MATKL",
+    lang_col: str = "SPRAS",
+    text_col: str = "MAKTX",
+) -> DataFrame:
+    """F10-F13 for many searches in one pass: a row ``SEARCH, MATKL, MATNR,
+    MAKTX`` for each search that a product's description meets.
+
+    Each text is read and folded once, and looked through once for each
+    distinct term of all rules; a rule is then a few tests of bits. Texts that
+    meet no rule go no further, the rest meet their product in one join.
+    A NULL text meets only a search without a rule; conditions on the group
+    are false for a NULL group.
+    """
+    found = {name: _as_search(s) for name, s in searches.items()}
+    if not found:
+        raise ValueError("at least one search is needed")
+    terms = sorted({t for s in found.values() if s.rule for c in s.rule.clauses for alt in c.sets for t in alt})
+    place = {t: i for i, t in enumerate(terms)}
+    if lang is not None:
+        texts = texts.filter(F.col(lang_col) == lang)
+    texts = texts.select(material, text_col, (term_bits(F.col(text_col), terms) if terms else F.array(F.lit(0).cast("long"))).alias("_bits"))
+    met = [
+        F.when(F.coalesce(_bit_test(s.rule, F.col("_bits"), place), F.lit(False)) if s.rule else F.lit(True), F.lit(name))
+        for name, s in found.items()
+    ]
+    # explode_outer: an explode would put a filter on the names below the scan's
+    # projection, which folds every text a second time
+    hits = texts.select(material, text_col, F.explode_outer(F.array_compact(F.array(*met))).alias("SEARCH")).filter(F.col("SEARCH").isNotNull())
+    out = products.select(material, group_col).join(hits, on=material, how="inner")
+    for name, s in found.items():
+        test = s.on_group(F.col(group_col))
+        if test is not None:
+            out = out.filter((F.col("SEARCH") != name) | F.coalesce(test, F.lit(False)))
+    return out.select("SEARCH", group_col, material, text_col)
+
+
+def keyword_rules(
+    products: DataFrame,
+    texts: DataFrame,
+    searches: dict[str, Search | Rule | None],
+    lang: str | None = D.TEXT_LANGUAGE,
+    material: str = "MATNR",
+    group_col: str = "MATKL",
+    lang_col: str = "SPRAS",
+    text_col: str = "MAKTX",
+) -> DataFrame:
+    """K6 for many searches in one pass: ``SEARCH, MATKL, CNT`` (distinct
+    products), ``SAMPLE1`` and ``SAMPLE2`` (smallest and largest matching
+    text); by search, most products first, then group."""
+    hits = keyword_matches(products, texts, searches, lang, material, group_col, lang_col, text_col)
+    keyed = hits.select(F.struct("SEARCH", group_col).alias("_key"), material, text_col)
+    out = _counted(keyed, "_key", material, text_col, "SAMPLE1", "SAMPLE2")
+    return out.select("_key.SEARCH", f"_key.{group_col}", "CNT", "SAMPLE1", "SAMPLE2").orderBy(
+        *ascending("SEARCH"), *descending("CNT"), *ascending(group_col)
+    )
+
+
+def keyword_rule_samples(
+    products: DataFrame,
+    texts: DataFrame,
+    searches: dict[str, Search | Rule | None],
+    lang: str | None = D.TEXT_LANGUAGE,
+    n: int = D.SAMPLE_ROWS,
+    order: Sequence[str] = ("MAKTX",),
+    material: str = "MATNR",
+    group_col: str = "MATKL",
+    lang_col: str = "SPRAS",
+    text_col: str = "MAKTX",
+    shares: int = 64,
+) -> DataFrame:
+    """K8 for many searches in one pass: the first ``n`` descriptions of each
+    search in ``order``, then by the other columns: ``SEARCH, POS, MAKTX,
+    MATKL, MATNR``.
+
+    The first ``n`` are taken in each of ``shares`` parts of a search (dealt by
+    a hash of the product), then among these, so no task ranks all rows of a
+    search that many texts meet.
+    """
+    hits = keyword_matches(products, texts, searches, lang, material, group_col, lang_col, text_col)
+    rest = [c for c in (text_col, group_col, material) if c not in order]
+    by = ascending(*order, *rest)
+    dealt = hits.withColumn("_share", F.pmod(F.xxhash64(material), F.lit(shares)))
+    first = dealt.withColumn("_pos", F.row_number().over(Window.partitionBy("SEARCH", "_share").orderBy(*by))).filter(F.col("_pos") <= n)
+    ranked = first.withColumn("POS", F.row_number().over(Window.partitionBy("SEARCH").orderBy(*by))).filter(F.col("POS") <= n)
+    return ranked.select("SEARCH", "POS", text_col, group_col, material)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, day_diff
 from ..functions.ordering import ascending, descending
-from .joins import salted_join
+from .joins import key_filter, salted_join
 from .versions import latest_version
 
 # The columns of the two reports, in their order.
@@ -61,6 +61,7 @@ def open_orders(
     columns: Sequence[str] = HEADER_COLUMNS,
     tie_break: Sequence[str] | None = None,
     salts: int | None = None,
+    opened: DataFrame | None = None,
 ) -> DataFrame:
     """K2: the ``n`` largest open orders with their age in days.
 
@@ -73,9 +74,10 @@ def open_orders(
     The top-n runs as a per-partition top-n plus one merge of at most
     ``n x partitions`` rows (``TakeOrderedAndProject``), never a full sort.
     ``salts`` spreads hot keys of the version pick (see
-    ``versions.latest_version``).
+    ``versions.latest_version``). ``opened`` is the result of ``open_headers``
+    where the caller has it; ``header`` is then not read.
     """
-    orders = open_headers(
+    orders = opened if opened is not None else open_headers(
         header, since, open_statuses, closed_status, key, version, salts=salts
     )
     if created_since is not None:
@@ -105,6 +107,8 @@ def delayed_lines(
     closed_status: str = D.CLOSED_OVERALL_STATUS,
     tie_break: Sequence[str] | None = None,
     salts: int | None = None,
+    opened: DataFrame | None = None,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.
 
@@ -117,7 +121,14 @@ def delayed_lines(
     tied versions fan a line out).
 
     ``salts`` spreads hot keys of both version picks and of the line-order
-    join (see ``operators.joins``).
+    join (see ``operators.joins``). ``opened`` is the result of
+    ``open_headers`` where the caller has it; ``header`` is then not read.
+
+    With ``filter_bits`` lines are filtered by the open orders' keys
+    (``joins.key_filter``, a map of that many bits) where they are scanned,
+    before their version pick: all versions of a line share its order, so the
+    rows are the same, and lines of closed orders are in no shuffle. Without
+    ``opened`` this reads the header a second time.
     """
     today = date_value(as_of)
     ties = (
@@ -125,11 +136,11 @@ def delayed_lines(
         if tie_break is not None
         else ["VBELN", "POSNR"] + [c for c in DELAY_COLUMNS if c not in ("VBELN", "POSNR", "DELAY_DAYS")]
     )
-    orders = open_headers(
-        header, since, open_statuses, closed_status, salts=salts
-    ).select(
-        "VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK"
-    )
+    if opened is None:
+        opened = open_headers(header, since, open_statuses, closed_status, salts=salts)
+    orders = opened.select("VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK")
+    if filter_bits is not None:
+        lines = key_filter(lines, opened.select("VBELN"), ["VBELN"], filter_bits)
     overdue = (
         latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, salts=salts)
         .filter(

@@ -23,7 +23,8 @@ from .. import defaults as D
 from ..functions.dates import date_stamp, date_value
 from ..functions.ordering import ascending, descending
 from ..functions.text import pad_left, pad_right, status_label, thousands, zero_fill
-from ..operators.orders import delayed_lines, open_orders
+from ..operators.orders import delayed_lines, open_headers, open_orders
+from ..sources.stored import stored
 
 # Display labels (English; the texts are presentation, not data). Fixed values:
 # the column widths of both tables.
@@ -202,6 +203,8 @@ def daily_digest(
     open_statuses=D.OPEN_DELIVERY_STATUSES,
     closed_status: str = D.CLOSED_OVERALL_STATUS,
     not_delivered: str = D.NOT_DELIVERED_STATUS,
+    shared: bool = True,
+    filter_bits: int = 22,
 ) -> DataFrame:
     """The whole daily run: the ``n`` largest open orders, the
     ``delayed_n`` most overdue lines, and the digest lines of both.
@@ -210,13 +213,21 @@ def daily_digest(
     tables in the model's columns; ``since`` is the load-date floor of both,
     ``created_since`` the order-date floor of the open-order report (the
     overdue report has none).
+
+    With ``shared`` the open orders are worked out once and stored for the run
+    (``sources.stored``; this part is eager): both sections read them, and
+    the lines are filtered by their keys before their version pick
+    (``filter_bits``, see ``orders.delayed_lines``). The header table is read
+    for one version pick, not two.
     """
+    opened = stored(open_headers(header, since, open_statuses, closed_status), "open-orders") if shared else None
     top = open_orders(
         header, as_of=as_of, since=since, created_since=created_since, n=n,
-        open_statuses=open_statuses, closed_status=closed_status,
+        open_statuses=open_statuses, closed_status=closed_status, opened=opened,
     )
     late = delayed_lines(
         header, lines, as_of=as_of, since=since, n=delayed_n,
-        open_statuses=open_statuses, closed_status=closed_status,
+        open_statuses=open_statuses, closed_status=closed_status, opened=opened,
+        filter_bits=filter_bits if shared else None,
     )
     return digest_lines(top, late, as_of=as_of, n=n, not_delivered=not_delivered, delayed_n=delayed_n)

@@ -15,7 +15,7 @@ from ..functions.text import axis_label
 from ..operators import dashboard as dash
 from ..operators import keywords as kw
 from ..operators import orders as ord_ops
-from ..operators import sales, versions
+from ..operators import sales, totals, versions
 from ..operators.catalog import dictionary, distinct_values
 from ..sources import standins
 from ..sources.tables import load_table, preview, run_sql
@@ -181,12 +181,12 @@ ORDER BY DELAY_DAYS DESC, ALL_REST LIMIT 20""".replace(
 )
 
 
-def _k3(spark: SparkSession, sf_dir: str, n: int, salts: int | None = None) -> DataFrame:
+def _k3(spark: SparkSession, sf_dir: str, n: int, **how) -> DataFrame:
     header = standins.order_header(_t(spark, sf_dir, "orders"), key="o_orderkey")
     lines = standins.schedule_lines(_t(spark, sf_dir, "lineitem"))
     return ord_ops.delayed_lines(
         header, lines, as_of=DELAY_AS_OF, since=LINES_SINCE, n=n,
-        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, salts=salts,
+        open_statuses=OPEN_STATUSES, closed_status=CLOSED_STATUS, **how,
     )
 
 
@@ -195,6 +195,12 @@ def k3_delayed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k3(spark, sf_dir, 20)
 
 
+@register("k3_delayed_lines_reduced", oracle=SQL_K3)
+def k3_delayed_lines_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 with the lines filtered by the open orders' keys before their version pick."""
+    return _k3(spark, sf_dir, 20, filter_bits=22)
+
+
 @register("k3_delayed_lines_hotkeys", oracle=SQL_K3)
 def k3_delayed_lines_hotkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 with salting: each order's lines are spread over 4 tasks."""
@@ -440,6 +446,50 @@ def k9_keyword_split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Five searches over one text table, as one file of the reference asks them.
+SEARCHES = {
+    "excluding": kw.Search(RULE_THE, exclude=EXCLUDED_SOURCES),
+    "family": kw.Search(RULE_THE, group_contains="1"),
+    "license": kw.Search(RULE_LICENSE),
+    "listed": kw.Search(None, include=("src7", "src8"), group_prefix="src"),
+    "names": kw.Search(kw.any_of("@", "WORTHLESS")),
+}
+SQL_SEARCHES = {
+    "excluding": f"{SQL_RULE_THE} AND source NOT IN {EXCLUDED_SOURCES}",
+    "family": f"{SQL_RULE_THE} AND {_has('source', '1')}",
+    "license": SQL_RULE_LICENSE,
+    "listed": "source IN ('src7', 'src8') AND starts_with(source, 'src')",
+    "names": _has("text", "@", "WORTHLESS"),
+}
+
+
+@register(
+    "k6_keyword_rules",
+    oracle=" UNION ALL ".join(
+        f"SELECT '{name}' AS SEARCH, g.* FROM ({_sql_keywords('documents', f'lang = {chr(39)}en{chr(39)} AND {cond}', with_max=True)}) g"
+        for name, cond in SQL_SEARCHES.items()
+    ),
+)
+def k6_keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five searches, the texts read and folded once."""
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_rules(products, texts, SEARCHES, lang="en")
+
+
+@register(
+    "k8_keyword_rule_samples",
+    oracle=" UNION ALL ".join(
+        f"(SELECT '{name}' AS SEARCH, row_number() OVER (ORDER BY text, source, doc_id)::INTEGER AS POS, text AS MAKTX,"
+        f" source AS MATKL, doc_id AS MATNR FROM documents WHERE lang = 'en' AND {cond} QUALIFY POS <= 30)"
+        for name, cond in SQL_SEARCHES.items()
+    ),
+)
+def k8_keyword_rule_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 texts of each search, the texts read and folded once."""
+    products, texts = _docs(spark, sf_dir)
+    return kw.keyword_rule_samples(products, texts, SEARCHES, lang="en", n=30)
+
+
 # ---------------------------------------------------------------------------
 # K10 monthly invoiced sales, K11 load-date distribution, K12 duplicate keys
 # ---------------------------------------------------------------------------
@@ -721,6 +771,26 @@ def k16_pivot_totals_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dash.pivot_with_totals(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "qty")
 
 
+@register("k16_pivot_grouping_sets", oracle=_sql_pivot_body("NET_USD", "DECIMAL(38,2)") + "\nSELECT * FROM piv")
+def k16_pivot_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pivot with totals from one rollup."""
+    return totals.pivot_by_grouping_sets(_extract(spark, sf_dir, SLICE), SLICE_LO, SLICE_HI, PIVOT_CATS, "amt")
+
+
+@register(
+    "a17_cube_totals",
+    oracle=SQL_EXTRACT_CTES + """
+SELECT if(grouping(YEARMONTH) = 1, 'TOTAL', YEARMONTH) AS YEARMONTH, if(grouping(CATEGORY) = 1, 'TOTAL', CATEGORY) AS CATEGORY,
+       sum(QTY)::DECIMAL(38,3) AS QTY, sum(NET_USD)::DECIMAL(38,2) AS NET_USD, grouping_id(YEARMONTH, CATEGORY) AS LEVEL
+FROM extract GROUP BY CUBE (YEARMONTH, CATEGORY)""",
+)
+def a17_cube_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, month totals, category totals and the grand total of the extract."""
+    return totals.grouping_totals(
+        _extract(spark, sf_dir), ["YEARMONTH", "CATEGORY"], {"QTY": "QTY", "NET_USD": "NET_USD"}, "cube", "TOTAL"
+    )
+
+
 def _sql_shown(e: str, prefix: str = "$") -> str:
     return f"'{prefix}' || format('{{:,}}', CAST(FLOOR({e} + CAST(0.5 AS DECIMAL(2,1))) AS BIGINT))"
 

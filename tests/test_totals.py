@@ -1,0 +1,54 @@
+"""Totals by grouping sets: the pivot's rows from one rollup, cubes with NULLs."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+
+from salesloom.operators import dashboard as dash
+from salesloom.operators import totals
+from salesloom.plans import registry
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "YEARMONTH string, CATEGORY string, QTY decimal(18,3), NET_USD decimal(18,2)"
+ROWS = [("2025-01", "A", 1, 10), ("2025-01", "B", 2, -5), ("2025-02", "A", None, None), ("2025-03", "C", 7, 7), (None, "A", 9, 9), ("2025-04", None, 3, 3)]
+
+
+@pytest.fixture()
+def extract(spark):
+    num = lambda v: None if v is None else Decimal(v)
+    return spark.createDataFrame([(m, c, num(q), num(a)) for m, c, q, a in ROWS], SCHEMA)
+
+
+@pytest.mark.parametrize("metric", ["amt", "qty"])
+@pytest.mark.parametrize("lo, hi, cats", [("2025-01", "2025-12", ["B", "A"]), ("2025-01", "2025-02", ["A", "x y"]), ("2026-01", "2026-02", ["A"]), ("2025-03", "2025-01", ["A"]), ("2025-01", "2025-12", [])])
+def test_the_rows_of_the_pivot(extract, metric, lo, hi, cats):
+    a = totals.pivot_by_grouping_sets(extract, lo, hi, cats, metric)
+    b = dash.pivot_with_totals(extract, lo, hi, cats, metric)
+    assert a.columns == b.columns and a.dtypes == b.dtypes
+    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+
+
+def test_a_month_named_like_the_total(spark):
+    rows = spark.createDataFrame([("TOTAL", "A", Decimal(1), Decimal(2)), ("S", "A", Decimal(1), Decimal(3))], SCHEMA)
+    got = [tuple(r) for r in totals.pivot_by_grouping_sets(rows, "A", "Z", ["A"]).collect()]
+    assert got == [("S", 3, 3), ("TOTAL", 2, 2), ("TOTAL", 5, 5)]
+
+
+def test_one_expand_and_one_sort(spark):
+    df = registry.jobs()["k16_pivot_grouping_sets"](spark, SF)
+    df.collect()
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("== Initial Plan ==")[0].split("\n\n\n")[0]
+    assert plan.count("Expand (") == 1
+    assert plan.split("Expand (")[0].count("Sort (") == 1 and plan.split("Expand (")[0].count("HashAggregate (") == 2
+
+
+def test_cube_tells_nulls_from_totals(extract):
+    got = {(r.YEARMONTH, r.CATEGORY, r.LEVEL): r.A for r in totals.grouping_totals(extract, ["YEARMONTH", "CATEGORY"], {"A": "NET_USD"}).collect()}
+    assert got[(None, None, 3)] == 24 and got[(None, "A", 2)] == 19 and got[(None, "A", 0)] == 9 and got[(None, None, 1)] == 9 and got[("2025-04", None, 0)] == got[("2025-04", None, 1)] == 3
+    named = {(r.YEARMONTH, r.CATEGORY): r.A for r in totals.grouping_totals(extract, ["YEARMONTH", "CATEGORY"], {"A": "NET_USD"}, "rollup", "TOTAL").collect()}
+    assert named[("TOTAL", "TOTAL")] == 24 and named[("2025-01", "TOTAL")] == 5 and (("TOTAL", "A") not in named)
+    assert totals.grouping_totals(extract.limit(0), ["YEARMONTH"], {"A": "NET_USD"}).count() == 0
+    with pytest.raises(ValueError):
+        totals.grouping_totals(extract, ["YEARMONTH"], {"A": "NET_USD"}, "sets")
