@@ -25,3 +25,12 @@ def distinct_values(df: DataFrame, column: str, n: int | None = D.DISTINCT_VALUE
     when there are more; no order is implied)."""
     out = df.select(column).distinct()
     return out if n is None else out.limit(n)
+
+
+def column_counts(df: DataFrame) -> DataFrame:
+    """S4 with figures: ``POS, COLUMN_NAME, FILLED``, a row per column in
+    order with the number of its non-NULL values. One aggregation over the
+    table; only counts leave a task."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    cells = [F.struct(F.lit(i + 1).alias("POS"), F.lit(c).alias("COLUMN_NAME"), F.col(f"_{i}").alias("FILLED")) for i, c in enumerate(df.columns)]
+    return counts.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")

@@ -32,6 +32,7 @@ def open_headers(
     delivery_status: str = "LFSTK",
     overall_status: str = "GBSTK",
     salts: int | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Newest header version per order, kept when it is still open.
 
@@ -39,7 +40,7 @@ def open_headers(
     ``closed_status`` (a NULL status is not open). The status test runs after
     the version pick.
     """
-    newest = latest_version(header, key, version, since, salts=salts)
+    newest = latest_version(header, key, version, since, salts=salts, colocated=colocated)
     return newest.filter(
         F.col(delivery_status).isin(list(open_statuses))
         & (F.col(overall_status) != closed_status)
@@ -109,6 +110,7 @@ def delayed_lines(
     salts: int | None = None,
     opened: DataFrame | None = None,
     filter_bits: int | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """K3: the ``n`` most overdue schedule lines of open orders.
 
@@ -129,6 +131,9 @@ def delayed_lines(
     before their version pick: all versions of a line share its order, so the
     rows are the same, and lines of closed orders are in no shuffle. Without
     ``opened`` this reads the header a second time.
+
+    ``colocated``: both tables are stored in buckets of the order key (see
+    ``versions.latest_version``); picks and join then need no exchange.
     """
     today = date_value(as_of)
     ties = (
@@ -137,12 +142,12 @@ def delayed_lines(
         else ["VBELN", "POSNR"] + [c for c in DELAY_COLUMNS if c not in ("VBELN", "POSNR", "DELAY_DAYS")]
     )
     if opened is None:
-        opened = open_headers(header, since, open_statuses, closed_status, salts=salts)
+        opened = open_headers(header, since, open_statuses, closed_status, salts=salts, colocated=colocated)
     orders = opened.select("VBELN", "AUDAT", "AUART", "KUNNR", "NETWR", "WAERK")
     if filter_bits is not None:
         lines = key_filter(lines, opened.select("VBELN"), ["VBELN"], filter_bits)
     overdue = (
-        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, salts=salts)
+        latest_version(lines, ["VBELN", "POSNR"], "FILE_DATE", since, salts=salts, colocated=colocated)
         .filter(
             (F.col("EDATU") < today)
             & (F.col("WMENG") > F.col("LMENG"))

@@ -31,6 +31,7 @@ def monthly_sales(
     salts: int | None = None,
     months: tuple[str, str] | None = None,
     check_keys: bool = False,
+    newest=None,
 ) -> DataFrame:
     """Invoiced quantity and net amount per billing month.
 
@@ -45,7 +46,9 @@ def monthly_sales(
       * ``"global_latest"`` keeps only the newest load date of the whole line
         table, taken before any other filter, so a group missing from that
         load gets no rows. It runs as a scalar subquery, which Spark pushes to
-        the line scan (and prunes load-date partitions with).
+        the line scan (and prunes load-date partitions with); with ``newest``,
+        the date that ``sources.snapshots.newest_load`` gives for a stored
+        table, no row is read to find it.
 
     Result: ``[group_col,] YEARMONTH, QTY, NET_USD`` ordered by month, then
     group; ``groups`` always filters ``MATKL``, ``group_col`` (default
@@ -64,8 +67,8 @@ def monthly_sales(
     if snapshot not in SNAPSHOT_MODES:
         raise ValueError(f"snapshot must be one of {SNAPSHOT_MODES}, not {snapshot!r}")
     if snapshot == "global_latest":
-        newest = lines.select(F.max("FILE_DATE")).scalar()
-        lines = lines.filter(F.col("FILE_DATE") == newest)
+        day = lines.select(F.max("FILE_DATE")).scalar() if newest is None else date_value(newest)
+        lines = lines.filter(F.col("FILE_DATE") == day)
     lines = lines.filter(F.col("NETWR") > min_net).select(
         "VBELN", "FILE_DATE", "MATNR", "FKIMG", "NETWR"
     )

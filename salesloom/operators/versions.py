@@ -8,8 +8,9 @@ A versioned table repeats its business key once per load, with the load date
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
@@ -28,6 +29,7 @@ def latest_version(
     version: str = "FILE_DATE",
     since=None,
     salts: int | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """K1: the rows carrying the newest version of their key; ties are kept.
 
@@ -47,12 +49,21 @@ def latest_version(
     several tasks without AQE: the newest versions, one row per key, are
     repeated and the rows dealt out.
 
+    ``colocated`` is for tables stored with all rows of a key in one bucket
+    (``sources.snapshots.write_bucketed``): the newest version is a windowed
+    MAX over the bucket's rows, so the table is read once and nothing is
+    shuffled. On other tables it would put a hot key into one task.
+
     Business filters (status, dates) must run on the result, not before: a
     closed newest version would otherwise let an older open one through.
     """
     key_cols = _keys(keys)
     if since is not None:
         df = df.filter(F.col(version) >= date_value(since))
+    if colocated:
+        keyed = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key_cols]))
+        newest = F.max(version).over(Window.partitionBy(*key_cols))
+        return keyed.withColumn("_newest", newest).filter(F.col(version) == F.col("_newest")).drop("_newest")
     newest = df.groupBy(*key_cols).agg(F.max(version).alias(version))
     kept = salted_join(df, newest, [*key_cols, version], "left_semi", salts)
     return kept.select(*df.columns) if salts else kept

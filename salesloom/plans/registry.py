@@ -38,13 +38,18 @@ def register(name: str, oracle: str | None = None) -> Callable[[Job], Job]:
     return wrap
 
 
+def oracle_of(name: str) -> str | None:
+    """The SQL of a job that is registered already."""
+    return _REGISTRY[name].oracle
+
+
 def jobs() -> dict[str, Job]:
-    from . import standin_jobs  # noqa: F401  (importing registers the jobs)
+    from . import standin_jobs, stored_jobs  # noqa: F401  (importing registers the jobs)
 
     return {name: e.job for name, e in _REGISTRY.items()}
 
 
 def oracles() -> dict[str, str]:
-    from . import standin_jobs  # noqa: F401
+    from . import standin_jobs, stored_jobs  # noqa: F401
 
     return {name: e.oracle for name, e in _REGISTRY.items() if e.oracle is not None}
