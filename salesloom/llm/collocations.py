@@ -1,15 +1,17 @@
 """Phrase collocations: frequent word sequences, found with Misra-Gries summaries.
 
-First pass: every sequence of one to four words is hashed to 64 bits, and the hash space is cut
-into partitions. A task sums what it has seen and sends each partition its share: a summary and
-the mass (occurrences) behind it. The partition's task adds up the masses first, so it knows its
+First pass: every sequence is hashed to 64 bits, and the hash space is cut into partitions. A
+task sums what it has seen and sends each partition its share: a summary and the mass
+(occurrences) behind it. The partition's task adds up the masses first, so it knows its
 capacity, ``mass // threshold + 1`` counters. When the merged summary holds more, the largest
 count beyond the capacity is taken off all counters (Agarwal et al., Mergeable Summaries). Each
 such step takes that much off more than ``mass / threshold`` counters, so all steps together
-take less than the threshold off any of them, and every frequent sequence keeps a counter.
+take less than the threshold off any of them, and every frequent sequence keeps a counter. Single
+words go first; a phrase is not more frequent than any of its words, so phrases are summed up
+only where all words may be frequent.
 
-Second pass: the survivors' hashes are a bitmap of bounded size; texts are read again, and the
-sequences that it lets through are counted exactly, as text. What it lets through beside them
+Second pass: the survivors' hashes are bitmaps of bounded size; texts are read again, and the
+sequences that these let through are counted exactly, as text. What they let through beside
 (collisions, counters that survived by the error) falls to the exact threshold.
 """
 
@@ -21,6 +23,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import maybe_broadcast, slices, stored, text_or_empty
@@ -28,19 +31,30 @@ from .word_hash import _powers, mix, sequence_hashes
 
 #: Longest phrase in words.
 MOST_WORDS = 4
-#: Bytes of text worked on at once; counters a task sums up before it sends them; counters that
-#: a partition's task merges before it cuts them down to its capacity.
-SLICE_BYTES, SEND, MERGE = 2_000_000, 4_000_000, 2_000_000
-#: The bitmap has 64 bits for each survivor, from 2^16 up to 2^29 (64 MB).
+#: Bytes of text worked on at once; counters a task sums up before it sends them, and sends in
+#: one piece; counters that a partition's task merges before it cuts them to its capacity.
+SLICE_BYTES, SEND, PIECE, MERGE = 1_000_000, 2_000_000, 200_000, 1_000_000
+#: The bitmap has 128 bits for each survivor, from 2^16 up to 2^29 (64 MB).
 MOST_BITS = 29
-#: Distinct phrases that a task of the second pass sums up before it sends them.
-PHRASES = 1_000_000
+#: Distinct phrases that a task of the second pass sums up before it sends or returns them.
+PHRASES = 500_000
 
 _SPACE, _BREAK = 0x20, 0x0A
 #: A-Z in lower case, the other white space as a space, and all that ends a piece as a break.
 _MAP = bytes(_SPACE if b == 0x09 else _BREAK if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+class Bitmap:
+    """A set of hashes by their leading bits; it may have others beside."""
+
+    def __init__(self, filled: bytes, bits: int):
+        self._bytes, self._shift = np.frombuffer(filled, np.uint8), np.uint64(64 - bits)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> self._shift
+        return (self._bytes[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Words:
     """The words of some texts: their bytes with single spaces, borders, pieces and texts."""
 
@@ -67,15 +81,21 @@ class Words:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
-    def grams(self, salts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(n, index of first word, hash) of all sequences of n words within pieces; ``salts``
-        has a number for the group of each text."""
+    def grams(self, salts: np.ndarray, sizes: range, of: Bitmap | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, index of first word, hash) of the sequences of n words within pieces, for each n
+        of ``sizes``; with ``of`` only those whose words are all in it. ``salts`` has a number
+        for the group of each text."""
         words = self.hashes()
-        for n in range(1, MOST_WORDS + 1):
+        salted = lambda n, at: mix((sequence_hashes(words, n)[at] ^ salts[self.text[at]]) + np.uint64(n))
+        out = np.zeros(len(words) + 1, np.int64)  # words before each that are not in ``of``
+        if of is not None and len(words):
+            np.cumsum(~of.has(salted(1, np.arange(len(words)))), out=out[1:])
+        for n in sizes:
             if len(words) < n:
                 return
-            at = np.flatnonzero(self.piece[: len(words) - n + 1] == self.piece[n - 1 :])
-            yield n, at, mix((sequence_hashes(words, n)[at] ^ salts[self.text[at]]) + np.uint64(n))
+            last = len(words) - n + 1
+            at = np.flatnonzero((self.piece[:last] == self.piece[n - 1 :]) & (out[:last] == out[n:]))
+            yield n, at, salted(n, at)
 
     def phrases(self, at: np.ndarray, n: int) -> pa.Array:
         """The texts of the sequences of n words from ``at``, joined by single spaces."""
@@ -154,36 +174,50 @@ class MisraGries:
 
 
 _SUMMARY = "p int, seq int, mass long, hashes binary, counts binary"
+_SUMMARY_ARROW = pa.schema([("p", pa.int32()), ("seq", pa.int32()), ("mass", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _planes(ascending: np.ndarray) -> bytes:
+    """Differences of 64-bit integers, byte by byte: leading zeros end up together, and the
+    shuffle's compression takes them out."""
+    steps = np.diff(ascending, prepend=ascending.dtype.type(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(cell: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition, ascending with the hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
 
 
-def _share(hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+def _share(hashes: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Rows for the hash partitions: each one's mass (seq 0) and its summary (seq 1)."""
-    p = (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+    p = _part_of(hashes, parts)
     first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    bounds, n = np.append(first, len(p)), len(first)
-    mass = np.add.reduceat(counts, first)
-    cells = lambda a: pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * a.itemsize), pa.py_buffer(a)]).cast(pa.binary())
-    none = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.tile(p[first], 2)),
-            pa.array(np.repeat(np.array([0, 1], np.int32), n)),
-            pa.array(np.concatenate([mass, np.zeros(n, np.int64)])),
-            pa.concat_arrays([none, cells(hashes)]),
-            pa.concat_arrays([none, cells(counts.astype("<u4"))]),
-        ],
-        names=["p", "seq", "mass", "hashes", "counts"],
-    )
-
-
-def survivors(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
-    """First pass: (p, hash) of all sequences of (group, text) that may be that frequent."""
+    bounds = np.append(first, len(p)).tolist()
+    mass = np.add.reduceat(counts, first).tolist()
+    for a, b in slices(np.diff(bounds).tolist(), PIECE):
+        rows = [{"p": int(p[bounds[i]]), "seq": 0, "mass": mass[i]} for i in range(a, b)]
+        for i in range(a, b):
+            own = slice(bounds[i], bounds[i + 1])
+            rows.append({"p": int(p[bounds[i]]), "seq": 1, "mass": 0, "hashes": _planes(hashes[own]), "counts": _planes(np.cumsum(counts[own]))})
+        yield pa.RecordBatch.from_pylist(rows, schema=_SUMMARY_ARROW)
+
+
+def survivors(texts: DataFrame, threshold: int, parts: int, sizes: range, of: tuple[bytes, int] | None = None) -> DataFrame:
+    """First pass: (p, hash) of all sequences of (group, text), of ``sizes`` words, that may be
+    that frequent; with ``of``, the bitmap of single words, of those whose words are all in it."""
+    shared = of and texts.sparkSession.sparkContext.broadcast(of)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size, allowed = 0, shared and Bitmap(*shared.value)
         for words, _, _, salts in _texts(batches):
-            found = [h for _, _, h in words.grams(salts)]
+            found = [h for _, _, h in words.grams(salts, sizes, allowed) if len(h)]
             if not found:
                 continue
             held.append(_counted(np.concatenate(found)))
@@ -192,10 +226,11 @@ def survivors(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
                 held = [_summed(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
                 if size > SEND // 2:
-                    yield _share(*held[0], parts)
-                    held, size = [], 0
+                    yield from _share(*held.pop(), parts)
+                    size = 0
         if size:
-            yield _share(*_summed(*map(np.concatenate, zip(*held))), parts)
+            held = [_summed(*map(np.concatenate, zip(*held)))]
+            yield from _share(*held.pop(), parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mass, summary = -1, 0, MisraGries(1)
@@ -214,7 +249,8 @@ def survivors(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
                     mass += more
                 else:
                     summary.capacity = mass // threshold + 1
-                    summary.add(np.frombuffer(hashes.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64))
+                    totals = _from_planes(counts.as_py()).view(np.int64)
+                    summary.add(_from_planes(hashes.as_py()), np.diff(totals, prepend=0))
         if now >= 0:
             yield found()
 
@@ -225,7 +261,7 @@ def survivors(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
 
 def bitmap(found: DataFrame) -> tuple[bytes, int]:
     """The hashes as a bitmap over their leading bits, and the number of those bits."""
-    bits = min(MOST_BITS, max(16, int(64 * found.count()).bit_length()))
+    bits = min(MOST_BITS, max(16, int(128 * found.count()).bit_length()))
     at = F.shiftrightunsigned("hash", 64 - bits) + 1
     rows = found.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out = bytearray(1 << bits - 3)
@@ -235,45 +271,99 @@ def bitmap(found: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
-def count_phrases(texts: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+def count_phrases(texts: DataFrame, words: tuple[bytes, int], phrases: tuple[bytes, int], threshold: int, parts: int) -> DataFrame:
     """Second pass: (group, size, phrase, n), exact counts of the sequences with ``threshold``
-    occurrences or more; size 0 has a group's words."""
-    filled, bits = bitmap(found)
-    shared = texts.sparkSession.sparkContext.broadcast(filled)
-    shift = np.uint64(64 - bits)
+    occurrences or more, by the bitmaps of single words and of phrases; size 0 has a group's
+    words."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, phrases))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
+        single, several = (Bitmap(*x) for x in shared.value)
         held: list[pa.Table] = []
         for words, codes, groups, salts in _texts(batches):
             names = pa.array(groups, pa.large_string())
             totals = np.bincount(codes[words.text], minlength=len(groups))
-            held.append(_rows(names, pa.array([""] * len(groups), pa.large_string()), totals, 0))
-            for n, at, hashes in words.grams(salts):
-                place = hashes >> shift
-                at = at[(seen[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            own = np.array([_salt(g) for g in groups], np.uint64)
+            held.append(_rows(own, names, pa.array([""] * len(groups), pa.large_string()), totals, 0))
+            for n, at, hashes in words.grams(salts, range(1, MOST_WORDS + 1), single):
+                if n > 1:
+                    stay = several.has(hashes)
+                    at, hashes = at[stay], hashes[stay]
                 coded = words.phrases(at, n).dictionary_encode()
-                pairs, times = np.unique(np.asarray(coded.indices).astype(np.int64) * len(groups) + codes[words.text[at]], return_counts=True)
-                held.append(_rows(names.take(pa.array(pairs % len(groups))), coded.dictionary.take(pa.array(pairs // len(groups))), times, n))
+                pairs, first, times = np.unique(np.asarray(coded.indices).astype(np.int64) * len(groups) + codes[words.text[at]], return_index=True, return_counts=True)
+                held.append(_rows(hashes[first], names.take(pa.array(pairs % len(groups))), coded.dictionary.take(pa.array(pairs // len(groups))), times, n))
             if sum(t.num_rows for t in held) > 2 * PHRASES:
                 held = [_together(held)]
                 if held[0].num_rows > PHRASES:
-                    yield from held[0].to_batches(max_chunksize=100_000)
-                    held = []
+                    yield from _dealt(held.pop(), parts)
+        if held:
+            yield from _dealt(_together(held), parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(_undealt(batch))
+            last = batch["p"][-1].as_py()
+            if sum(t.num_rows for t in held) > 2 * PHRASES:
+                held = [_together(held)]
+                done = pc.less(held[0]["p"], last)  # the last partition may go on in the next batch
+                yield from _frequent(held[0].filter(done), threshold)
+                held = [held[0].filter(pc.invert(done))]
         if held:
-            yield from _together(held).to_batches(max_chunksize=100_000)
+            yield from _frequent(_together(held), threshold)
 
-    partial = texts.mapInArrow(work, "group string, size int, phrase string, n long")
-    return partial.groupBy("group", "size", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= threshold) | (F.col("size") == 0))
+    dealt = texts.mapInArrow(work, "p int, group string, phrases binary, counts binary")
+    dealt = dealt.repartition(max(1, parts // 4), "p").sortWithinPartitions("p")
+    return dealt.mapInArrow(merge, "group string, size int, phrase string, n long")
 
 
-def _rows(group: pa.Array, phrase: pa.Array, n: np.ndarray, size: int) -> pa.Table:
-    return pa.table({"group": group, "size": pa.array(np.full(len(n), size, np.int32)), "phrase": phrase, "n": pa.array(n.astype(np.int64))})
+def _rows(hashes: np.ndarray, group: pa.Array, phrase: pa.Array, n: np.ndarray, size: int) -> pa.Table:
+    return pa.table({"p": hashes, "group": group, "size": pa.array(np.full(len(n), size, np.int32)), "phrase": phrase, "n": pa.array(n.astype(np.int64))})
 
 
 def _together(held: list[pa.Table]) -> pa.Table:
-    summed = pa.concat_tables(held).group_by(["group", "size", "phrase"]).aggregate([("n", "sum")])
-    return pa.table({"group": summed["group"].cast(pa.string()), "size": summed["size"], "phrase": summed["phrase"].cast(pa.string()), "n": summed["n_sum"]}).combine_chunks()
+    """Equal phrases summed up; ``p`` is their hash, later their partition."""
+    keys = ["p", "group", "size", "phrase"]
+    summed = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")])
+    return summed.rename_columns({"n_sum": "n"}).select([*keys, "n"]).combine_chunks()
+
+
+def _dealt(table: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each hash partition and group: its phrases in order, which makes them short
+    when compressed, and their counts."""
+    table = table.set_column(0, "p", pa.array(_part_of(np.asarray(table["p"]), parts)))
+    table = table.sort_by([("p", "ascending"), ("group", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    p, group = np.asarray(table["p"]), np.asarray(table["group"].combine_chunks().dictionary_encode().indices)
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (group[1:] != group[:-1])])
+    bounds = np.append(np.flatnonzero(new), len(p))
+    phrases, counts = table["phrase"].chunk(0).cast(pa.string()), np.asarray(table["n"])
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for a, b in slices(np.diff(bounds).tolist(), PIECE):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds[a : b + 1].astype(np.int32)), phrases), "\n")
+        cells = [_planes(np.cumsum(counts[bounds[i] : bounds[i + 1]])) for i in range(a, b)]
+        at = pa.array(bounds[a:b])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(p[bounds[a:b]]), table["group"].chunk(0).take(at).cast(pa.string()), pa.array([pack(x.as_buffer()) for x in joined], pa.binary()), pa.array(cells, pa.binary())],
+            names=["p", "group", "phrases", "counts"],
+        )
+
+
+def _undealt(batch: pa.RecordBatch) -> pa.Table:
+    """Phrases have single spaces and no line ends; the empty one is a group's total."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    counts = [np.diff(_from_planes(c.as_py()).view(np.int64), prepend=0) for c in batch["counts"]]
+    phrases = pc.split_pattern(pa.array([unpack(c.as_buffer()) for c in batch["phrases"]], pa.large_binary()).cast(pa.large_string()), "\n").flatten()
+    times = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in counts]))
+    size = pc.if_else(pc.equal(phrases, ""), 0, pc.add(pc.count_substring(phrases, " ").cast(pa.int32()), pa.scalar(1, pa.int32()))).cast(pa.int32())
+    return pa.table({"p": batch["p"].take(times), "group": batch["group"].cast(pa.large_string()).take(times), "size": size, "phrase": phrases, "n": pa.array(np.concatenate(counts))})
+
+
+def _frequent(table: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
+    stay = pc.or_(pc.greater_equal(table["n"], threshold), pc.equal(table["size"], 0))
+    kept = table.filter(stay).drop_columns(["p"])
+    return iter(kept.cast(pa.schema([("group", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=100_000))
 
 
 def _big(col: str) -> Column:
@@ -296,16 +386,18 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     A null group is ``no_group``; null and empty texts have no words; repeated rows count as
     often as they stand there. An empty table gives no rows. Other columns are not read.
 
-    Scale: two passes over the texts. What is shuffled in the first are hashes and counts summed
-    by task, in the second the phrases that passed a bitmap of at most 64 MB. Counters of a hash
+    Scale: texts are read three times, for words, phrases and exact counts. What is shuffled are
+    hashes and counts summed by task, at last the phrases that passed a bitmap of at most 64 MB.
+    Counters of a hash
     partition are bounded by its mass over the threshold; no group is ever in one task: the
     ranking takes the first rows of each share of a group before they meet.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit(no_group)).alias("group"), text_or_empty(text_col).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(survivors(texts, threshold, parts), "survivors")
-    counts = stored(count_phrases(texts, found, threshold), "phrases")
+    words = bitmap(stored(survivors(texts, threshold, parts, range(1, 2)), "frequent-words"))
+    phrases = bitmap(stored(survivors(texts, threshold, parts, range(2, MOST_WORDS + 1), words), "frequent-phrases"))
+    counts = stored(count_phrases(texts, words, phrases, threshold, parts), "phrases")
     return _ranked(_scored(counts, share), counts, group_col, most)
 
 

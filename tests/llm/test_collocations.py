@@ -66,19 +66,26 @@ def test_first_rows_of_a_group(spark, rows):
     assert run(spark, rows, threshold=2, most=5) == brute(rows, 2, most=5)
 
 
-def test_small_bounds_lose_nothing(spark, rows, monkeypatch):
+@pytest.mark.parametrize("phrases", [20, 150, 400])
+def test_small_bounds_lose_nothing(spark, rows, monkeypatch, phrases):
     """Summaries that are sent early and cut down often, and a full bitmap."""
     texts = spark.createDataFrame(rows, "group string, text string").select(F.coalesce("group", F.lit("und")).alias("group"), F.coalesce("text", F.lit("")).alias("text"))
     f, n = counted(rows)
     wanted = sorted((g, len(p), " ".join(p), a) for g, c in f.items() for p, a in c.items() if a >= 10)
-    for name, value in (("SLICE_BYTES", 2_000), ("SEND", 300), ("MERGE", 50), ("PHRASES", 20), ("MOST_BITS", 16)):
+    for name, value in (("SLICE_BYTES", 2_000), ("SEND", 300), ("PIECE", 40), ("MERGE", 50), ("PHRASES", phrases), ("MOST_BITS", 16)):
         monkeypatch.setattr(co, name, value)
-    found = co.survivors(texts, 10, 8)
-    got = co.count_phrases(texts, co.stored(found, "test"), 10)
+    words = co.bitmap(co.stored(co.survivors(texts, 10, 8, range(1, 2)), "test"))
+    several = co.bitmap(co.stored(co.survivors(texts, 10, 8, range(2, 5), words), "test"))
+    got = co.count_phrases(texts, words, several, 10, 8)
     assert sorted(tuple(r) for r in got.filter("size > 0").collect()) == wanted
     assert {r.group: r.n for r in got.filter("size = 0").collect() if r.n} == {g: c for g, c in n.items() if c}
 
 
+def test_planes_round_trip():
+    for a in ([], [0], [5, 5, 9], [1 << 63, (1 << 64) - 1]):
+        assert co._from_planes(co._planes(np.array(a, np.uint64))).tolist() == a
+
+
 def test_every_frequent_hash_keeps_a_counter(monkeypatch):
     monkeypatch.setattr(co, "MERGE", 100)
     rng = np.random.default_rng(3)
