@@ -10,7 +10,7 @@ from .collocations import collocations
 from .common import fold_of, table
 from .decontaminate import contained_items
 from .exact_dedup import exact_dedup, normalised
-from .license_scan import GAP, LOWER, PHRASES, TEMPLATES, UPPER, license_scan
+from .license_scan import GAP, LOWER, NOTICES, PHRASES, UPPER, license_scan
 from .near_dup import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
@@ -116,32 +116,40 @@ def _quoted(text: str) -> str:
 
 
 def _sql_license() -> str:
-    """Every block against every template, without filters."""
-    values = ", ".join(f"({_quoted(label)}, {_quoted(t)})" for label, t in TEMPLATES)
+    """Every window against every template, of documents that have enough of its words."""
+    values = ", ".join(f"({_quoted(label)}, {_quoted(t)}, [{', '.join(_quoted(f' {p} ') for p in telling)}]::VARCHAR[])" for label, t, telling in NOTICES)
     phrases = ", ".join(f"({_quoted(label)}, string_split({_quoted(p)}, ' '))" for p, label in PHRASES.items())
     words = lambda text: f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{GAP}'), lambda w: w <> '')"
     return f"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words("coalesce(text, '')")} AS words FROM documents),
-        tw AS (SELECT label, list_distinct({words("notice")}) AS tw FROM (VALUES {values}) v(label, notice)),
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS words FROM documents),
+        tw AS (
+            SELECT label, telling, list_distinct(nw) AS tw, greatest(1, (len(nw) + 1) // 2) AS step
+            FROM (SELECT label, telling, {words("notice")} AS nw FROM (VALUES {values}) v(label, notice, telling)) x),
         place AS (
-            SELECT doc_id, label, i - 1 AS start
-            FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d) x, (VALUES {phrases}) p(label, phrase)
+            SELECT r, label, i - 1 AS start
+            FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d) x, (VALUES {phrases}) p(label, phrase)
             WHERE words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase),
-        block AS (SELECT doc_id, list_distinct({words("line")}) AS bw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) x),
+        win AS (
+            SELECT r, label, telling, w, len(list_intersect(list_distinct(w), tw)) / len(tw) AS share
+            FROM (
+                SELECT r, label, telling, tw, words[start + 1 : start + 4 * step] AS w
+                FROM (
+                    SELECT r, words, label, telling, tw, step, unnest(range(0, len(words), step)) AS start
+                    FROM (SELECT r, words, list_distinct(words) AS own FROM d) o, tw WHERE len(list_intersect(own, tw)) >= 0.9 * len(tw) - 1e-9) x) y),
         hit AS (
-            SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share
-            FROM block, tw WHERE len(list_intersect(bw, tw)) >= 0.9 * len(tw) - 1e-9),
+            SELECT r, label, share FROM win
+            WHERE share >= 0.9 - 1e-9 AND len(list_filter(telling, lambda p: NOT contains(' ' || array_to_string(w, ' ') || ' ', p))) = 0),
         b AS (
-            SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
-            FROM place GROUP BY doc_id),
+            SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM place GROUP BY r),
         l AS (
-            SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-            FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) x GROUP BY doc_id),
-        s AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id)
+            SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+            FROM (SELECT r, label FROM place UNION SELECT r, label FROM hit) x GROUP BY r),
+        s AS (SELECT r, max(share) AS share FROM hit GROUP BY r)
         SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
                CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
-        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+        FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN s USING (r)
     """
 
 
