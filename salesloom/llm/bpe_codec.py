@@ -26,6 +26,15 @@ from .common import slices, text_or_empty
 SLICE_CHARS, MAX_WORDS = 2_000_000, 250_000
 
 
+def release(path: str) -> None:
+    """Drop what a task has learnt of words and pairs: workers are reused by other stages. The
+    vocabulary stays."""
+    vocab, known, _ = _worker(path)
+    known.clear()
+    vocab.beside.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encode_words(words: list[bytes], vocab: Vocabulary) -> Iterator[tuple[bytes, bytes]]:
     """(word, its ids as little-endian 32-bit integers), for distinct words in sorted order."""
     edges, token_at, inner, beside = vocab.edges, vocab.token_at, vocab.inner, vocab.beside
@@ -148,6 +157,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 packed = encode_texts(texts.slice(a, b - a).to_pylist(), tokenizer)
                 counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(counts), pa.array(packed, pa.binary())], names=[id_col, "n_tokens", "ids"])
+        release(tokenizer)
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     return rows.mapInArrow(work, f"`{id_col}` {id_type}, n_tokens long, ids binary")
@@ -189,6 +199,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     ],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        release(tokenizer)
 
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     return rows.mapInArrow(work, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,16 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import slices, stored, text_or_empty
 
 #: Rows that the classifier is fitted on, at most: the labelled rows smallest by a hash of
 #: their id. Everything else (scores) covers all rows.
 FIT_ROWS = 20_000
+#: Bytes of text that a task has as Python strings at once.
+SLICE_BYTES = 1_000_000
 
 #: The column of statistics.
 STATS = "_rule_statistics"
@@ -81,10 +84,13 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     """The columns ``keep`` of ``docs`` and a column ``STATS`` (array of double)."""
     keep = keep or []
 
-    @F.pandas_udf("array<double>")
-    def stats(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def stats(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield part.map(text_statistics)
+            rows = []
+            for a, b in slices(np.asarray(pc.binary_length(part)).tolist(), SLICE_BYTES):
+                rows += [text_statistics(t) for t in part.slice(a, b - a).to_pylist()]
+            yield pa.array(rows, pa.list_(pa.float64()))
 
     return docs.select(*keep, stats(text_or_empty(text_col)).alias(STATS))
 
@@ -153,32 +159,19 @@ def fit_rules(
     """Fit on all of ``rows`` (bounded by the caller). Without rows, or with one label only,
     the model has no rules and gives the share of label 1, pulled to one half by one row of
     each label."""
-    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label_col).cast("long")), F.lit(0))).first()
+    data = stored(rows.select(array_to_vector(F.col(stats_col)).alias("features"), F.col(stats_col).alias("stats"), F.col(label_col).cast("double").alias("label")), "fit-rows")
+    n, ones = data.agg(F.count(F.lit(1)), F.coalesce(F.sum("label").cast("long"), F.lit(0))).first()
     prior = (ones + 1) / (n + 2)
     base = RuleModel(math.log(prior / (1 - prior)), ())
     if ones in (0, n):
         return base
-    vector = F.udf(Vectors.dense, VectorUDT())
-    data = rows.select(vector(stats_col).alias("features"), F.col(label_col).cast("double").alias("label")).cache()
-    try:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=5, seed=seed, featureSubsetStrategy="0.4", subsamplingRate=0.7).fit(data)
-        found = sorted({_simplified(t) for tree in forest.trees for t in _paths(tree._call_java("rootNode"))})
-        if not found:
-            return base
-        indices = [[(i, above, bound) for i, above, bound in terms] for terms in found]
-
-        @F.udf(VectorUDT())
-        def fired(x):
-            return Vectors.sparse(
-                len(indices),
-                [(k, 1.0) for k, terms in enumerate(indices) if all((x[i] > bound) if above else (x[i] <= bound) for i, above, bound in terms)],
-            )
-
-        fit = LogisticRegression(elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=100).fit(
-            data.select(fired("features").alias("features"), "label").coalesce(4)
-        )
-    finally:
-        data.unpersist()
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=5, seed=seed, featureSubsetStrategy="0.4", subsamplingRate=0.7).fit(data)
+    found = sorted({_simplified(t) for tree in forest.trees for t in _paths(tree._call_java("rootNode"))})
+    if not found:
+        return base
+    fired = F.array(*(Rule(t).column(F.col("stats")).cast("double") for t in found))
+    hits = stored(data.select(array_to_vector(fired).alias("features"), "label"), "fit-rules")
+    fit = LogisticRegression(elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=100).fit(hits)
     weights = fit.coefficients.toArray()
     return RuleModel(float(fit.intercept), tuple(Rule(t, float(w)) for t, w in zip(found, weights) if abs(w) > 1e-6))
 
@@ -193,9 +186,10 @@ def fit_from_labels(
     fit_rows: int = FIT_ROWS,
 ) -> RuleModel:
     """Fit on the labelled rows where ``learn`` (over the id) holds: the ``fit_rows`` smallest
-    by a hash of the id, so the sample is bounded, spread over the table and repeatable.
+    by a hash of the id, so the sample is bounded, spread over the table and repeatable. The
+    bound is on rows: equal rows count once, and an id with many texts does not widen it.
     Labels without id or label are left out; of labels that disagree on an id the larger
-    counts. Only the sampled ids (at most ``fit_rows``) are sent to the executors."""
+    counts. Only sampled ids and text hashes (at most ``fit_rows``) are sent to the executors."""
     sample = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
         .dropna()
@@ -207,8 +201,13 @@ def fit_from_labels(
         .limit(fit_rows)
         .withColumnRenamed(id_col, "_id")
     )
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(sample), "_id")
-    return fit_rules(with_statistics(chosen, text_col, ["label"]))
+    text_hash = F.xxhash64(text_or_empty(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), text_hash.alias("_hash")).join(F.broadcast(sample), "_id")
+    rows = rows.dropDuplicates(["_id", "_hash"]).orderBy(F.xxhash64("_id"), "_id", "_hash").limit(fit_rows)
+    rows = stored(rows, "fit-sample")
+    chosen = docs.select(F.col(id_col).alias("_id"), text_hash.alias("_hash"), F.col(text_col)).join(F.broadcast(rows), ["_id", "_hash"])
+    chosen = chosen.groupBy("_id", "_hash", "label").agg(F.first(text_col).alias(text_col))
+    return fit_rules(with_statistics(chosen, text_col, ["label", "_id", "_hash"]).orderBy("_id", "_hash"))
 
 
 def rule_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
