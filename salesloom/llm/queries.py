@@ -9,7 +9,7 @@ from . import bpe_codec, lang_id, merkle, rule_quality, token_store, warc
 from .collocations import collocations
 from .common import fold_of, table
 from .decontaminate import contained_items
-from .exact_dedup import exact_dedup, normalised
+from .exact_dedup import exact_dedup
 from .license_scan import GAP, LOWER, NOTICES, PHRASES, UPPER, license_scan
 from .near_dup import near_duplicates
 from .substring_dedup import substring_dedup
@@ -56,8 +56,7 @@ def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(normalised().cast("binary"), 256).alias("text_sha256")
-    return exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
+    return exact_dedup(table(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +152,15 @@ def _sql_license() -> str:
     """
 
 
-def _sql_shingles(source: str, key: str) -> str:
-    """Distinct five-word shingles of a table, one in a row."""
-    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+def _sql_words(source: str, key: str) -> str:
+    return f"SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM {source}"
+
+
+def _sql_shingles(key: str, sizes: str) -> str:
+    """Distinct shingles, one in a row, of ``w`` words each, from (key, words, w)."""
     return f"""
-        SELECT DISTINCT {key}, array_to_string(words[i : i + 4], ' ') AS shingle
-        FROM (SELECT {key}, words, unnest(range(1, len(words) - 3)) AS i FROM (SELECT {key}, {words} AS words FROM {source}) x) y
+        SELECT DISTINCT {key}, w, array_to_string(words[i : i + w - 1], ' ') AS shingle
+        FROM (SELECT {key}, words, w, unnest(range(1, len(words) - w + 2)) AS i FROM ({sizes}) x) y
     """
 
 
@@ -207,10 +209,12 @@ def _sql_merkle(levels: int = 6) -> str:
 
 ORACLES = {
     "op4_decontaminate": f"""
-        WITH item AS ({_sql_shingles("benchmark", "item_id")}), doc AS ({_sql_shingles("documents", "doc_id")}),
+        WITH iw AS ({_sql_words("benchmark", "item_id")}), dw AS ({_sql_words("documents", "doc_id")}),
+        item AS ({_sql_shingles("item_id", "SELECT item_id, words, least(5, len(words)) AS w FROM iw WHERE len(words) > 0")}),
+        doc AS ({_sql_shingles("doc_id", "SELECT doc_id, words, w FROM dw, (SELECT DISTINCT w FROM item) s")}),
         size AS (SELECT item_id, count(*) AS item_shingles FROM item GROUP BY item_id)
         SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
-        FROM doc JOIN item USING (shingle) JOIN size USING (item_id)
+        FROM doc JOIN item USING (w, shingle) JOIN size USING (item_id)
         GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles
     """,
     "op6_exact_dedup": r"""

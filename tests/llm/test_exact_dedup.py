@@ -79,3 +79,19 @@ def test_no_python_in_the_plan(spark):
     df = ed.exact_dedup(spark.createDataFrame([(1, "a", "", "", "")], SCHEMA))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_level_prunes_and_a_digest_changes_nothing(spark):
+    import hashlib
+
+    pre = "p" * 60
+    rows = [(1, pre + "a", None, None, None), (2, pre + "a ", None, None, None), (3, pre + "b", None, None, None), (4, "q" * 61, None, None, None), (5, pre + "abc", None, None, None), (6, "", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    base = docs.select(F.length(ed.normalised()).cast("long").alias("_len"), F.xxhash64(F.substring(ed.normalised(), 1, 48)).alias("_pre"))
+    lengths = ed.repeated_lengths(base)
+    assert [r[0] for r in lengths.collect()] == [61]  # of the lengths 61, 63 and 0
+    assert ed.repeated_prefixes(base, lengths).count() == 1  # the row of q goes no further
+    got = ed.exact_dedup(docs, digest="sum")
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "sum"]
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == brute(rows)
+    assert {r.doc_id: r["sum"] for r in got.collect()} == {i: hashlib.sha256(normalised(t).encode()).hexdigest() for i, t, *_ in rows}
