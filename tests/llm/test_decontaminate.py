@@ -14,17 +14,22 @@ DOCS = "doc_id long, text string, item_id string, _hashes string, containment st
 ITEMS = "item_id long, text string, doc_id string"
 
 
-def shingles(text):
-    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
-    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
+def shingles(ws, n):
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if n else set()
 
 
 def brute(docs, items, threshold="0.8"):
     best = {}
     for d, t, *_ in docs:
-        have = shingles(t)
+        have_words = words(t)
+        have_of = {n: shingles(have_words, n) for n in range(6)}
         for i, q, *_ in items:
-            want = shingles(q)
+            n = min(5, len(words(q)))
+            have, want = have_of[n], shingles(words(q), n)
             if want and len(have & want) >= Fraction(threshold) * len(want):
                 key = (d, i)
                 best[key] = max(best.get(key, (0,)), (len(have & want) / len(want), len(want), len(have & want)))
@@ -63,7 +68,7 @@ def test_finds_what_all_pairs_find(spark, planted):
 
 def test_joins_without_broadcast_give_the_same(spark, planted, monkeypatch):
     docs, items = planted
-    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(dc, "maybe_broadcast", lambda df, n: common.maybe_broadcast(df, n, 0))
     assert run(spark, docs, items) == brute(docs, items)
 
@@ -75,6 +80,20 @@ def test_nulls_short_texts_repeats_and_clashing_names(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_items_of_one_to_four_words(spark):
+    items = [(1, "Alpha", ""), (2, "beta  gamma", ""), (3, "a b c d", ""), (4, "one two three four five", ""), (5, "zeta eta theta", ""), (6, "Alpha", ""), (7, " ", "")]
+    docs = [(1, "alpha", "", "", ""), (2, "x BETA\ngamma y", "", "", ""), (3, "gamma beta", "", "", ""), (4, "a b c d e", "", "", ""), (5, "a b c x d", "", "", ""), (6, "zeta eta", "", "", ""), (7, "w " * 30_000 + "alpha one two three four five", "", "", ""), (8, "alphabet", "", "", "")]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and {(d, i) for d, i, *_ in got} == {(1, 1), (1, 6), (2, 2), (4, 3), (7, 1), (7, 6), (7, 4)}
+
+
+def test_rows_of_one_id_are_verified_one_by_one(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None if k % 2 else 5, f"w{k} " * 20, "", "", "") for k in range(40)] + [(5, f"x {item} y", "", "", ""), (None, item, "", "", "")]
+    items = [(1, item, ""), (2, "nothing of the kind is in any of them", "")]
+    assert run(spark, docs, items) == brute(docs, items) and len(brute(docs, items)) == 2
+
+
 def test_empty_tables(spark, planted):
     docs, items = planted
     assert run(spark, [], items) == [] and run(spark, docs, []) == []
