@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions.dates import date_value, month_key
 from ..functions.ordering import ascending
-from .joins import salted_join
+from .joins import key_filter, salted_join
 from .versions import require_unique
 
 SNAPSHOT_MODES = ("paired", "global_latest")
+JOIN_ORDERS = ("fixed", "size")
 
 
 def monthly_sales(
@@ -32,6 +33,8 @@ def monthly_sales(
     months: tuple[str, str] | None = None,
     check_keys: bool = False,
     newest=None,
+    join_order: str = "fixed",
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """Invoiced quantity and net amount per billing month.
 
@@ -60,10 +63,17 @@ def monthly_sales(
 
     With ``groups`` the chosen products are joined before the header, so that
     only lines of those groups are shuffled by document; without, the header
-    (which drops lines too) comes first.
+    (which drops lines too) comes first. ``join_order="size"`` counts both
+    dimensions, whole and as filtered (eager: four counts), and joins the one
+    first that keeps the smaller share of its rows: the lines that are left
+    are what the second join shuffles. ``filter_bits`` filters the lines by
+    the keys of both where they are scanned (``joins.key_filter``): what is
+    left of them is all that either join shuffles, in any order.
     The product side is joined by key; AQE broadcasts it only when its
     run-time size is under the broadcast threshold.
     """
+    if join_order not in JOIN_ORDERS:
+        raise ValueError(f"join_order must be one of {JOIN_ORDERS}, not {join_order!r}")
     if snapshot not in SNAPSHOT_MODES:
         raise ValueError(f"snapshot must be one of {SNAPSHOT_MODES}, not {snapshot!r}")
     if snapshot == "global_latest":
@@ -72,6 +82,7 @@ def monthly_sales(
     lines = lines.filter(F.col("NETWR") > min_net).select(
         "VBELN", "FILE_DATE", "MATNR", "FKIMG", "NETWR"
     )
+    whole = headers, products
     if exclude_types is not None:
         headers = headers.filter(~F.col("FKART").isin(list(exclude_types)))
     if currency is not None:
@@ -89,8 +100,16 @@ def monthly_sales(
     products = products.select("MATNR", group_col)
 
     steps = [(headers, ["VBELN", "FILE_DATE"]), (products, ["MATNR"])]
+    if join_order == "size":
+        kept = [dim.count() / max(1, all_rows.count()) for (dim, _), all_rows in zip(steps, whole)]
+        products_first = kept[1] < kept[0]
+    else:
+        products_first = groups is not None
     joined = lines
-    for dim, on in steps if groups is None else reversed(steps):
+    if filter_bits is not None:
+        for dim, on in steps:
+            joined = key_filter(joined, dim.select(*on), on, filter_bits)
+    for dim, on in reversed(steps) if products_first else steps:
         joined = salted_join(joined, dim, on, "inner", salts)
     keys = [group_col, "YEARMONTH"] if by_group else ["YEARMONTH"]
     return (

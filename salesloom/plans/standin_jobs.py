@@ -527,7 +527,7 @@ def _sql_monthly(groups, by_group: bool, newest: bool) -> str:
 SELECT {group}{SQL_MONTH}, {SQL_SUMS} {SQL_FACTS} AND ({chosen}) {SQL_NEWEST_LOAD if newest else ""} GROUP BY ALL"""
 
 
-def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN, salts=None) -> DataFrame:
+def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_GRAIN, **how) -> DataFrame:
     return sales.monthly_sales(
         standins.invoice_lines(_t(spark, sf_dir, "lineitem"), grain),
         standins.invoice_headers(_t(spark, sf_dir, "orders"), grain),
@@ -539,10 +539,22 @@ def _monthly(spark, sf_dir, by_group, groups, snapshot, min_net=0, grain=SALES_G
         currency=SALES_CURRENCY,
         since=SALES_SINCE,
         min_net=min_net,
-        salts=salts,
+        **how,
     )
 
 
+@register("k10_monthly_sales_by_size", oracle=_sql_monthly(SALES_GROUPS, True, False))
+def k10_monthly_sales_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 with the join order taken from counted dimensions."""
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", join_order="size")
+
+
+@register("k10_monthly_sales_reduced", oracle=_sql_monthly(SALES_GROUPS, True, False))
+def k10_monthly_sales_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 with the lines filtered by the keys of both dimensions before the joins."""
+    return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired", filter_bits=22)
+
+
 @register("k10_monthly_sales_paired", oracle=_sql_monthly(SALES_GROUPS, True, False))
 def k10_monthly_sales_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir, True, SALES_GROUPS, "paired")

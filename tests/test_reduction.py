@@ -110,3 +110,31 @@ def test_stored_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         stored.shared_folder(Cluster)
+
+
+def test_sales_by_any_order_are_the_same(spark):
+    jobs = registry.jobs()
+    plain = sorted(map(tuple, jobs["k10_monthly_sales_paired"](spark, SF).collect()))
+    for name in ("k10_monthly_sales_by_size", "k10_monthly_sales_reduced"):
+        assert sorted(map(tuple, jobs[name](spark, SF).collect())) == plain and plain
+
+
+def test_the_dimension_that_keeps_less_is_joined_first(spark):
+    from salesloom.operators import sales
+
+    lines = spark.createDataFrame([("D1", d("2026-01-01"), "M1", qty(1), money(5))], "VBELN string, FILE_DATE date, MATNR string, FKIMG decimal(18,3), NETWR decimal(18,2)")
+    products = spark.createDataFrame([(f"M{i}", "G1" if i < 8 else "G2") for i in range(10)], "MATNR string, MATKL string")
+    heads = lambda kept: spark.createDataFrame([(f"D{i}", d("2026-01-01"), "F2", "USD" if i < kept else "EUR", d("2026-01-01")) for i in range(10)], "VBELN string, FILE_DATE date, FKART string, WAERK string, FKDAT date")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kept, first in ((9, "MATNR"), (2, "VBELN")):
+            df = sales.monthly_sales(lines, heads(kept), products, groups=["G1"], currency="USD", join_order="size")
+            assert [(r.YEARMONTH, r.QTY) for r in df.collect()] == [("2026-01", 1)]
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            joins = re.findall(r"Join Inner, \(?\(?(\w+)#", plan)
+            assert joins[-1] == first, plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    with pytest.raises(ValueError):
+        sales.monthly_sales(lines, heads(1), products, join_order="best")
