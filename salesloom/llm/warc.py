@@ -15,10 +15,12 @@ makes the same records.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -44,13 +46,20 @@ BLOCK_TAGS = (
 ).split()
 HIDDEN_TAGS = "script style noscript template svg head".split()
 
+# Possessive runs that end at the next angle bracket: a tag that is left open is passed over
+# once, however many follow it.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?/]?([a-zA-Z][a-zA-Z0-9]*)?[^<>]*>",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN_TAGS) + r")\b[^<>]*+>.*?(?:</\1\s*+>|\Z)|<[!?/]?([a-zA-Z][a-zA-Z0-9]*+)?[^<>]*+>",
     re.S | re.I,
 )
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*+>", re.I), re.compile(r"</title\s*+>", re.I)
+_ANCHOR, _HTML = re.compile(r"<a\b([^<>]*+)", re.I), re.compile(r"<html\b([^<>]*+)", re.I)
+_HREF = re.compile(r"\shref\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))", re.I)
+_LANG = re.compile(r"\slang\s*+=\s*+[\"']?([A-Za-z0-9-]+)", re.I)
+_CHARSET = re.compile(r"charset\s*+=\s*+[\"']?\s*+([A-Za-z0-9_.:-]+)", re.I)
+_META_CHARSET = re.compile(rb"<meta\b[^<>]*?charset\s*+=\s*+[\"']?\s*+([A-Za-z0-9_.:-]+)", re.I)
+#: Bytes at the front of a page that may name its encoding.
+_META_BYTES = 1024
 _BLOCK = frozenset(BLOCK_TAGS)
 
 
@@ -107,6 +116,75 @@ def split_http(block: bytes) -> tuple[str, Headers, bytes]:
     return status, [(n.strip(), v.strip()) for n, v in pairs], payload if gap else b""
 
 
+def value_of(headers: Headers, name: str, default: str = "") -> str:
+    """The first value of a header, whatever the case of its name."""
+    return next((v for n, v in headers if n.lower() == name.lower()), default)
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """A chunked body put together; of a broken one, as far as it goes."""
+    out, at = [], 0
+    while (end := payload.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(payload[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) or payload
+        if size <= 0:
+            break
+        out.append(payload[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def _inflated(payload: bytes, kind: int) -> bytes:
+    """What a compressed body holds; of a broken one, as far as it goes; the body itself if it
+    is not compressed at all."""
+    unpack, out = zlib.decompressobj(kind), []
+    try:
+        for i in range(0, len(payload), 1 << 16):
+            out.append(unpack.decompress(payload[i : i + (1 << 16)]))
+        out.append(unpack.flush())
+    except zlib.error:
+        return b"".join(out) or payload
+    return b"".join(out)
+
+
+def markup_of(http: Headers, payload: bytes) -> str:
+    """The page's text: the body without its transfer and content encodings (chunked, gzip,
+    deflate), decoded as a byte-order mark, the Content-Type or a ``meta`` tag says, else as
+    UTF-8. An unknown encoding counts as UTF-8; bytes that do not fit become U+FFFD."""
+    if "chunked" in value_of(http, "Transfer-Encoding").lower():
+        payload = _unchunked(payload)
+    packed = value_of(http, "Content-Encoding").lower()
+    if "gzip" in packed:
+        payload = _inflated(payload, 31)
+    elif "deflate" in packed:
+        payload = _inflated(payload, 15 if payload[:1] == b"\x78" else -15)
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
+    named = _CHARSET.search(value_of(http, "Content-Type"))
+    meta = None if named else _META_CHARSET.search(payload[:_META_BYTES])
+    name = named[1] if named else meta[1].decode("ascii") if meta else "utf-8"
+    try:
+        return payload.decode(codecs.lookup(name).name, "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
+def title_of(markup: str) -> str | None:
+    begin = _TITLE.search(markup)
+    end = begin and _TITLE_END.search(markup, begin.end())
+    return html.unescape(markup[begin.end() : end.start()]) if end else None
+
+
+def links_of(markup: str) -> Iterator[str]:
+    """The targets of links, in order."""
+    for tag in _ANCHOR.finditer(markup):
+        if m := _HREF.search(tag[1]):
+            yield html.unescape(next(x for x in m.groups() if x is not None))
+
+
 def response_of(key: str, url: str | None, payload: bytes, date: str) -> tuple[Headers, bytes]:
     """A response record for a stored page."""
     head = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""])
@@ -126,18 +204,18 @@ def response_of(key: str, url: str | None, payload: bytes, date: str) -> tuple[H
 
 
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
-    """The metadata and the conversion record of a response."""
-    source = dict(headers)
-    own_id = source.get("WARC-Record-ID", "")
+    """The metadata and the conversion record of a response. Header names match in any case;
+    every WARC header of the response, repeated ones too, is a ``source-`` field of the metadata."""
+    own_id = value_of(headers, "WARC-Record-ID")
     status, http, payload = split_http(block)
-    markup = payload.decode("utf-8", "replace")
+    markup = markup_of(http, payload)
     text = plain_text(markup).encode("utf-8", "replace")
-    shared = [(n, source[n]) for n in ("WARC-Target-URI", "WARC-Date") if n in source]
+    shared = [(n, value_of(headers, n)) for n in ("WARC-Target-URI", "WARC-Date") if any(h.lower() == n.lower() for h, _ in headers)]
 
     def record(kind: str, content_type: str, body: bytes) -> tuple[Headers, bytes]:
         return [
             ("WARC-Type", kind),
-            ("WARC-Record-ID", record_id(kind, own_id, source.get("WARC-Block-Digest", ""))),
+            ("WARC-Record-ID", record_id(kind, own_id, value_of(headers, "WARC-Block-Digest"))),
             ("WARC-Refers-To", own_id),
             *shared,
             ("WARC-Block-Digest", digest(body)),
@@ -146,17 +224,18 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         ], body
 
     conversion = record("conversion", "text/plain; charset=utf-8", text)
-    title, lang = _TITLE.search(markup), _LANG.search(markup)
-    base = source.get("WARC-Target-URI", "")
-    fields: Headers = [("conversion-id", dict(conversion[0])["WARC-Record-ID"])]
-    fields += [(f"source-{n.lower()}", source[n]) for n in ("WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length") if n in source]
+    title, page = title_of(markup), _HTML.search(markup)
+    lang = page and _LANG.search(page[1])
+    base = value_of(headers, "WARC-Target-URI")
+    fields: Headers = [("conversion-id", value_of(conversion[0], "WARC-Record-ID"))]
+    fields += [(f"source-{one_line(n).lower()}", v) for n, v in headers]
     fields += [("http-status", status)] if status else []
     fields += [(f"http-header-{n.lower()}", v) for n, v in http]
-    fields += [("title", html.unescape(title[1]))] if title else []
+    fields += [("title", title)] if title is not None else []
     fields += [("language", lang[1])] if lang else []
     seen: dict[str, None] = {}
-    for m in _LINK.finditer(markup):
-        seen.setdefault(_absolute(base, html.unescape(m[1] or m[2] or m[3] or "")))
+    for link in links_of(markup):
+        seen.setdefault(_absolute(base, link))
     fields += [("outlink", x) for x in seen if x]
     body = "".join(f"{n}: {one_line(v)}{CRLF}" for n, v in fields).encode("utf-8", "replace")
     return [record("metadata", "application/warc-fields", body), conversion]
@@ -219,7 +298,7 @@ def derivatives(records: DataFrame, id_col: str = "page_id") -> DataFrame:
                 out = []
                 for key, listed, block in zip(keys, heads, blocks):
                     headers = [(h["name"], h["value"]) for h in listed or [] if h and h["name"] and h["value"] is not None]
-                    if dict(headers).get("WARC-Type", "response") == "response":
+                    if value_of(headers, "WARC-Type", "response").lower() == "response":
                         out += [(key, h, x) for h, x in derive(headers, block or b"")]
                 names = [dict(h) for _, h, _ in out]
                 yield pa.RecordBatch.from_arrays(

@@ -76,3 +76,60 @@ def test_other_records_and_broken_rows(spark):
 def test_empty_tables(spark):
     records = warc.responses(spark.createDataFrame([], SCHEMA))
     assert records.count() == 0 and warc.derivatives(records).count() == 0
+
+
+def fields_of(headers, block):
+    (_, body), (_, text) = warc.derive(headers, block)
+    return [tuple(x.split(": ", 1)) for x in body.decode().splitlines()], text.decode()
+
+
+def test_every_source_header_is_kept():
+    source = [
+        ("WARC-Type", "response"), ("warc-record-id", "<urn:uuid:1>"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>"),
+        ("WARC-Truncated", "length"), ("warc-target-uri", "http://e.org/"), ("WARC-Date", "2020-01-01T00:00:00Z"),
+    ]
+    (mh, body), (ch, _) = warc.derive(source, b"<p>x")
+    for h in (dict(mh), dict(ch)):
+        assert h["WARC-Refers-To"] == "<urn:uuid:1>" and h["WARC-Target-URI"] == "http://e.org/"
+    fields = [tuple(x.split(": ", 1)) for x in body.decode().splitlines()]
+    assert [(n, v) for n, v in fields if n.startswith("source-")] == [(f"source-{n.lower()}", v) for n, v in source]
+
+
+def test_charsets_and_encodings():
+    import gzip
+    import zlib
+
+    page = "<html><title>Çà</title><p>naïve façade</p>"
+    http = lambda body, *more: b"HTTP/1.1 200 OK\r\n" + b"".join(f"{m}\r\n".encode() for m in more) + b"\r\n" + body
+    chunk = lambda b, n: b"".join(f"{len(b[i : i + n]):x};x=y\r\n".encode() + b[i : i + n] + b"\r\n" for i in range(0, len(b), n)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        http(page.encode("latin-1"), "content-type: text/html; Charset=\"ISO-8859-1\""),
+        http(page.encode("cp1252").replace(b"<html>", b"<html><meta charset='windows-1252'>")),
+        http(page.encode("utf-16"), "Content-Type: text/html"),
+        http(b"\xef\xbb\xbf" + page.encode(), "Content-Type: text/html; charset=latin-1"),
+        http(gzip.compress(page.encode()), "Content-Encoding: gzip"),
+        http(zlib.compress(page.encode()), "Content-Encoding: deflate"),
+        http(raw.compress(page.encode()) + raw.flush(), "Content-Encoding: deflate"),
+        http(chunk(page.encode(), 7), "Transfer-Encoding: chunked"),
+        http(chunk(gzip.compress(page.encode()), 9), "Transfer-Encoding: chunked", "Content-Encoding: gzip"),
+        http(page.encode(), "Content-Encoding: gzip", "Content-Type: text/html; charset=no-such"),
+    ]
+    for block in cases:
+        fields, text = fields_of([], block)
+        assert text == "Çà\nnaïve façade" and ("title", "Çà") in fields, block
+    broken = gzip.compress(("x " * 200_000).encode())[:-20]
+    assert fields_of([], http(broken, "Content-Encoding: gzip"))[1].startswith("x x x")
+    assert fields_of([], http(b"zz\r\nplain", "Transfer-Encoding: chunked"))[1] == "zz\nplain"
+
+
+def test_open_tags_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    for mark in ("<a ", "<a href=", "<a href='", "<title>", "<title ", "<html ", "<script ", "<script>", "<!--", "<", "</script ", "<a href=\"x\" "):
+        fields, _ = fields_of([], (mark * (1_000_000 // len(mark))).encode())
+        assert fields[0][0] == "conversion-id"
+    for page in ("<" + "a" * 1_000_000, "<meta " * 200_000, "&" * 1_000_000, "<a href=" + " " * 1_000_000):
+        fields_of([], page.encode())
+    assert time.process_time() - begin < 60
