@@ -24,7 +24,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not a
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
     assert [n for n, _ in cp.STAGES] and cp.ORACLE_SQL is None and len(cp.STAGES) == 5
