@@ -10,8 +10,10 @@ bounded size, as lazy automata do.
 A text is cut into chunks of equal byte length. What a chunk does to an incoming state is a
 small *state map*: a head (the bytes up to the first word start, which depend on the incoming
 state), and behind it a fixed count and exit state, because the transducer starts anew at
-every word start. The maps compose associatively; a parallel prefix scan (doubling) over the
-chunks of a text gives the count at every chunk's end, the last one being the text's.
+every word start. The maps compose associatively: a parallel prefix scan gives the count at
+every chunk's end, and its up-sweep alone, a tree of compositions of neighbours, the count of the
+whole text. A head is kept as its chunks, not joined, and read once in the tree, so a text
+without a word start takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -87,16 +89,23 @@ class Transducer:
 
 @dataclass(frozen=True)
 class StateMap:
-    """What a stretch of text does to the state: ``head`` is read from the incoming state;
-    if the stretch has a word start, ``count`` more tokens follow and ``exit`` is the state
-    at its end, whatever came in."""
+    """What a stretch of text does to the state: ``head`` (its parts in order) is read from the
+    incoming state; if the stretch has a word start, ``count`` more tokens follow and ``exit`` is
+    the state at its end, whatever came in."""
 
-    head: bytes
+    head: tuple[bytes, ...]
     count: int = 0
     exit: State | None = None
 
+    def __post_init__(self):
+        if isinstance(self.head, bytes):
+            object.__setattr__(self, "head", (self.head,) if self.head else ())
+
     def apply(self, transducer: Transducer, state: State) -> tuple[State, int]:
-        state, total = transducer.run(state, self.head)
+        total = 0
+        for part in self.head:
+            state, emitted = transducer.run(state, part)
+            total += emitted
         return (state if self.exit is None else self.exit), total + self.count
 
     def then(self, after: StateMap, transducer: Transducer) -> StateMap:
@@ -116,6 +125,14 @@ def prefix_scan(maps: list[StateMap], transducer: Transducer) -> list[StateMap]:
     return maps
 
 
+def composed(maps: list[StateMap], transducer: Transducer) -> StateMap:
+    """``maps[0] then ... then maps[-1]``: the scan's up-sweep, neighbours first."""
+    while len(maps) > 1:
+        pairs = [a.then(b, transducer) for a, b in zip(maps[::2], maps[1::2])]
+        maps = pairs + maps[len(maps) & ~1 :]
+    return maps[0]
+
+
 @lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[Transducer, dict[bytes, int]]:
     return Transducer(vocabulary(path)), {}
@@ -154,7 +171,7 @@ def _count_plain(texts: list[str], path: str, chunk_bytes: int) -> list[tuple[in
             whole = sum(map(of_word, [data[x:y] for x, y in zip(at[a : b - 1], at[a + 1 : b])]))
             state, tail = transducer.run(start, data[at[b - 1] : stop]) if at[b] > stop else (start, of_word(data[at[b - 1] : stop]))
             maps.append(StateMap(head, whole + tail, state))
-        tokens = prefix_scan(maps, transducer)[-1].apply(transducer, start)[1] if maps else 0
+        tokens = composed(maps, transducer).apply(transducer, start)[1] if maps else 0
         out.append((end - begin, tokens))
     return out
 

@@ -115,3 +115,21 @@ def test_empty_table(spark):
     assert token_count.token_counts(docs, PATH).count() == 0
     assert bpe_codec.decode(bpe_codec.encode(docs, PATH), PATH).count() == 0
     assert bpe_codec.round_trip(docs, PATH).count() == 0
+
+
+def test_one_word_of_ten_megabytes_is_counted_in_linear_time(library):
+    import time
+
+    small = ["ab" * 40_000 + " c", "x" + "é" * 30_000, "a " + "b" * 70_000]
+    assert token_count.count_texts(small, PATH, 64) == [(len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for t in small]
+    begin = time.process_time()
+    ((size, tokens),) = token_count.count_texts(["a" * 10_000_000], PATH, 16_384)
+    assert size == 10_000_000 and 0 < tokens < size and time.process_time() - begin < 60
+
+
+def test_the_tree_gives_the_end_of_the_scan():
+    machine = token_count.Transducer(token_count.vocabulary(PATH))
+    maps = [token_count.StateMap(b) for b in (b"th", b"er", b"e", b"", b"fore", b"in", b"g")]
+    maps.insert(3, token_count.StateMap(b"x", 2, machine.run(machine.start, b" wor")[0]))
+    for n in range(1, len(maps) + 1):
+        assert token_count.composed(maps[:n], machine) == token_count.prefix_scan(maps[:n], machine)[-1]
