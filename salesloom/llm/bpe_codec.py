@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import ROOT, Vocabulary, split_words, vocabulary
-from .common import slices, text_or_empty
+from .common import give_back, slices, text_batches, text_or_empty
 
 #: Characters worked on at once in a task, and the words a Python worker keeps.
 SLICE_CHARS, MAX_WORDS = 2_000_000, 250_000
@@ -32,7 +32,7 @@ def release(path: str) -> None:
     vocab, known, _ = _worker(path)
     known.clear()
     vocab.beside.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def encode_words(words: list[bytes], vocab: Vocabulary) -> Iterator[tuple[bytes, bytes]]:
@@ -159,6 +159,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(counts), pa.array(packed, pa.binary())], names=[id_col, "n_tokens", "ids"])
         release(tokenizer)
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     return rows.mapInArrow(work, f"`{id_col}` {id_type}, n_tokens long, ids binary")
 
@@ -201,5 +202,6 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 )
         release(tokenizer)
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
     return rows.mapInArrow(work, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The six characters of ``[\x20\x09-\x0D]``.
@@ -69,3 +72,24 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
+
+
+#: Most bytes of an Arrow batch of whole texts that goes to a Python worker.
+TEXT_BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to ``TEXT_BATCH_BYTES`` if its bound is larger (64 MB
+    by default, held by the JVM and by each worker). Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(ValueError):  # a bound with another unit is the user's own
+        if int(spark.conf.get(name, "0").removesuffix("b")) > TEXT_BATCH_BYTES:
+            spark.conf.set(name, str(TEXT_BATCH_BYTES))
+
+
+def give_back() -> None:
+    """What a task has freed goes back to the system: its worker stays and is used by stages
+    with other needs, next to workers of theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import maybe_broadcast, slices, stored, text_or_empty
+from .common import give_back, maybe_broadcast, slices, stored, text_batches, text_or_empty
 from .components import components
 from .word_hash import mix, sequence_hashes, word_hashes
 
@@ -145,6 +145,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple
         for a, b in slices(np.asarray(pc.binary_length(batch.column(text))).tolist(), SLICE_BYTES):
             part = batch.slice(a, b - a)
             yield part, shingles(_raw(part.column(text)))
+    give_back()
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that Spark can split. Sampling misses a pair at the threshold with a chance of about 0.002
     (less above it); apart from that no pair of a bucket is skipped.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(rows.select("text")))
     signed = stored(rows.mapInArrow(_signature_rows(heavy), "doc long, key1 long, key2 long, n int, bands array<long>"), "signatures")

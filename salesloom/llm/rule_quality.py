@@ -19,7 +19,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import give_back, slices, stored, text_batches, text_or_empty
 
 #: Rows that the classifier is fitted on, at most: the labelled rows smallest by a hash of
 #: their id. Everything else (scores) covers all rows.
@@ -91,7 +91,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
             for a, b in slices(np.asarray(pc.binary_length(part)).tolist(), SLICE_BYTES):
                 rows += [text_statistics(t) for t in part.slice(a, b - a).to_pylist()]
             yield pa.array(rows, pa.list_(pa.float64()))
+        give_back()
 
+    text_batches(docs.sparkSession)
     return docs.select(*keep, stats(text_or_empty(text_col)).alias(STATS))
 
 
