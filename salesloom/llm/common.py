@@ -83,7 +83,7 @@ def text_batches(spark: SparkSession) -> None:
     by default, held by the JVM and by each worker). Results do not depend on it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     with contextlib.suppress(ValueError):  # a bound with another unit is the user's own
-        if int(spark.conf.get(name, "0").removesuffix("b")) > TEXT_BATCH_BYTES:
+        if int(spark.conf.get(name).removesuffix("b")) > TEXT_BATCH_BYTES:
             spark.conf.set(name, str(TEXT_BATCH_BYTES))
 
 
