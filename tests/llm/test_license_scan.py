@@ -79,6 +79,16 @@ def test_prefixes_hold_the_rarest_words(spark):
     assert t.needed == 4 and t.prefix == ("released", "under")
 
 
+def test_the_order_is_counted_over_all_rows(spark, monkeypatch):
+    # in the first 1,000 rows "the" is the only word of the template, in all rows it is the rarest
+    rows = [(i, "the" if i < 1_000 else "mit license released", None, None, None) for i in range(3_000)]
+    seen = []
+    join = ls._join
+    monkeypatch.setattr(ls, "_join", lambda *args: seen.append(args[-1]) or join(*args))
+    ls.license_scan(spark.createDataFrame(rows, SCHEMA).coalesce(1), templates=[("mit", "Released the MIT license")], windows=True)
+    assert seen == [["the", "license", "mit", "released"]]
+
+
 def test_no_python_in_the_plan(spark):
     plan = ls.license_scan(spark.createDataFrame([(1, "a", "", "", "")], SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
