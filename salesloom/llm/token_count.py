@@ -32,6 +32,8 @@ from .common import slices, text_or_empty
 
 #: Characters worked on at once in a task, and bounds of the tables kept by a Python worker.
 SLICE_CHARS, MAX_STATES, MAX_WORDS = 2_000_000, 100_000, 300_000
+#: Bytes of a word up to which it is counted for itself, whatever chunks it lies in, and kept.
+LONG_WORD = 64
 
 
 class State:
@@ -57,15 +59,17 @@ class Transducer:
 
     def _compile(self, state: State, byte: int) -> tuple[State, int]:
         v = self.vocab
+        edges, token_at, inner, beside = v.edges.get, v.token_at, v.inner, v.beside.get
         grown, last, count = [], -1, 0
         for node, before, tokens in state.items:
-            child = v.edges.get(node << 8 | byte)
+            child = edges(node << 8 | byte)
             if child is None:
                 continue
-            token = v.token_at[child]
-            if token >= 0 and last < 0 and (before < 0 or v.side_by_side(before, token)):
-                last, count = token, tokens + 1
-            if v.inner[child]:
+            if last < 0 and (token := token_at[child]) >= 0:
+                fits = True if before < 0 else beside(before << 20 | token)
+                if v.side_by_side(before, token) if fits is None else fits:
+                    last, count = token, tokens + 1
+            if inner[child]:
                 grown.append((child, before, tokens))
         if last < 0:
             raise ValueError("the vocabulary lacks a token for a byte")
@@ -78,6 +82,26 @@ class Transducer:
             state = self.states[items] = State(items)
         return state, count
 
+    def count(self, word: bytes) -> int:
+        """Tokens of a whole word. Of its last byte only the output is worked out: most new words
+        share all but that with words before them, and the state behind it is rarely gone on from."""
+        state, total = self.run(self.start, word[:-1])
+        byte = word[-1]
+        found = state.next.get(byte)
+        if found is not None:
+            return total + found[1]
+        edges, token_at, beside = self.vocab.edges.get, self.vocab.token_at, self.vocab.beside.get
+        for node, before, tokens in state.items:
+            child = edges(node << 8 | byte)
+            if child is None:
+                continue
+            token = token_at[child]
+            if token >= 0:
+                fits = True if before < 0 else beside(before << 20 | token)
+                if self.vocab.side_by_side(before, token) if fits is None else fits:
+                    return total + tokens + 1
+        raise ValueError("the vocabulary lacks a token for a byte")
+
     def run(self, state: State, data: bytes) -> tuple[State, int]:
         total = 0
         for byte in data:
@@ -142,19 +166,11 @@ def _count_plain(texts: list[str], path: str, chunk_bytes: int) -> list[tuple[in
     """(UTF-8 bytes, tokens) of each text; texts hold no special tokens."""
     transducer, known = _worker(path)
     start = transducer.start
-
-    def of_word(word: bytes) -> int:
-        n = known.get(word)
-        if n is None:
-            if len(known) >= MAX_WORDS:
-                known.clear()
-            n = transducer.run(start, word)[1]
-            if len(word) <= 64:
-                known[word] = n
-        return n
-
     data, offsets, first = split_words(texts)
     at = offsets.tolist()
+    counts = _word_counts([data[a:b] for a, b in zip(at[:-1], at[1:])], transducer, known)
+    before = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])  # tokens of the short words before each
+    long = np.flatnonzero(counts < 0)
     out = []
     for i in range(len(texts)):
         lo, hi = int(first[i]), int(first[i + 1])
@@ -163,19 +179,36 @@ def _count_plain(texts: list[str], path: str, chunk_bytes: int) -> list[tuple[in
         for cut in range(begin, end, chunk_bytes):
             stop = min(cut + chunk_bytes, end)
             # words that start in this chunk; the last one may go on behind it
-            a, b = np.searchsorted(offsets[lo:hi], [cut, stop]) + lo
+            a, b = (np.searchsorted(offsets[lo:hi], [cut, stop]) + lo).tolist() if end - begin > chunk_bytes else (lo, hi)
             head = data[cut : at[a] if a < b else stop]
             if a == b:
                 maps.append(StateMap(head))
                 continue
-            whole = sum(map(of_word, [data[x:y] for x, y in zip(at[a : b - 1], at[a + 1 : b])]))
-            state, tail = transducer.run(start, data[at[b - 1] : stop]) if at[b] > stop else (start, of_word(data[at[b - 1] : stop]))
+            cross = at[b] > stop
+            whole = int(before[b - cross] - before[a])
+            if len(long):
+                whole += sum(transducer.count(data[at[k] : at[k + 1]]) for k in long[slice(*np.searchsorted(long, [a, b - cross]))].tolist())
+            state, tail = transducer.run(start, data[at[b - 1] : stop]) if cross else (start, 0)
             maps.append(StateMap(head, whole + tail, state))
         tokens = composed(maps, transducer).apply(transducer, start)[1] if maps else 0
         out.append((end - begin, tokens))
     return out
 
 
+def _word_counts(words: list[bytes], transducer: Transducer, known: dict[bytes, int]) -> np.ndarray:
+    """Tokens of each word, -1 for one of more than ``LONG_WORD`` bytes. New words are sorted, so
+    that states just found are used again, and kept in ``known`` up to its bound."""
+    new = set(words).difference(known)
+    if len(known) + len(new) > MAX_WORDS:
+        known.clear()
+        new = set(words)
+    table = known if len(new) <= MAX_WORDS else {}  # a slice of very many words
+    long = {w for w in new if len(w) > LONG_WORD}
+    for word in sorted(new - long):
+        table[word] = transducer.count(word)
+    return np.fromiter((table.get(w, -1) for w in words) if long else map(table.__getitem__, words), np.int64, len(words))
+
+
 def count_texts(texts: list[str], path: str, chunk_bytes: int) -> list[tuple[int, int]]:
     """(UTF-8 bytes, tokens) of each text. A special token's string counts one token and
     ends the text before it, as the library does by default."""

@@ -133,3 +133,23 @@ def test_the_tree_gives_the_end_of_the_scan():
     maps.insert(3, token_count.StateMap(b"x", 2, machine.run(machine.start, b" wor")[0]))
     for n in range(1, len(maps) + 1):
         assert token_count.composed(maps[:n], machine) == token_count.prefix_scan(maps[:n], machine)[-1]
+
+
+def test_a_words_last_byte_makes_no_state(library):
+    machine = token_count.Transducer(bpe.vocabulary(PATH))
+    words = [b" zqxv" + bytes([c]) for c in range(0x61, 0x7B)]
+    machine.run(machine.start, b" zqxv")
+    before = len(machine.states)
+    expected = [len(library.encode(w.decode(), add_special_tokens=False).ids) for w in words]
+    assert [machine.count(w) for w in words] == expected and len(machine.states) == before
+    token_count._worker.cache_clear()
+    token_count.count_texts([w.decode() for w in words], PATH, 16_384)
+    assert len(token_count._worker(PATH)[0].states) <= len(words[0])
+
+
+def test_long_and_short_words_over_chunk_borders(library):
+    texts = ["ab " * 40 + "q" * n + " tail 12345" * 9 for n in (1, 63, 64, 65, 200)] + ["", "x" * 64 + " " + "y" * 65]
+    expected = [(len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for t in texts]
+    for chunk in (1, 7, 64, 16_384):
+        assert token_count.count_texts(texts, PATH, chunk) == expected
+    assert max(map(len, token_count._worker(PATH)[1])) <= token_count.LONG_WORD
