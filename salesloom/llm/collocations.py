@@ -26,18 +26,18 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import maybe_broadcast, slices, stored, text_or_empty
+from .common import give_back, maybe_broadcast, slices, stored, text_batches, text_or_empty
 from .word_hash import _powers, mix, sequence_hashes
 
 #: Longest phrase in words.
 MOST_WORDS = 4
 #: Bytes of text worked on at once; counters a task sums up before it sends them, and sends in
 #: one piece; counters that a partition's task merges before it cuts them to its capacity.
-SLICE_BYTES, SEND, PIECE, MERGE = 1_000_000, 2_000_000, 200_000, 1_000_000
+SLICE_BYTES, SEND, PIECE, MERGE = 1_000_000, 1_000_000, 200_000, 1_000_000
 #: The bitmap has 128 bits for each survivor, from 2^16 up to 2^29 (64 MB).
 MOST_BITS = 29
 #: Distinct phrases that a task of the second pass sums up before it sends or returns them.
-PHRASES = 500_000
+PHRASES = 250_000
 
 _SPACE, _BREAK = 0x20, 0x0A
 #: A-Z in lower case, the other white space as a space, and all that ends a piece as a break.
@@ -231,6 +231,7 @@ def survivors(texts: DataFrame, threshold: int, parts: int, sizes: range, of: tu
         if size:
             held = [_summed(*map(np.concatenate, zip(*held)))]
             yield from _share(*held.pop(), parts)
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mass, summary = -1, 0, MisraGries(1)
@@ -253,6 +254,8 @@ def survivors(texts: DataFrame, threshold: int, parts: int, sizes: range, of: tu
                     summary.add(_from_planes(hashes.as_py()), np.diff(totals, prepend=0))
         if now >= 0:
             yield found()
+        del summary
+        give_back()
 
     shares = texts.mapInArrow(send, _SUMMARY)
     tasks = max(1, parts // 4)
@@ -297,7 +300,9 @@ def count_phrases(texts: DataFrame, words: tuple[bytes, int], phrases: tuple[byt
                 if held[0].num_rows > PHRASES:
                     yield from _dealt(held.pop(), parts)
         if held:
-            yield from _dealt(_together(held), parts)
+            held = [_together(held)]
+            yield from _dealt(held.pop(), parts)
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -312,7 +317,9 @@ def count_phrases(texts: DataFrame, words: tuple[bytes, int], phrases: tuple[byt
                 yield from _frequent(held[0].filter(done), threshold)
                 held = [held[0].filter(pc.invert(done))]
         if held:
-            yield from _frequent(_together(held), threshold)
+            held = [_together(held)]
+            yield from _frequent(held.pop(), threshold)
+        give_back()
 
     dealt = texts.mapInArrow(work, "p int, group string, phrases binary, counts binary")
     dealt = dealt.repartition(max(1, parts // 4), "p").sortWithinPartitions("p")
@@ -393,6 +400,7 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     ranking takes the first rows of each share of a group before they meet.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit(no_group)).alias("group"), text_or_empty(text_col).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = bitmap(stored(survivors(texts, threshold, parts, range(1, 2)), "frequent-words"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,48 @@ def test_ranking_by_shares(spark):
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [("en", None), ("en", "")]) == []
+
+
+class _Tasks:
+    """Stands for a table of texts, and keeps the functions that would run over it."""
+
+    def __init__(self):
+        self.work = []
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def mapInArrow(self, function, _):
+        self.work.append(function)
+        return self
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+
+def test_tasks_give_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(co, "give_back", lambda: given.append(1), raising=False)
+    tasks, everything = _Tasks(), (b"\xff" * (1 << 13), 16)
+    co.survivors(tasks, 2, 8, range(1, 2))
+    co.count_phrases(tasks, everything, everything, 2, 8)
+    batch = pa.RecordBatch.from_pylist([{"group": "en", "text": "a b a b"}])
+    tasks.value = (everything, everything)
+    for first, second in (tasks.work[:2], tasks.work[2:]):
+        assert sum(b.num_rows for b in second(iter(list(first(iter([batch])))))) > 0
+    assert len(given) == 4
+
+
+def test_text_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        co.collocations(spark.createDataFrame([("en", "a b " * 40)], "lang string, text string")).count()
+        assert int(spark.conf.get(name).removesuffix("b")) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
