@@ -23,7 +23,7 @@ from .bpe import ROOT, Vocabulary, split_words, vocabulary
 from .common import give_back, slices, text_batches, text_or_empty
 
 #: Characters worked on at once in a task, and the words a Python worker keeps.
-SLICE_CHARS, MAX_WORDS = 2_000_000, 250_000
+SLICE_CHARS, MAX_WORDS = 500_000, 150_000
 
 
 def release(path: str) -> None:
@@ -115,7 +115,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         known.clear()
     local = known
     new = sorted({w for w in words if w not in known})
-    if len(known) + len(new) > MAX_WORDS + 1_000_000:  # a slice of very many new words
+    if len(known) + len(new) > 2 * MAX_WORDS:  # a slice of very many new words
         local = {}
         new = sorted(set(words))
     local.update(encode_words(new, vocab))

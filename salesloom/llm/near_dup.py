@@ -279,6 +279,7 @@ def _link_rows(threshold: float):
             ]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     return work
 

@@ -153,3 +153,16 @@ def test_long_and_short_words_over_chunk_borders(library):
     for chunk in (1, 7, 64, 16_384):
         assert token_count.count_texts(texts, PATH, chunk) == expected
     assert max(map(len, token_count._worker(PATH)[1])) <= token_count.LONG_WORD
+
+
+def test_the_codec_keeps_few_words(library, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "MAX_WORDS", 50)
+    bpe_codec.release(PATH)
+    texts = [" ".join(f"w{i}x{k}" for i in range(30)) for k in range(20)]
+    for t in texts:
+        (got,) = bpe_codec.encode_texts([t], PATH)
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(bpe_codec._worker(PATH)[1]) <= 100
+    (got,) = bpe_codec.encode_texts([" ".join(texts)], PATH)
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(" ".join(texts), add_special_tokens=False).ids
+    assert len(bpe_codec._worker(PATH)[1]) <= 100

@@ -141,3 +141,9 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(parent, x)) for x in list(parent))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_link_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(nd, "give_back", lambda: given.append(1))
+    assert list(nd._link_rows(0.8)(iter([]))) == [] and given == [1]
