@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -81,13 +82,16 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raws = _raw(batch.column(2))
         anchors, text, start = window_anchors(raws)
         bounds = np.searchsorted(text, np.arange(len(raws) + 1))
-        lists = batch.column(3)
+        docs, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(3)), 0)))
+        known = batch.column(3).flatten()
+        all_keys, all_shards = np.asarray(known.field(0)).view(np.uint64), np.asarray(known.field(1))
         for i, raw in enumerate(raws):
             lo, hi = int(bounds[i]), int(bounds[i + 1])
             if lo == hi:
                 continue
-            known = lists[i].values
-            keys, shards = np.asarray(known.field(0)).view(np.uint64), np.asarray(known.field(1))
+            own = slice(int(ends[i - 1]) if i else 0, int(ends[i]))
+            keys, shards = all_keys[own], all_shards[own]
             order = np.argsort(keys)
             at = np.minimum(np.searchsorted(keys, anchors[lo:hi], sorter=order), len(keys) - 1)
             shard = np.where(keys[order[at]] == anchors[lo:hi], shards[order[at]], -1)
@@ -97,7 +101,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if shard[a] >= 0:
                     words = raw.split() if words is None else words
                     piece = words[a : b + WINDOW - 1]
-                    out.append((int(shard[a]), batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), a, len(piece), b" ".join(piece)))
+                    out.append((int(shard[a]), docs[i], rows[i], a, len(piece), b" ".join(piece)))
         if out:
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["shard", "doc", "row", "start", "n_words", "segment"])
@@ -157,13 +161,16 @@ def compile_phrases(passages: list[tuple[int, bytes]]) -> tuple[tuple[ahocorasic
     return (machine, docs), numbers
 
 
-def locate(compiled: tuple, numbers: dict[bytes, int], doc: int, raw: bytes) -> list[tuple[int, int]]:
-    """Ranges of words covered by phrases whose smallest document is before ``doc``."""
+def occurrences(compiled: tuple, numbers: dict[bytes, int], raw: bytes) -> list[tuple[int, int]]:
+    """(last word, value) of each phrase that occurs in a segment."""
     machine, docs = compiled
+    return list(machine.iter(tuple(map(numbers.get, raw.split(), repeat(0))))) if docs else []
+
+
+def covered(docs: list[int], found: list[tuple[int, int]], doc: int) -> list[tuple[int, int]]:
+    """Ranges of words covered by the found phrases whose smallest document is before ``doc``."""
     out: list[tuple[int, int]] = []
-    if not docs:
-        return out
-    for end, k in machine.iter(tuple(numbers.get(w, 0) for w in raw.split())):
+    for end, k in found:
         if docs[k] < doc:
             a, b = end - WINDOW + 1, end + 1
             if out and a <= out[-1][1]:
@@ -173,11 +180,21 @@ def locate(compiled: tuple, numbers: dict[bytes, int], doc: int, raw: bytes) ->
     return out
 
 
+def locate(compiled: tuple, numbers: dict[bytes, int], doc: int, raw: bytes) -> list[tuple[int, int]]:
+    """Ranges of words covered by phrases whose smallest document is before ``doc``."""
+    return covered(compiled[1], occurrences(compiled, numbers, raw), doc)
+
+
 def _locate_group(phrases: pa.Table, segments: pa.Table) -> pa.Table:
     compiled, numbers = compile_phrases(list(zip(phrases.column("doc").to_pylist(), phrases.column("passage").to_pylist())))
     out = []
-    for doc, row, start, raw in zip(*(segments.column(c).to_pylist() for c in ("doc", "row", "start", "segment"))):
-        out += [(doc, row, start + a, start + b) for a, b in locate(compiled, numbers, doc, raw)]
+    # a passage that documents share whole is streamed through the automaton once for all of them
+    rows = sorted(zip(*(segments.column(c).to_pylist() for c in ("segment", "doc", "row", "start"))))
+    before, found = None, []
+    for raw, doc, row, start in rows:
+        if raw != before:
+            before, found = raw, occurrences(compiled, numbers, raw)
+        out += [(doc, row, start + a, start + b) for a, b in covered(compiled[1], found, doc)]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     columns = list(zip(*out)) or [()] * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "row", "first", "end"])

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from salesloom.llm import common, substring_dedup as sd
@@ -110,3 +111,31 @@ def test_hashes_do_not_depend_on_what_stands_beside():
     assert np.array_equal(together, np.concatenate(apart)) and first.tolist() == [0, 2, 2, 4, 5]
     assert together[0] == together[3] and together[1] == together[2] == together[4]
     assert len(sequence_hashes(together, 6)) == 0 and sequence_hashes(together[:2], 2)[0] != sequence_hashes(together[2:4], 2)[0]
+
+
+def test_equal_segments_are_streamed_once(monkeypatch):
+    words = [f"w{i}".encode() for i in range(40)]
+    raw, other = b" ".join(words), b" ".join(words[5:30])
+    seen = []
+
+    class Counting:
+        def __init__(self, machine):
+            self.machine = machine
+
+        def iter(self, ids):
+            seen.append(ids)
+            return self.machine.iter(ids)
+
+    compile_phrases = sd.compile_phrases
+
+    def counting(passages):
+        (machine, docs), numbers = compile_phrases(passages)
+        return (Counting(machine), docs), numbers
+
+    monkeypatch.setattr(sd, "compile_phrases", counting)
+    phrases = pa.table({"shard": [0], "salt": [0], "doc": [1], "passage": [raw]})
+    docs, texts = [1, 2, 3, 4, 5], [raw, raw, other, raw, other]
+    segments = pa.table({"doc": docs, "row": [d * 10 for d in docs], "start": [0, 7, 1, 0, 2], "segment": texts})
+    got = sd._locate_group(phrases, segments)
+    assert sorted(zip(*got.to_pydict().values())) == [(2, 20, 7, 47), (3, 30, 1, 26), (4, 40, 0, 40), (5, 50, 2, 27)]
+    assert len(seen) == 2
